@@ -63,3 +63,9 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a broadcast when the estimated size is under `limit`, else leave the
     choice (shuffled join, AQE) to Spark."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate (a clock, a mean, a bound) to every row."""
+    left = df.withColumn("_one", F.lit(1))
+    return left.join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
