@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 1_000_000
 
 
-def accepted_readings(readings: DataFrame, sequence: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def accepted_readings(readings: DataFrame, sequence: str = "id", block_rows: int = BLOCK_ROWS, states: DataFrame | None = None) -> DataFrame:
     """Flags readings strictly newer than every earlier one of their container, in
     arrival order, and gives each the level accepted before it.
 
     The running maximum is taken in two steps, so one container with most of the rows
     spreads over many tasks: per block of arrival numbers, then across the few block
-    maxima. Ties on the date keep the first arrival.
+    maxima. Ties on the date keep the first arrival. `states` (container_id,
+    current_level, last_reading) is what was accepted before this batch.
     """
     mark = F.struct(F.col("reading_date").alias("d"), (-F.col(sequence)).alias("s"), F.col("level").alias("l"))
     rows = readings.withColumn("block", F.floor(F.col(sequence) / block_rows)).withColumn("mark", mark)
@@ -24,12 +25,20 @@ def accepted_readings(readings: DataFrame, sequence: str = "id", block_rows: int
     carried = tops.withColumn("carried", F.max("top").over(earlier)).drop("top")
     inside = Window.partitionBy("container_id", "block").orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
     best = F.greatest(F.max("mark").over(inside), F.col("carried"))
+    rows = rows.join(carried, ["container_id", "block"])
+    if states is not None:
+        start = F.struct(F.col("last_reading").alias("d"), F.lit(2**62).alias("s"), F.col("current_level").alias("l"))
+        known = states.where(F.col("last_reading").isNotNull()).select("container_id", start.alias("start"))
+        unread = states.where(F.col("last_reading").isNull()).select("container_id", F.col("current_level").alias("unread_level"))
+        rows = rows.join(known, "container_id", "left").join(unread, "container_id", "left")
+        best = F.greatest(best, F.col("start"))
+    else:
+        rows = rows.withColumn("start", F.lit(None)).withColumn("unread_level", F.lit(None).cast("int"))
     return (
-        rows.join(carried, ["container_id", "block"])
-        .withColumn("before", best)
+        rows.withColumn("before", best)
         .withColumn("accepted", F.col("before").isNull() | (F.col("reading_date") > F.col("before.d")))
-        .withColumn("level_old", F.col("before.l"))
-        .drop("mark", "block", "carried", "before")
+        .withColumn("level_old", F.coalesce("before.l", "unread_level"))
+        .drop("mark", "block", "carried", "before", "start", "unread_level")
     )
 
 

@@ -113,18 +113,18 @@ def nearest(
 ) -> DataFrame:
     """Closest target of every point, however far.
 
-    Round k looks within `start * 2**k`: targets cover their cells (grown by one ring) and
-    a hit no farther than the cell size is final. Points still open go on with doubled
-    cells; targets thin out per cell as cells grow, because only the rows of cells that
-    open points fall in are kept.
+    Round k looks within `start * 2**k`: targets cover the cells of their box grown by
+    that much, so a hit no farther than the cell size is final. Points still open go on
+    with doubled cells, and only cells that hold open points join anything.
     """
     found: list[DataFrame] = []
-    rest = points
+    rest = cut(points.select(point_key, xy[0].alias("_px"), xy[1].alias("_py")))
+    targets = cut(targets)
     size = start
     order_struct = F.struct(F.col("_distance"), *order)
     payload = [c for c in targets.columns]
     for _ in range(max_rounds):
-        here = on_cells(rest.select(point_key, xy[0].alias("_px"), xy[1].alias("_py")), F.col("_px"), F.col("_py"), size)
+        here = on_cells(rest, F.col("_px"), F.col("_py"), size)
         laid = on_box_cells(targets, box, size, margin=size)
         best = (
             here.join(laid, list(CELLS))

@@ -24,7 +24,7 @@ def tracts(spark, sf):
 def links(spark, sf):
     """Part-supplier pairs of the line items as tract-container links with a weight."""
     li = a.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    return li.where(F.col("l_partkey") % 10 == F.col("l_suppkey") % 10).select(
+    return li.select(
         F.col("l_suppkey").cast("string").alias("radio_code"), F.col("l_partkey").alias("container_id"),
         F.when(F.col("l_suppkey") % 6 == 0, F.lit(0.0)).otherwise((F.col("l_partkey") % 18).cast("double")).alias("weight"),
     )
@@ -38,7 +38,7 @@ def bins(spark, sf):
 add_cte("tracts", "", "SELECT CAST(s_suppkey AS VARCHAR) AS radio_code, s_suppkey % 9 * 40 AS population, 'Comuna ' || (s_suppkey % 5) AS department_name FROM supplier")
 add_cte(
     "links", "",
-    "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS radio_code, l_partkey AS container_id, CASE WHEN l_suppkey % 6 = 0 THEN 0e0 ELSE CAST(l_partkey % 18 AS DOUBLE) END AS weight FROM lineitem WHERE l_partkey % 10 = l_suppkey % 10",
+    "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS radio_code, l_partkey AS container_id, CASE WHEN l_suppkey % 6 = 0 THEN 0e0 ELSE CAST(l_partkey % 18 AS DOUBLE) END AS weight FROM lineitem",
 )
 add_cte("bins", "", "SELECT p_partkey AS id, 1e0 + p_size % 4 AS volume_m3 FROM part")
 add_cte(
@@ -132,10 +132,10 @@ def _d23h(spark, sf):
     return demand.hotspots(demand.tract_rates(links(spark, sf), bin_demand(spark, sf), tracts(spark, sf)))
 
 
-@query("d23_low_coverage", with_ctes("tract_rates", "SELECT radio_code, container_count FROM tract_rates WHERE container_count <= 40"))
+@query("d23_low_coverage", with_ctes("tract_rates", "SELECT radio_code, container_count FROM tract_rates WHERE container_count <= 560"))
 def _d23l(spark, sf):
     r = demand.tract_rates(links(spark, sf), bin_demand(spark, sf), tracts(spark, sf))
-    return demand.low_coverage(r, 40).select("radio_code", "container_count")
+    return demand.low_coverage(r, 560).select("radio_code", "container_count")
 
 
 _W = {"mul": (1.10, 0.60), "sin": (0.95, 0.85), "com": (1.40, 1.20), "off": (0.85, 0.10), "ind": (0.65, 0.20)}
@@ -268,7 +268,7 @@ def _i25(spark, sf):
     "i26_zone_multipliers",
     with_ctes(
         "mixed land_use",
-        f"SELECT e.event_id AS id, {half_up('l.demand_multiplier * m.value * CASE WHEN avg_m BETWEEN 1.05e0 * 0.97e0 AND 1.05e0 * 1.03e0 THEN 1e0 ELSE 1.05e0 / avg_m END * CASE WHEN l.zone % 3 = 0 THEN 1.2e0 ELSE 1e0 END', 6)} AS zone_mult FROM events e JOIN land_use l ON l.zone = e.user_id % 25 JOIN mixed m ON m.zone = l.zone AND m.weekday = isodow(e.ts) - 1 AND m.hour = hour(e.ts), (SELECT avg(demand_multiplier) AS avg_m FROM land_use)",
+        f"SELECT e.event_id AS id, {half_up('l.demand_multiplier * m.value * CASE WHEN avg_m BETWEEN 1.05e0 * 0.97e0 AND 1.05e0 * 1.03e0 THEN 1e0 ELSE 1.05e0 / avg_m END * CASE WHEN l.demand_multiplier > 0.95e0 THEN 1.2e0 ELSE 1e0 END', 6)} AS zone_mult FROM events e JOIN land_use l ON l.zone = e.user_id % 25 JOIN mixed m ON m.zone = l.zone AND m.weekday = isodow(e.ts) - 1 AND m.hour = hour(e.ts), (SELECT avg(demand_multiplier) AS avg_m FROM land_use)",
     ),
 )
 def _i26(spark, sf):
@@ -276,7 +276,7 @@ def _i26(spark, sf):
     e = a.table(spark, sf, "events").select(
         F.col("event_id").alias("id"), (F.col("user_id") % 25).alias("key"), F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour")
     )
-    over = lu.where(F.col("key") % 3 == 0).select(F.upper("barrio").alias("neighborhood"), F.lit(1.2).alias("multiplier"))
+    over = lu.where(F.col("demand_multiplier") > 0.95).select(F.upper("barrio").alias("neighborhood"), F.lit(1.2).alias("multiplier"))
     m = demand.zone_multipliers(e, lu, _mixed(spark, sf).withColumnRenamed("zone", "key"), demand.calibration(lu), over)
     return m.select("id", up(F.col("zone_mult"), 6).alias("zone_mult"))
 
@@ -325,12 +325,12 @@ def _i29(spark, sf):
     "i30_demand_listing",
     with_ctes(
         "neighborhoods",
-        f"SELECT name, population, CASE WHEN id % 3 = 0 THEN {half_up('1e0 + 5e-1 * (epoch(TIMESTAMP ' + chr(39) + _NOW + chr(39) + ') - epoch(TIMESTAMP ' + chr(39) + '2024-01-10' + chr(39) + ')) / (10 * 86400)', 6)} ELSE 1e0 END AS multiplier_effective FROM neighborhoods",
+        f"SELECT name, population, CASE WHEN population >= 5000 THEN {half_up('1e0 + 5e-1 * (epoch(TIMESTAMP ' + chr(39) + _NOW + chr(39) + ') - epoch(TIMESTAMP ' + chr(39) + '2024-01-10' + chr(39) + ')) / (10 * 86400)', 6)} ELSE 1e0 END AS multiplier_effective FROM neighborhoods",
     ),
 )
 def _i30(spark, sf):
     n = a.neighborhoods(spark, sf)
-    over = n.where(F.col("id") % 3 == 0).select(
+    over = n.where(F.col("population") >= 5000).select(
         F.col("name").alias("neighborhood"), F.lit(1.0).alias("multiplier_start"), F.lit(1.5).alias("multiplier_target"),
         F.expr("timestamp_ntz'2024-01-10 00:00:00'").alias("begins"), F.expr("timestamp_ntz'2024-01-20 00:00:00'").alias("ends"),
     )

@@ -88,19 +88,19 @@ def _d06(spark, sf):
     "c07_distance_join",
     with_ctes(
         "live_sites",
-        f"SELECT d.id AS donor_id, r.id AS receiver_id, {half_up(haversine('d.latitude', 'd.longitude', 'r.latitude', 'r.longitude'), 6)} AS distance_km FROM live_sites d JOIN live_sites r ON d.id % 2 = 0 AND r.id % 2 = 1"
+        f"SELECT d.id AS donor_id, r.id AS receiver_id, {half_up(haversine('d.latitude', 'd.longitude', 'r.latitude', 'r.longitude'), 6)} AS distance_km FROM live_sites d JOIN live_sites r ON d.load_side_category = 'DERECHA' AND r.load_side_category <> 'DERECHA'"
         f" AND d.waste_type_id IS NOT DISTINCT FROM r.waste_type_id AND {haversine('d.latitude', 'd.longitude', 'r.latitude', 'r.longitude')} <= 2.2e0",
     ),
 )
 def _c07(spark, sf):
     s = filters.active(a.sites(spark, sf))
 
-    def side(prefix, parity):
-        return s.where(F.col("id") % 2 == parity).select(
+    def side(prefix, right):
+        return s.where((F.col("load_side_category") == "DERECHA") == right).select(
             F.col("id").alias(f"{prefix}_id"), F.col("latitude").alias(f"{prefix}_latitude"), F.col("longitude").alias(f"{prefix}_longitude"), "waste_type_id"
         )
 
-    p = spatial.haversine_pairs(side("donor", 0), side("receiver", 1), 2.2, ("waste_type_id",))
+    p = spatial.haversine_pairs(side("donor", True), side("receiver", False), 2.2, ("waste_type_id",))
     return p.select("donor_id", "receiver_id", up(F.col("distance_km"), 6).alias("distance_km"))
 
 

@@ -17,11 +17,11 @@ from binflow.queries.registry import query
 
 
 def _moves(spark, sf):
-    c = a.containers(spark, sf).where("deleted_at IS NULL AND id % 10 = 3")
+    c = a.containers(spark, sf).where("deleted_at IS NULL AND NOT available")
     return c.select(F.col("id").alias("container_id"), ((F.col("site_id") * 7 + 3) % 10).alias("to_site_id"))
 
 
-add_cte("moves", "active", "SELECT id AS container_id, (site_id * 7 + 3) % 10 AS to_site_id FROM active WHERE id % 10 = 3")
+add_cte("moves", "active", "SELECT id AS container_id, (site_id * 7 + 3) % 10 AS to_site_id FROM active WHERE NOT available")
 add_cte(
     "virtual",
     "active moves",

@@ -115,9 +115,9 @@ def _sites(spark, sf):
 def _capacity_segments(spark, sf):
     x, y = _origin()
     k = F.col("s_suppkey")
-    far = F.when(k % 3 == 0, F.lit(0.00028)).otherwise(F.lit(0.0001))
+    far = F.when(k % 7 == 6, F.lit(0.001)).when(k % 3 == 0, F.lit(0.00028)).otherwise(F.lit(0.0001))
     line = F.array(F.struct((x - 0.001).alias("x"), (y + far).alias("y")), F.struct((x + 0.001).alias("x"), (y + far).alias("y")))
-    return a.table(spark, sf, "supplier").where(k % 7 != 6).select(k.alias("segment_id"), (k % 5).cast("int").alias("capacity"), line.alias("line"))
+    return a.table(spark, sf, "supplier").select(k.alias("segment_id"), (k % 5).cast("int").alias("capacity"), line.alias("line"))
 
 
 @query("c11_segment_capacity")
@@ -183,17 +183,17 @@ def _c14(spark, sf):
 
 def _segments(spark, sf):
     k = F.col("s_suppkey")
-    return a.table(spark, sf, "supplier").where(k % 20 < 15).select(
+    return a.table(spark, sf, "supplier").select(
         F.concat(F.lit("R"), F.expr("s_suppkey div 7")).alias("route_id"), F.expr("s_suppkey div 7").alias("route_rank"), (k % 7).alias("segment"),
-        F.expr("concat('AV. LINEA ', chr(65 + s_suppkey div 10 % 26), chr(65 + s_suppkey div 260 % 26))").alias("street_name"),
+        F.expr("concat(if(s_suppkey % 20 < 10, 'AV. LINEA ', 'OTRA '), chr(65 + s_suppkey div 10 % 26), chr(65 + s_suppkey div 260 % 26))").alias("street_name"),
         (100 + k % 10 * 20).alias("alt_start"), (101 + k % 10 * 20).alias("alt_end"),
     )
 
 
 add_cte(
     "segments", "",
-    "SELECT 'R' || (s_suppkey // 7) AS route_id, s_suppkey // 7 AS route_rank, s_suppkey % 7 AS segment, 'AV. LINEA ' || chr(CAST(65 + s_suppkey // 10 % 26 AS INTEGER)) || chr(CAST(65 + s_suppkey // 260 % 26 AS INTEGER)) AS street,"
-    " 100 + s_suppkey % 10 * 20 AS lo, 101 + s_suppkey % 10 * 20 AS hi FROM supplier WHERE s_suppkey % 20 < 15",
+    "SELECT 'R' || (s_suppkey // 7) AS route_id, s_suppkey // 7 AS route_rank, s_suppkey % 7 AS segment, CASE WHEN s_suppkey % 20 < 10 THEN 'AV. LINEA ' ELSE 'OTRA ' END || chr(CAST(65 + s_suppkey // 10 % 26 AS INTEGER)) || chr(CAST(65 + s_suppkey // 260 % 26 AS INTEGER)) AS street,"
+    " 100 + s_suppkey % 10 * 20 AS lo, 101 + s_suppkey % 10 * 20 AS hi FROM supplier",
 )
 add_cte(
     "numbered", "live_sites",
@@ -286,8 +286,8 @@ def _c19(spark, sf):
 
 
 def _lanes(spark, sf):
-    s = _metre_segments(spark, sf).where(F.col("segment_id") % 9 == 0)
-    return s.select(F.transform("line", lambda p: F.struct((p["x"] + 3.0).alias("x"), (p["y"] + 4.0).alias("y"))).alias("line"))
+    s = _metre_segments(spark, sf).withColumn("off", F.when(F.col("street_type") == "AVENIDA", 4.0).otherwise(30.0))
+    return s.select(F.transform("line", lambda p: F.struct((p["x"] + 3.0).alias("x"), (p["y"] + F.col("off")).alias("y"))).alias("line"))
 
 
 @query("c20_bike_lane_segments")
