@@ -1,9 +1,9 @@
-"""Greedy matchings as rounds of locally first edges.
+"""Greedy matchings as rounds of edges whose turn has come.
 
-With a fixed total order of the edges, an edge that comes first among the open edges of
-both its endpoints is chosen by the sequential greedy no matter what happens elsewhere.
-So every round takes all such edges at once and the driver only asks whether any edge
-was taken. Chosen edges go to the shared checkpoint folder each round.
+With a fixed total order of the edges, an edge whose open competitors at both endpoints
+all come later is chosen by the sequential greedy no matter what happens elsewhere. So
+every round takes all such edges at once and the driver only asks whether any edge was
+taken. Chosen edges go to the shared checkpoint folder each round.
 """
 
 from __future__ import annotations
@@ -39,15 +39,6 @@ class Chosen:
         return reduce(DataFrame.unionByName, self._pieces) if self._pieces else None
 
 
-def first_both_ways(edges: DataFrame, order: list[str], one: str, other: str) -> DataFrame:
-    """Edges that are first in `order` among the edges of each endpoint."""
-    rank = F.struct(*order)
-    payload = F.struct(*edges.columns)
-    by_one = edges.groupBy(one).agg(F.min_by(payload, rank).alias("e")).select("e.*")
-    by_other = edges.groupBy(other).agg(F.min_by(F.struct(one, other), rank).alias("e")).select("e.*")
-    return by_one.join(by_other, [one, other])
-
-
 def remaining(amounts: DataFrame, chosen: DataFrame | None, key: str, column: str) -> DataFrame:
     """Amounts minus what was taken, exhausted keys dropped."""
     if chosen is None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from binflow.functions import levels, times
 from binflow.functions.numbers import half_even, half_up
 from binflow.operators import spatial
-from binflow.plans.rounds import Chosen, first_both_ways, remaining
+from binflow.plans.rounds import Chosen, remaining
 from binflow.session import attach, cut, small
 
 # Level counted as peak, level counted as overflow, overflow count that
@@ -144,18 +144,26 @@ def candidate_edges(supply: DataFrame, demand: DataFrame, config: ScoreConfig) -
 def greedy_moves(edges: DataFrame, supply: DataFrame, demand: DataFrame) -> DataFrame | None:
     """Most urgent receivers first, each from its nearest donors: amounts per pair.
 
-    `supply` is (donor_id, supply), `demand` (receiver_id, demand).
+    `supply` is (donor_id, supply), `demand` (receiver_id, demand). In each round every
+    receiver takes from its nearest donors in order, as far as it is the most urgent open
+    receiver of each: exactly the edges whose turn has come in the sequential order.
     """
-    ranked = cut(edges.withColumn("urgency", -F.col("score")))
+    ranked = cut(edges.withColumn("urgency", F.struct((-F.col("score")).alias("s"), F.col("receiver_id").alias("r"))))
     chosen = Chosen()
+    by_distance = Window.partitionBy("receiver_id").orderBy("distance_km", "donor_id")
+    so_far = by_distance.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = by_distance.rowsBetween(Window.unboundedPreceding, -1)
     while True:
         taken = chosen.frame()
         open_edges = ranked.join(remaining(supply, taken, "donor_id", "supply"), "donor_id").join(
             remaining(demand, taken, "receiver_id", "demand"), "receiver_id"
         )
-        first = first_both_ways(open_edges, ["urgency", "receiver_id", "distance_km", "donor_id"], "receiver_id", "donor_id")
-        step = first.select("donor_id", "receiver_id", "distance_km", "score", F.least("supply", "demand").alias("amount"))
-        if not chosen.add(step):
+        first = open_edges.groupBy("donor_id").agg(F.min("urgency").alias("first"))
+        turn = open_edges.join(first, "donor_id").withColumn("blocked", (F.col("urgency") != F.col("first")).cast("int"))
+        turn = turn.withColumn("stop", F.max("blocked").over(so_far)).withColumn("before", F.coalesce(F.sum("supply").over(earlier), F.lit(0)))
+        amount = F.least(F.col("supply"), F.col("demand") - F.col("before"))
+        step = turn.where(F.col("stop") == 0).select("donor_id", "receiver_id", "distance_km", "score", amount.alias("amount"))
+        if not chosen.add(step.where(F.col("amount") > 0)):
             return chosen.frame()
 
 
