@@ -374,10 +374,9 @@ def latest_levels(readings: DataFrame, as_of) -> DataFrame:
 def latest_level_at(readings: DataFrame, moments: DataFrame) -> DataFrame:
     """As-of join: for every (container_id, moment) the newest reading at or before it.
 
-    Readings and moments meet on (container, day): a moment takes the newest reading of
-    its own day, else the last of the newest earlier day with readings. The first is an
-    equi-join bounded by one day of one container, the second a join of the moments
-    with day-level rows, never with raw readings.
+    Readings and moments meet on (container, day), so a moment takes the newest reading of
+    its own day. Moments without one look back over day-level rows: the last level of each
+    day and the days asked for run in one window per container, whose rows are days.
     """
     r = readings.where(F.col("level").isNotNull()).withColumn("day", F.to_date("reading_date"))
     m = moments.select("container_id", "moment").distinct().withColumn("day", F.to_date("moment"))
@@ -387,13 +386,12 @@ def latest_level_at(readings: DataFrame, moments: DataFrame) -> DataFrame:
         .groupBy("container_id", "moment")
         .agg(F.max_by("level", F.struct("reading_date", "id")).alias("level"))
     )
-    day_last = r.groupBy("container_id", "day").agg(F.max_by("level", F.struct("reading_date", "id")).alias("level"))
     rest = m.join(same_day.select("container_id", "moment"), ["container_id", "moment"], "left_anti")
-    earlier = (
-        rest.withColumnRenamed("day", "moment_day")
-        .join(day_last, "container_id")
-        .where(F.col("day") < F.col("moment_day"))
-        .groupBy("container_id", "moment")
-        .agg(F.max_by("level", "day").alias("level"))
-    )
+    day_last = r.groupBy("container_id", "day").agg(F.max_by("level", F.struct("reading_date", "id")).alias("level"))
+    asked = rest.select("container_id", "day").distinct().withColumn("level", F.lit(None).cast("int"))
+    # A day asked for sorts before that day's own level, so it sees earlier days only.
+    days = day_last.withColumn("kind", F.lit(1)).unionByName(asked.withColumn("kind", F.lit(0)))
+    order = Window.partitionBy("container_id").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    answers = days.withColumn("level", F.last("level", ignorenulls=True).over(order)).where(F.col("kind") == 0).drop("kind")
+    earlier = rest.join(answers, ["container_id", "day"]).where(F.col("level").isNotNull()).select("container_id", "moment", "level")
     return same_day.unionByName(earlier)

@@ -42,6 +42,23 @@ def accepted_readings(readings: DataFrame, sequence: str = "id", block_rows: int
     )
 
 
+def with_previous(rows: DataFrame, key: str, order: list[str], block: Column, columns: dict[str, str]) -> DataFrame:
+    """Adds, for each `source: name` of `columns`, the value of the key's previous row.
+
+    A plain lag would put a crowded key in one task: rows are ordered inside blocks (of
+    time, rising with the order), and only the last row of each block is carried on.
+    """
+    names = list(columns)
+    packed = F.struct(*names)
+    blocked = rows.withColumn("_block", block)
+    ends = blocked.groupBy(key, "_block").agg(F.max_by(packed, F.struct(*order)).alias("_end"))
+    across = Window.partitionBy(key).orderBy("_block")
+    ends = ends.withColumn("_carried", F.lag("_end").over(across)).drop("_end")
+    inside = Window.partitionBy(key, "_block").orderBy(*order)
+    joined = blocked.join(ends, [key, "_block"]).withColumn("_previous", F.coalesce(F.lag(packed).over(inside), F.col("_carried")))
+    return joined.withColumns({name: F.col(f"_previous.{source}") for source, name in columns.items()}).drop("_block", "_carried", "_previous")
+
+
 def latest_states(accepted: DataFrame) -> DataFrame:
     """Current state per container after a batch: newest date wins, later arrival on ties."""
     order = F.struct("reading_date", "id")

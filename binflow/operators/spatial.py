@@ -52,7 +52,7 @@ def grid_join(
     keys = [*on, *CELLS]
     if salt > 1:
         a = a.withColumn("_salt", F.pmod(F.xxhash64(*left_xy), F.lit(salt)))
-        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("bigint"))
+        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
         keys.append("_salt")
     return a.join(b, keys).drop(*CELLS, "_salt")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from binflow.functions import geo, text
 from binflow.operators import spatial
-from binflow.session import cut
+from binflow.session import cut, small
 
 # Metres that separate two sites of one block side, numbers that separate
 # two blocks, metres of the proximity clusters.
@@ -107,7 +107,7 @@ def side_groups(containers: DataFrame, placed: DataFrame, types: DataFrame, link
     name = F.upper(F.coalesce("type_name", F.lit("")))
     t = types.select(F.col("id").alias("container_type_id"), F.col("name").alias("type_name")).join(kinds, "container_type_id", "left")
     two_sided = F.contains(name, F.lit("BILATERAL")) | F.contains(name, F.lit("SOTERRADO"))
-    rows = containers.join(placed, "id").join(F.broadcast(t), "container_type_id", "left")
+    rows = containers.join(placed, "id").join(small(t), "container_type_id", "left")
     side = F.when(two_sided & ~F.col("is_avenue"), "BILATERAL").otherwise(F.col("load_side"))
     part = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("waste_type_id", "container_type_id", "street_id")]
     return rows.withColumn("side", side).withColumn("group_key", F.concat_ws("/", *part, "side"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from binflow.functions import times
 from binflow.functions.numbers import half_even
 from binflow.operators import network
+from binflow.operators.readings import with_previous
 from binflow.plans.scan import Rule, scan, time_block
 from binflow.session import attach, cut, small
 
@@ -201,14 +202,9 @@ def sensor_series(state: DataFrame, readings: DataFrame, block_hours: int = 168)
     """Per reading what really arrived: the rise, or the recent rate once the sensor
     saturates; plus real overflow hours and the smoothed rate."""
     known = state.select("container_id", "last_reading", "rate_ewma")
-    order = Window.partitionBy("container_id", "block").orderBy("reading_date", "seq")
     rows = readings.join(known.select("container_id", "last_reading"), "container_id").withColumn("at", times.epoch_micros(F.col("reading_date")))
-    rows = rows.withColumn("block", time_block("at", block_hours))
-    ends = rows.groupBy("container_id", "block").agg(F.max("reading_date").alias("block_last"))
-    earlier = Window.partitionBy("container_id").orderBy("block")
-    ends = ends.withColumn("before_block", F.lag("block_last").over(earlier)).drop("block_last")
-    rows = rows.join(ends, ["container_id", "block"])
-    previous = F.coalesce(F.lag("reading_date").over(order), F.col("before_block"), F.col("last_reading"))
+    rows = with_previous(rows.withColumn("block", time_block("at", block_hours)), "container_id", ["reading_date", "seq"], F.col("block"), {"reading_date": "previous_date"})
+    previous = F.coalesce("previous_date", "last_reading")
     elapsed = F.coalesce(F.greatest(F.lit(0.0), times.hours_between(previous, F.col("reading_date"))), F.lit(0.0))
     before, after = F.col("level_before").cast("double"), F.col("level_after").cast("double")
     rows = rows.withColumn("elapsed", elapsed)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from binflow import adapter as a
@@ -75,6 +74,14 @@ def _d02(spark, sf):
 _SERIES = "(SELECT *, lag(level) OVER w AS before, (epoch_us(reading_date) - epoch_us(lag(reading_date) OVER w)) / 3600000000e0 AS elapsed FROM readings WINDOW w AS (PARTITION BY container_id ORDER BY reading_date, id))"
 
 
+def _with_before(spark, sf):
+    r = a.readings(spark, sf)
+    week = time_block("at", 168)
+    rows = r.withColumn("at", times.epoch_micros(F.col("reading_date")))
+    rows = arrivals.with_previous(rows, "container_id", ["reading_date", "id"], week, {"level": "before", "reading_date": "before_at"})
+    return rows.withColumn("before", F.col("before").cast("double")).withColumn("elapsed", times.hours_between(F.col("before_at"), F.col("reading_date")))
+
+
 @query(
     "e13_overflow_hours",
     with_ctes(
@@ -83,21 +90,15 @@ _SERIES = "(SELECT *, lag(level) OVER w AS before, (epoch_us(reading_date) - epo
     ),
 )
 def _e13(spark, sf):
-    w = Window.partitionBy("container_id").orderBy("reading_date", "id")
-    r = a.readings(spark, sf).withColumn("before", F.lag("level").over(w).cast("double")).withColumn(
-        "elapsed", times.hours_between(F.lag("reading_date").over(w), F.col("reading_date"))
-    )
+    r = _with_before(spark, sf)
     share = whatif.overflow_share(F.col("before"), F.col("level") * 1.3, F.col("elapsed"))
     return r.where(F.col("before").isNotNull()).select("id", up(share, 6).alias("full_hours"))
 
 
 def _rates(spark, sf):
-    w = Window.partitionBy("container_id").orderBy("reading_date", "id")
-    r = a.readings(spark, sf).withColumn("before", F.lag("level").over(w)).withColumn(
-        "elapsed", times.hours_between(F.lag("reading_date").over(w), F.col("reading_date"))
-    )
+    r = _with_before(spark, sf)
     valid = (~F.col("collected")) & F.col("before").isNotNull() & (F.col("level") < 99.5) & (F.col("elapsed") > 0)
-    rate = F.when(valid, F.greatest(F.col("level") - F.col("before"), F.lit(0)) / F.col("elapsed"))
+    rate = F.when(valid, F.greatest(F.col("level") - F.col("before"), F.lit(0.0)) / F.col("elapsed"))
     return r.select("container_id", times.epoch_micros(F.col("reading_date")).alias("at"), "id", rate.alias("rate"))
 
 

@@ -34,7 +34,7 @@ def read_window(spark: SparkSession, path: str, start: datetime, end: datetime)
 
 def drop_days(readings: DataFrame, days: DataFrame) -> DataFrame:
     """History without whole days (retention); `days` is (reading_day)."""
-    return readings.join(F.broadcast(days.select("reading_day")), "reading_day", "left_anti")
+    return readings.join(small(days.select("reading_day")), "reading_day", "left_anti")
 
 
 def measurement_export(measurements: DataFrame, containers: DataFrame, sites: DataFrame, collections: DataFrame) -> DataFrame:

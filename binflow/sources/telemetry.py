@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,25 +28,44 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
 
+# Columns that order messages by arrival: file time, file, offset of the block in it.
+ARRIVAL = ("arrived", "file", "block")
+
+
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(path)
+    """Messages with their arrival columns, oldest files first."""
+    raw = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(path)
+    return raw.select(
+        "*",
+        F.col("_metadata.file_modification_time").alias("arrived"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
 
 
-def normalise(raw: DataFrame, now: Column | None = None, sequence: Column | None = None) -> DataFrame:
-    """Flat measurements with defaults: unreadable time -> now, battery 100,
-    acceleration 1, fill 0.
+def numbered(messages: DataFrame, batch_id: int = 0) -> DataFrame:
+    """Batch rows with `id` rising in arrival order over all batches: by the arrival columns
+    present, then by place in the file and in the message. Number before a join moves rows.
 
-    `sequence` numbers the messages in arrival order (default: none, column absent);
-    inside a batch message the position follows.
+    An id packs the batch, the partition (13 bits) and the row in it (27 bits).
     """
+    order = [c for c in (*ARRIVAL, "_row", "position") if c in messages.columns or c == "_row"]
+    rows = messages.withColumn("_row", F.monotonically_increasing_id())
+    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).drop("_row")
+    partition, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    return placed.withColumn("id", F.lit(batch_id * 2**40).cast("bigint") + partition * 2**27 + row).drop("_at")
+
+
+def normalise(raw: DataFrame, now: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Flat measurements with defaults: unreadable time -> now, battery 100,
+    acceleration 1, fill 0. `keep` names columns of `raw` to pass through."""
     now = F.current_timestamp().cast(times.NTZ) if now is None else now
     single = F.struct("device_id", "container_id", "timestamp", "telemetry", "flags")
     messages = F.when(F.col("measurements").isNull(), F.array(single)).otherwise(F.col("measurements"))
-    numbered = raw.withColumn("_sequence", F.lit(None).cast("bigint") if sequence is None else sequence)
-    m = numbered.select("_sequence", F.posexplode(messages).alias("position", "m"))
+    m = raw.select(*keep, F.posexplode(messages).alias("position", "m"))
     t = "m.telemetry."
-    out = m.select(
-        "_sequence",
+    return m.select(
+        *keep,
         "position",
         F.col("m.device_id").alias("device_id"),
         F.col("m.container_id").alias("raw_container_id"),
@@ -58,4 +79,3 @@ def normalise(raw: DataFrame, now: Column | None = None, sequence: Column | None
         F.coalesce("m.flags.is_collection_detected", F.lit(False)).alias("collected"),
         F.col("m.flags.anomaly").alias("anomaly"),
     )
-    return out.drop("_sequence") if sequence is None else out.withColumnRenamed("_sequence", "sequence")

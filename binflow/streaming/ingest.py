@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from binflow.functions import times
 from binflow.operators import filters, network, readings as arrivals
-from binflow.session import cut
+from binflow.session import cut, small
 from binflow.sources import telemetry
 from binflow.sources.facts import with_day
 
@@ -70,49 +70,53 @@ def merge_states(states: DataFrame, batch: DataFrame, batch_id: int) -> DataFram
     )
 
 
-def resolved_stream(raw: DataFrame, containers: DataFrame, types: DataFrame) -> DataFrame:
-    """Messages with container, volume and reading columns; unknown senders keep a null
-    container and are counted by the `ingest` observation."""
-    flat = telemetry.normalise(raw)
-    resolved = network.resolve_identity(flat, containers)
+def resolve_batch(messages: DataFrame, containers: DataFrame, types: DataFrame) -> DataFrame:
+    """Numbered messages with their container (null for unknown senders) and its volume."""
+    resolved = network.resolve_identity(messages, containers)
     facts = containers.select(F.col("id").alias("container_id"), "container_type_id")
     volumes = types.select(F.col("id").alias("container_type_id"), "volume_m3")
-    rows = resolved.join(F.broadcast(facts.join(volumes, "container_type_id", "left").drop("container_type_id")), "container_id", "left")
-    return rows.observe(
-        "ingest", F.count("*").alias("received"), F.count("container_id").alias("updated"), F.count_if(F.col("container_id").isNull()).alias("not_found")
+    return resolved.join(small(facts.join(small(volumes), "container_type_id", "left").drop("container_type_id")), "container_id", "left")
+
+
+def batch_counts(resolved: DataFrame) -> DataFrame:
+    return resolved.agg(
+        F.count("*").alias("received"), F.count("container_id").alias("updated"), F.count_if(F.col("container_id").isNull()).alias("not_found")
     )
 
 
-def process_batch(batch: DataFrame, batch_id: int, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+def process_batch(resolved: DataFrame, batch_id: int, states: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readings to store, states after): all resolved readings with `accepted` and the
     level accepted before each."""
-    numbered = batch.where(F.col("container_id").isNotNull()).withColumn("id", F.monotonically_increasing_id())
-    numbered = cut(filters.telemetry_to_readings(numbered).withColumn("level", F.col("container_current_level")))
-    flagged = arrivals.accepted_readings(numbered, states=states.select("container_id", "current_level", "last_reading"))
-    flagged = cut(flagged)
+    rows = filters.telemetry_to_readings(resolved.where(F.col("container_id").isNotNull())).withColumn("level", F.col("container_current_level"))
+    flagged = cut(arrivals.accepted_readings(rows, states=states.select("container_id", "current_level", "last_reading")))
     return flagged, merge_states(states, flagged.where("accepted"), batch_id)
 
 
 def start(
     raw: DataFrame, containers: DataFrame, types: DataFrame, history_path: str, states_path: str, checkpoint: str, after_batch=None, available_now: bool = False,
 ) -> StreamingQuery:
-    """Start the ingest. `after_batch(readings, batch_id, states_before, states_after)`
+    """Start the ingest. Under `states_path` go the container states and the counts of
+    received, updated and unknown messages, per batch. `after_batch(readings, batch_id, states_before, states_after)`
     runs once the history and the states are stored, so its failure loses no reading."""
-    snapshots = Snapshots(states_path)
+    snapshots, counts = Snapshots(f"{states_path}/states"), Snapshots(f"{states_path}/counts")
     first = initial_states(containers)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = snapshots.before(spark, batch_id, first)
-        rows, after = process_batch(batch, batch_id, before)
+        messages = cut(telemetry.numbered(batch, batch_id))
+        resolved = cut(resolve_batch(messages, containers, types))
+        rows, after = process_batch(resolved, batch_id, before)
         stored = with_day(rows.withColumn("batch", F.lit(batch_id)))
         # Own partitions per batch: a retried batch replaces exactly what it wrote.
         stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("reading_day", "batch").parquet(history_path)
         snapshots.write(after, batch_id)
+        counts.write(batch_counts(resolved), batch_id)
         if after_batch is not None:
             after_batch(rows, batch_id, before, snapshots.at(spark, batch_id))
 
-    writer = resolved_stream(raw, containers, types).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    flat = telemetry.normalise(raw, keep=[c for c in telemetry.ARRIVAL if c in raw.columns])
+    writer = flat.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
