@@ -176,11 +176,17 @@ def typical_increments(rise_rows: DataFrame, keys: Sequence[str] = ("site_id",))
     """Median rise per hour of day (as a map) and overall, from `rises` rows. Rises have
     four decimals within 0-100, so the exact median keeps few distinct values."""
     k = list(keys)
-    usable = rise_rows.where(F.col("rise").isNotNull() & ~F.col("emptied"))
-    by_hour = usable.groupBy(*k, F.hour("timestamp").alias("hour")).agg(F.median("rise").alias("m"))
-    maps = by_hour.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("hour", "m"))).alias("by_hour"))
-    overall = usable.groupBy(*k).agg(F.median("rise").alias("overall"))
-    return maps.join(overall, k)
+    hour = F.hour("timestamp")
+    # Each rise counts under its hour and under all (-1): one pass, one shuffle.
+    usable = rise_rows.where(F.col("rise").isNotNull() & ~F.col("emptied")).select(
+        *k, "rise", F.explode(F.array(hour, F.lit(-1))).alias("hour")
+    )
+    medians = usable.groupBy(*k, "hour").agg(F.median("rise").alias("m"))
+    entry = F.struct("hour", "m")
+    return medians.groupBy(*k).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("hour") >= 0, entry))).alias("by_hour"),
+        F.max(F.when(F.col("hour") == -1, F.col("m"))).alias("overall"),
+    )
 
 
 def _generation(rise_rows: DataFrame, typical: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -231,25 +237,26 @@ def increment_profile(buckets: DataFrame, keys: Sequence[str] = ("site_id",)) ->
     hour and overall, each with its count, plus the number of buckets."""
     k = list(keys)
     rows = rises(buckets, keys)
-    usable = rows.where(~F.col("is_event") & (F.col("rise") > 0)).select(
-        *k, "rise", F.hour("timestamp").alias("hour"), (F.weekday("timestamp") * 24 + F.hour("timestamp")).alias("slot")
+    usable = ~F.col("is_event") & F.coalesce(F.col("rise") > 0, F.lit(False))
+    # Every bucket counts under "all"; a usable rise also under its hour and weekly slot.
+    level = F.struct(F.lit("all").alias("kind"), F.lit(0).alias("at"))
+    hour = F.struct(F.lit("hourly").alias("kind"), F.hour("timestamp").alias("at"))
+    slot = F.struct(F.lit("weekly").alias("kind"), (F.weekday("timestamp") * 24 + F.hour("timestamp")).alias("at"))
+    spread = rows.select(
+        *k, F.when(usable, F.col("rise")).alias("rise"), F.explode(F.when(usable, F.array(level, hour, slot)).otherwise(F.array(level))).alias("g")
     )
-
-    def summary(column: str, name: str) -> DataFrame:
-        return (
-            usable.groupBy(*k, column)
-            .agg(F.median("rise").alias("m"), F.count("*").alias("n"))
-            .groupBy(*k)
-            .agg(F.map_from_entries(F.collect_list(F.struct(column, F.struct("m", "n")))).alias(name))
-        )
-
-    overall = usable.groupBy(*k).agg(F.median("rise").alias("overall"), F.count("*").alias("increments"))
-    total = buckets.groupBy(*k).agg(F.count("*").alias("bucket_count"))
-    return (
-        total.join(overall, k, "left")
-        .join(summary("slot", "weekly"), k, "left")
-        .join(summary("hour", "hourly"), k, "left")
-        .withColumn("increments", F.coalesce("increments", F.lit(0).cast("bigint")))
+    cells = spread.groupBy(*k, "g.kind", "g.at").agg(F.median("rise").alias("m"), F.count("rise").alias("n"), F.count("*").alias("total"))
+    entry = F.struct(F.col("at"), F.struct("m", "n").alias("v"))
+
+    def kind(name: str, value: Column) -> Column:
+        return F.when(F.col("kind") == name, value)
+
+    return cells.groupBy(*k).agg(
+        F.max(kind("all", F.col("total"))).alias("bucket_count"),
+        F.max(kind("all", F.col("m"))).alias("overall"),
+        F.coalesce(F.max(kind("all", F.col("n"))), F.lit(0).cast("bigint")).alias("increments"),
+        F.map_from_entries(F.collect_list(kind("weekly", entry))).alias("weekly"),
+        F.map_from_entries(F.collect_list(kind("hourly", entry))).alias("hourly"),
     )
 
 

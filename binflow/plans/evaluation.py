@@ -13,6 +13,7 @@ from binflow.functions.numbers import half_even, ratio
 from binflow.operators import history as series
 from binflow.plans import forecast
 from binflow.plans.forecast import Forecaster, Request
+from binflow.session import cut
 
 KEYS = ("site_id", "cutoff")
 # Fixed value: origin of the cutoff grid.
@@ -100,7 +101,8 @@ def backtest(buckets: DataFrame, cutoffs: DataFrame, e: Evaluation, model: Forec
     """One row per (site, cutoff): errors against the uncollected level, crossings and
     the confusion counts. All cutoffs run in the same job."""
     k = list(KEYS)
-    rows = evaluation_rows(buckets, cutoffs, e)
+    # Read by the starts, the training and the truth: stored once.
+    rows = cut(evaluation_rows(buckets, cutoffs, e))
     starts = _starts(buckets if sites is None else sites, rows, cutoffs, features)
     points = model(starts, rows.where(~F.col("observed")).select(*k, "timestamp", "level", "collected"), e.request, KEYS)
     truth = series.uncollected_levels(rows.select(*k, "timestamp", "level", "collected", "observed"), KEYS)
@@ -304,6 +306,6 @@ def extremes(report: DataFrame, count: int = 10) -> DataFrame:
 
 def evaluate(samples: DataFrame, bounds: DataFrame, e: Evaluation, model: Forecaster = forecast.baseline, how: str = "avg", carry: int = series.MAX_CARRY_MINUTES, features: DataFrame | None = None) -> DataFrame:
     """Whole run: cutoffs, buckets, backtest, long metrics."""
-    cutoffs = rolling_cutoffs(bounds, e)
-    buckets = series.site_buckets(samples, e.interval_minutes, how, carry)
-    return metric_rows(backtest(buckets, cutoffs, e, model, features), e.early_hours, e.late_hours)
+    cutoffs = cut(rolling_cutoffs(bounds, e))
+    buckets = cut(series.site_buckets(samples, e.interval_minutes, how, carry))
+    return metric_rows(cut(backtest(buckets, cutoffs, e, model, features)), e.early_hours, e.late_hours)

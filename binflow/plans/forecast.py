@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from binflow.functions import times
 from binflow.functions.numbers import clamp, half_even
 from binflow.operators import history as series
+from binflow.session import cut
 
 
 @dataclass(frozen=True)
@@ -116,6 +117,7 @@ def from_quantiles(starts: DataFrame, history: DataFrame, quantiles: DataFrame,
     quantiles rise one point per step.
     """
     k = list(keys)
+    history = cut(history)
     h = with_snapshot(starts, history, request.interval_minutes, keys)
     shape = h.groupBy(*k).agg(F.count("*").alias("buckets"), F.max_by("level", "timestamp").alias("last_level"))
     original = history.groupBy(*k).agg(F.count("*").alias("own_buckets"))
@@ -166,6 +168,7 @@ def seasonal_quantiles(starts: DataFrame, history: DataFrame, request: Request,
 
 
 def seasonal(starts: DataFrame, history: DataFrame, request: Request, keys: Sequence[str] = ("site_id",)) -> DataFrame:
+    history = cut(history)
     return from_quantiles(starts, history, seasonal_quantiles(starts, history, request, keys), request, keys)
 
 
@@ -221,6 +224,7 @@ def project_sites(
 ) -> tuple[DataFrame, DataFrame]:
     """Every complete site of `snapshots` projected from `as_of`; the second frame lists
     the sites skipped for lack of readings."""
+    snapshots = cut(snapshots)
     ready = snapshots.where("complete")
     starts = ready.select("site_id", as_of.alias("generated_at"), as_of.alias("snapshot_at"), F.col("level").alias("current_level"))
     if features is not None:

@@ -80,14 +80,15 @@ def overload_steps(acc: DataFrame, hours_per_bucket: float = 1.0) -> DataFrame:
     critical and to the full level: all that any container count needs."""
     rows = acc.select(
         "site_id",
+        "containers",
         F.explode(
             F.array(
                 F.struct(F.lit("critical").alias("kind"), _steps(F.col("acc"), CRITICAL_LEVEL).alias("k")),
                 F.struct(F.lit("full").alias("kind"), _steps(F.col("acc"), FULL_LEVEL).alias("k")),
             )
         ).alias("s"),
-    ).select("site_id", "s.kind", "s.k")
-    return rows.groupBy("site_id", "kind", "k").agg((F.count("*") * hours_per_bucket).alias("hours"))
+    ).select("site_id", "containers", "s.kind", "s.k")
+    return rows.groupBy("site_id", "kind", "k").agg((F.count("*") * hours_per_bucket).alias("hours"), F.first("containers").alias("now"))
 
 
 def overload_hours(steps: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -111,8 +112,8 @@ def overload_hours(steps: DataFrame, candidates: DataFrame) -> DataFrame:
 def cost_curves(acc: DataFrame, hours_per_bucket: float = 1.0) -> DataFrame:
     """Per site its current count and the cost for 1, 2, ... containers as an array; from
     the end of the array on the cost is zero."""
-    steps = overload_steps(acc, hours_per_bucket)
-    counts = acc.groupBy("site_id").agg(F.first("containers").alias("now"))
+    steps = cut(overload_steps(acc, hours_per_bucket))
+    counts = steps.groupBy("site_id").agg(F.first("now").alias("now"))
     top = steps.groupBy("site_id").agg(F.max("k").alias("top"))
     wanted = counts.join(top, "site_id").select(
         "site_id", "now", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("now") + 1, F.col("top") + 1))).alias("containers")
@@ -142,7 +143,7 @@ def candidates(sites: DataFrame, containers: DataFrame, readings: DataFrame, clo
     rows = network.sites_of_interest(sites, containers, readings, start, clock, CRITICAL_LEVEL)
     types = containers.where(F.col("deleted_at").isNull()).groupBy("site_id").agg(F.min("container_type_id").alias("type_id"))
     samples = history.site_samples(readings, containers, start, clock)
-    hourly = history.hourly_levels(samples).join(rows.select("site_id"), "site_id", "left_semi")
+    hourly = cut(history.hourly_levels(samples).join(rows.select("site_id"), "site_id", "left_semi"))
     means = hourly.groupBy("site_id").agg(F.avg("level").alias("average_level"))
     group = F.concat_ws("/", F.coalesce(F.col("waste_type_id").cast("string"), F.lit("-")), F.coalesce(F.col("type_id").cast("string"), F.lit("-")))
     chosen = rows.join(types, "site_id").join(means, "site_id").withColumn("group_key", group)

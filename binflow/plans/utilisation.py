@@ -42,8 +42,9 @@ def reading_metrics(readings: DataFrame, window_days: int | None = None) -> Data
     ends at the newest reading. One partial aggregate; a crowded site costs no extra."""
     r = readings.where(F.col("level").isNotNull() & F.col("site_id").isNotNull())
     if window_days is not None:
-        clock = r.agg(F.max("reading_date").alias("_clock"))
-        r = attach(r, clock).where(F.col("reading_date") >= times.plus_minutes(F.col("_clock"), -1440 * window_days)).drop("_clock")
+        # A scalar subquery reaches the scan as a filter once the clock is known.
+        start = r.agg(times.plus_minutes(F.max("reading_date"), -1440 * window_days)).scalar()
+        r = r.where(F.col("reading_date") >= start)
     level = F.col("level")
     return r.groupBy("site_id").agg(
         half_up(F.avg(level), 2).alias("avg_fill"),
@@ -232,6 +233,7 @@ def plan_summary(moves: DataFrame, metrics: DataFrame, demand: DataFrame, config
 
 def score_plan(metrics: DataFrame, config: ScoreConfig) -> tuple[DataFrame | None, DataFrame, DataFrame]:
     """Moves (or none), the supply and the demand they were drawn from."""
+    metrics = cut(metrics)
     supply, demand = donor_supply(metrics, config), receiver_demand(metrics, config)
     edges = candidate_edges(supply, demand, config)
     moves = greedy_moves(

@@ -13,6 +13,7 @@ from binflow.plans.evaluation import Evaluation
 from binflow.plans.forecast import Request
 from binflow.queries.duck import add_cte, half_even, with_ctes
 from binflow.queries.registry import query
+from binflow.session import cut
 from binflow.queries.series import INTERVAL, SPLIT, buckets, snapshots
 
 REQUEST = Request(horizon_hours=48, interval_minutes=INTERVAL, critical_level=80.0)
@@ -54,7 +55,7 @@ forecast_ctes("one", "one_rows", "one_starts")
 
 def _starts(spark, sf):
     at = F.expr(f"timestamp_ntz'{SPLIT}'")
-    past = buckets(spark, sf).where(F.col("timestamp") <= at)
+    past = cut(buckets(spark, sf).where(F.col("timestamp") <= at))
     starts = past.groupBy("site_id").agg(F.max_by("level", "timestamp").alias("current_level")).select(
         "site_id", "current_level", at.alias("generated_at"), F.when(F.col("site_id") % 3 != 0, F.lit(0.5) + F.col("site_id") % 4).alias("density_factor")
     )
@@ -222,7 +223,7 @@ def _cutoffs(spark, sf):
 
 
 def results(spark, sf):
-    return evaluation.backtest(buckets(spark, sf), _cutoffs(spark, sf), EVALUATION)
+    return cut(evaluation.backtest(cut(buckets(spark, sf)), cut(_cutoffs(spark, sf)), EVALUATION))
 
 
 @query("i05_rolling_cutoffs", with_ctes("cuts", "SELECT cutoff FROM cuts"))

@@ -13,6 +13,7 @@ from binflow.plans.overload import OverloadConfig
 from binflow.plans.utilisation import ScoreConfig
 from binflow.queries.duck import add_cte, half_even, half_up, haversine, with_ctes
 from binflow.queries.registry import query
+from binflow.session import cut
 
 CONFIG = ScoreConfig(0.36, 0.38, 0.40, 2.5)
 OVERLOAD = OverloadConfig(max_distance_km=2.5, move_cost_hours_per_week=0.25, window_days=28)
@@ -142,7 +143,7 @@ def _i08r(spark, sf):
 
 
 def _plan(spark, sf):
-    m = network_metrics(spark, sf)
+    m = cut(network_metrics(spark, sf))
     moves, supply, demand = utilisation.score_plan(m, CONFIG)
     if moves is None:
         moves = spark.createDataFrame([], "donor_id bigint, receiver_id bigint, distance_km double, score double, amount bigint")
@@ -202,6 +203,7 @@ def _candidates(spark, sf):
 
 def accumulated(spark, sf):
     sites, hourly = _candidates(spark, sf)
+    sites = cut(sites)
     return sites, overload.accumulated(hourly, sites.select("site_id", "containers"))
 
 
@@ -249,7 +251,8 @@ def _limits(sites):
 
 def _curves(spark, sf):
     sites, acc = accumulated(spark, sf)
-    return _limits(sites), overload.cost_curves(acc), acc
+    acc = cut(acc)
+    return _limits(sites), cut(overload.cost_curves(acc)), acc
 
 
 @query("i12_overload_greedy_plan")

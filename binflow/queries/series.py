@@ -10,6 +10,7 @@ from binflow.functions.numbers import half_up as up
 from binflow.operators import history, network, readings as arrivals
 from binflow.queries.duck import add_cte, half_even, half_up, with_ctes
 from binflow.queries.registry import query
+from binflow.session import cut
 
 INTERVAL, CARRY = 360, 1080
 
@@ -59,6 +60,11 @@ def buckets(spark, sf):
     return history.site_buckets(a.samples(spark, sf), INTERVAL, "avg", CARRY)
 
 
+def stored_buckets(spark, sf):
+    """Buckets written once, for queries that read them several times."""
+    return cut(buckets(spark, sf))
+
+
 @query("d10_site_buckets", with_ctes("buckets", "SELECT * FROM buckets"))
 def _d10(spark, sf):
     return buckets(spark, sf).drop("avg_level")
@@ -120,7 +126,7 @@ def _d12c(spark, sf):
     with_ctes("typical", f"SELECT site_id, hour, {half_up('m', 4)} AS typical, {half_up('overall', 4)} AS overall FROM typical"),
 )
 def _d13(spark, sf):
-    t = history.typical_increments(history.rises(buckets(spark, sf)))
+    t = history.typical_increments(history.rises(stored_buckets(spark, sf)))
     return t.select("site_id", F.explode("by_hour").alias("hour", "m"), "overall").select(
         "site_id", "hour", up(F.col("m"), 4).alias("typical"), up(F.col("overall"), 4).alias("overall")
     )
@@ -174,7 +180,7 @@ def _e02(spark, sf):
 
 @query("e03_generation", with_ctes("generated", f"SELECT site_id, timestamp, {half_even('generation', 4)} AS generation FROM generated"))
 def _e03(spark, sf):
-    return history.generation(buckets(spark, sf)).select("site_id", "timestamp", "generation")
+    return history.generation(stored_buckets(spark, sf)).select("site_id", "timestamp", "generation")
 
 
 SPLIT = "2024-01-20 00:00:00"
@@ -190,7 +196,7 @@ add_cte(
 
 
 def _uncollected(spark, sf):
-    b = buckets(spark, sf).withColumn("observed", F.col("timestamp") > F.expr(f"timestamp_ntz'{SPLIT}'"))
+    b = stored_buckets(spark, sf).withColumn("observed", F.col("timestamp") > F.expr(f"timestamp_ntz'{SPLIT}'"))
     return history.uncollected_levels(b)
 
 
