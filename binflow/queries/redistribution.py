@@ -15,7 +15,7 @@ from binflow.queries.duck import add_cte, half_even, half_up, haversine, with_ct
 from binflow.queries.registry import query
 from binflow.session import cut
 
-CONFIG = ScoreConfig(0.36, 0.38, 0.40, 2.5)
+CONFIG = ScoreConfig(0.37, 0.371, 0.372, 6.0)
 OVERLOAD = OverloadConfig(max_distance_km=2.5, move_cost_hours_per_week=0.25, window_days=28)
 CLOCK = "2024-01-30 00:00:00"
 
@@ -120,24 +120,43 @@ def _c08(spark, sf):
     return spatial.planar_pairs(s, 2.0).select("donor_id", "receiver_id", up(F.col("distance_km"), 6).alias("distance_km"))
 
 
-@query(
-    "i08_donor_supply",
-    with_ctes(
-        "network_metrics",
-        "SELECT site_id, supply FROM (SELECT site_id, container_count - CAST(greatest(1, ceil(container_count * avg_fill_level / 50e0)) AS BIGINT) AS supply FROM network_metrics WHERE utilization_score < 0.36e0 AND container_count > 1) WHERE supply > 0",
-    ),
+add_cte(
+    "supply", "network_metrics",
+    "SELECT site_id, supply FROM (SELECT site_id, container_count - CAST(greatest(1, ceil(container_count * avg_fill_level / 50e0)) AS BIGINT) AS supply FROM network_metrics WHERE utilization_score < 0.37e0 AND container_count > 1) WHERE supply > 0",
+)
+add_cte(
+    "demand", "network_metrics",
+    "SELECT site_id, demand FROM (SELECT site_id, CASE WHEN max_containers IS NULL THEN d ELSE least(d, greatest(0, max_containers - container_count)) END AS demand FROM (SELECT *, CAST(greatest(1, ceil(container_count * (utilization_score / 0.371e0 - 1))) AS BIGINT) AS d FROM network_metrics WHERE utilization_score >= 0.372e0)) WHERE demand > 0",
+)
+# The sequential greedy: edges in order, each taking what both ends still have.
+add_cte(
+    "edge_list", "supply demand network_metrics",
+    "SELECT row_number() OVER (ORDER BY score DESC, receiver_id, distance_km, donor_id) AS rk, * FROM (SELECT d.site_id AS donor_id, r.site_id AS receiver_id, r.utilization_score AS score, "
+    + haversine("d.latitude", "d.longitude", "r.latitude", "r.longitude")
+    + " AS distance_km FROM (SELECT * FROM network_metrics SEMI JOIN supply USING (site_id)) d JOIN (SELECT * FROM network_metrics SEMI JOIN demand USING (site_id)) r ON d.waste_type_id IS NOT DISTINCT FROM r.waste_type_id AND d.container_type_id IS NOT DISTINCT FROM r.container_type_id) WHERE distance_km <= 6e0",
 )
+_GREEDY = with_ctes(
+    "edge_list",
+    "SELECT donor_id, receiver_id, amount FROM steps WHERE amount > 0",
+).replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "\nSELECT donor_id, receiver_id, amount FROM steps",
+    ",\nsteps AS (SELECT CAST(0 AS BIGINT) AS rk, CAST(0 AS BIGINT) AS donor_id, CAST(0 AS BIGINT) AS receiver_id, CAST(0 AS BIGINT) AS amount,"
+    " (SELECT list(coalesce(q.supply, 0) ORDER BY i) FROM range((SELECT 1 + max(s_suppkey) FROM supplier)) r(i) LEFT JOIN supply q ON q.site_id = i) AS s,"
+    " (SELECT list(coalesce(q.demand, 0) ORDER BY i) FROM range((SELECT 1 + max(s_suppkey) FROM supplier)) r(i) LEFT JOIN demand q ON q.site_id = i) AS d"
+    " UNION ALL SELECT e.rk, e.donor_id, e.receiver_id, least(s[e.donor_id + 1], d[e.receiver_id + 1]),"
+    " list_transform(s, lambda x, i: CASE WHEN i = e.donor_id + 1 THEN x - least(s[e.donor_id + 1], d[e.receiver_id + 1]) ELSE x END),"
+    " list_transform(d, lambda x, i: CASE WHEN i = e.receiver_id + 1 THEN x - least(s[e.donor_id + 1], d[e.receiver_id + 1]) ELSE x END)"
+    " FROM steps JOIN edge_list e ON e.rk = steps.rk + 1)"
+    "\nSELECT donor_id, receiver_id, amount FROM steps",
+)
+
+
+@query("i08_donor_supply", with_ctes("supply", "SELECT site_id, supply FROM supply"))
 def _i08(spark, sf):
     return utilisation.donor_supply(network_metrics(spark, sf), CONFIG).select("site_id", "supply")
 
 
-@query(
-    "i08_receiver_demand",
-    with_ctes(
-        "network_metrics",
-        "SELECT site_id, demand FROM (SELECT site_id, CASE WHEN max_containers IS NULL THEN d ELSE least(d, greatest(0, max_containers - container_count)) END AS demand FROM (SELECT *, CAST(greatest(1, ceil(container_count * (utilization_score / 0.38e0 - 1))) AS BIGINT) AS d FROM network_metrics WHERE utilization_score >= 0.40e0)) WHERE demand > 0",
-    ),
-)
+@query("i08_receiver_demand", with_ctes("demand", "SELECT site_id, demand FROM demand"))
 def _i08r(spark, sf):
     return utilisation.receiver_demand(network_metrics(spark, sf), CONFIG).select("site_id", "demand")
 
@@ -150,9 +169,9 @@ def _plan(spark, sf):
     return m, moves, supply, demand
 
 
-@query("i09_score_greedy_plan")
+@query("i09_score_greedy_plan", _GREEDY)
 def _i09(spark, sf):
-    return _plan(spark, sf)[1]
+    return _plan(spark, sf)[1].select("donor_id", "receiver_id", "amount")
 
 
 @query("i15_assigned_moves")
