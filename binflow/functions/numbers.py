@@ -29,7 +29,3 @@ def clamp(value: Column, low: float, high: float) -> Column:
 def ratio(numerator: Column, denominator: Column, digits: int = 4) -> Column:
     """numerator/denominator rounded; null when the denominator is zero."""
     return F.when(denominator != 0, half_even(numerator / denominator, digits))
-
-
-def first_or(*options: Column) -> Column:
-    return F.coalesce(*options)

@@ -116,7 +116,7 @@ def id_suffix(text: Column) -> Column:
 
 
 def numeric_suffix(text: Column) -> Column:
-    return F.expr("cast(null as bigint)") if text is None else id_suffix(text).try_cast("bigint")
+    return id_suffix(text).try_cast("bigint")
 
 
 def source_serie_id(raw: Column, prefix: str) -> Column:

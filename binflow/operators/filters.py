@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from binflow.functions import levels, text
 from binflow.functions.numbers import half_even
 
-ACTIVE = "deleted_at IS NULL"
-
-
 def active(df: DataFrame) -> DataFrame:
     """Rows not soft deleted; filter before an outer join so its left side survives."""
     return df.where(F.col("deleted_at").isNull())
@@ -164,7 +161,7 @@ def lookup(sites: DataFrame, containers: DataFrame, ids: DataFrame) -> DataFrame
 
     `ids` has one column `raw_id`; output is one row per resolved id.
     """
-    wanted = ids.select("raw_id", text.id_suffix(F.col("raw_id")).try_cast("bigint").alias("number"))
+    wanted = ids.select("raw_id", text.numeric_suffix(F.col("raw_id")).alias("number"))
     by_site = wanted.join(active(sites), wanted["number"] == F.col("id")).select(
         "raw_id", "id", F.lit("site").alias("kind"), "name", "address", "latitude", "longitude"
     )

@@ -9,6 +9,7 @@ from binflow.functions import geo, levels, numbers, text, times
 from binflow.operators import filters, network
 from binflow.queries.duck import CTES, category, half_even, half_up, haversine, with_ctes
 from binflow.queries.registry import query
+from binflow.session import attach
 
 BOX = (-34.69, -34.64, -58.53, -58.51)
 
@@ -359,7 +360,7 @@ def _c05(spark, sf):
 )
 def _c05j(spark, sf):
     users = a.table(spark, sf, "events").agg((F.max("user_id") + 1).alias("users"))
-    o = a.table(spark, sf, "orders").join(F.broadcast(users))
+    o = attach(a.table(spark, sf, "orders"), users)
     moments = o.select(
         (F.col("o_orderkey") % F.col("users")).alias("container_id"),
         times.plus_minutes(F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.col("o_custkey") * 29 % 43200).alias("moment"),
@@ -382,7 +383,6 @@ def _c06(spark, sf):
 
 # The transfer stations.
 STATIONS = [("COLEGIALES", -34.5772, -58.4451), ("FLORES", -34.6521, -58.4231), ("SOLDATI", -34.6720, -58.4550)]
-_STATION_D = "pow((latitude - {}) * 111000, 2) + pow((longitude - {}) * 91400, 2)"
 
 
 @query(

@@ -232,3 +232,29 @@ def test_short_history_cutoff(spark):
 def test_config_bounds():
     with pytest.raises(ValueError):
         utilisation.ScoreConfig(0.6, 0.5, 0.7)
+
+
+def test_planner_registry(spark):
+    from binflow.plans import planners
+
+    planners.register("nothing", lambda sites, curves, config: None)
+    with pytest.raises(KeyError):
+        planners.planner("none")
+    readings = spark.createDataFrame(
+        [(i, c, hour(h), int(min(100, 12 * h) if c == 1 else 15), False) for i, (c, h) in enumerate((c, h) for c in (1, 2, 3, 4) for h in range(12))],
+        "id bigint, container_id bigint, reading_date timestamp_ntz, level int, collected boolean",
+    )
+    containers = spark.createDataFrame(
+        [(1, 1, 90, 1, None), (2, 2, 15, 1, None), (3, 2, 10, 1, None), (4, 2, 15, 1, None)],
+        "id bigint, site_id bigint, current_level int, container_type_id bigint, deleted_at timestamp_ntz",
+    )
+    sites = spark.createDataFrame(
+        [(1, "uno", -34.6, -58.40, 1, None), (2, "dos", -34.6, -58.3945, 1, None)],
+        "id bigint, name string, latitude double, longitude double, waste_type_id bigint, deleted_at timestamp_ntz",
+    )
+    args = (sites, containers, readings, F.lit(hour(12)).cast("timestamp_ntz"), OverloadConfig(max_distance_km=1.0))
+    assert planners.build_plan(*args, key="nothing") is None
+    moves, summary = planners.build_plan(*args)
+    assert rows_of(moves, "donor_id", "receiver_id", "container_id", "position") == [(2, 1, 3, 1)]
+    s = summary.first()
+    assert s["total_containers_moved"] == 1 and s["overflow_hours_before"] > s["overflow_hours_after"]
