@@ -131,7 +131,25 @@ def _i23(spark, sf):
     return territory.capacity_verdict(s, territory.segment_capacity(s, _capacity_segments(spark, sf)))
 
 
-@query("h05_transverse_mercator")
+def _utm_sql() -> str:
+    """The projection written out for DuckDB, on the parameters of UTM 21 south."""
+    n = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+    a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    e = 2 * n**0.5 / (1 + n)
+    alpha = (
+        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+        61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280,
+    )
+    east = " + ".join(f"{c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(alpha, 1))
+    north = " + ".join(f"{c!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(alpha, 1))
+    return with_ctes(
+        "spots",
+        f"SELECT id, {half_up(f'500000 + {a!r} * (eta + {east})', 3)} AS east, {half_up(f'10000000 + {a!r} * (xi + {north})', 3)} AS north FROM (SELECT id, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM"
+        f" (SELECT id, radians(x + 57) AS l, sinh(atanh(sin(radians(y))) - {e!r} * atanh({e!r} * sin(radians(y)))) AS t FROM spots))",
+    )
+
+
+@query("h05_transverse_mercator", _utm_sql())
 def _h05(spark, sf):
     x, y = geo.project(F.col("y"), F.col("x"), geo.UTM_21_SOUTH)
     return spots(spark, sf).select("id", up(x, 3).alias("east"), up(y, 3).alias("north"))
@@ -262,17 +280,31 @@ def _obstacles(spark, sf):
     )
 
 
-@query("c18_transversal_streets")
-def _c18(spark, sf):
-    return curb.corners(_metre_segments(spark, sf))
-
-
 add_cte(
     "mseg", "",
     "SELECT s_suppkey AS segment_id, CASE WHEN s_suppkey % 2 = 0 THEN 'FILA ' || (s_suppkey // 25) ELSE 'COLUMNA ' || (s_suppkey % 25) END AS street, s_suppkey % 25 * 105e0 AS ax, s_suppkey // 25 * 105e0 AS ay, s_suppkey % 25 * 105e0 + CASE WHEN s_suppkey % 2 = 0 THEN 100 ELSE 0 END AS qx, s_suppkey // 25 * 105e0 + CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 100 END AS qy FROM supplier",
 )
 
 
+add_cte("segment_ends", "mseg", "SELECT segment_id, street AS own, 's' AS e, ax AS x, ay AS y FROM mseg UNION ALL SELECT segment_id, street, 't', qx, qy FROM mseg")
+add_cte(
+    "met", "segment_ends",
+    f"SELECT p.segment_id, p.e, list_sort(list(DISTINCT m.street)) AS streets, min({_DIST}) AS d FROM segment_ends p JOIN mseg m ON m.street <> p.own AND {_DIST} <= 15 GROUP BY ALL",
+)
+
+
+@query(
+    "c18_transversal_streets",
+    with_ctes(
+        "met",
+        "SELECT segment_id, s.streets IS NOT NULL AND NOT (coalesce(s.streets = t.streets, false) AND s.d > t.d) AS corner_start, t.streets IS NOT NULL AND NOT (coalesce(s.streets = t.streets, false) AND s.d <= t.d) AS corner_end"
+        " FROM (SELECT * FROM met WHERE e = 's') s FULL JOIN (SELECT * FROM met WHERE e = 't') t USING (segment_id)",
+    ),
+)
+def _c18(spark, sf):
+    return curb.corners(_metre_segments(spark, sf))
+
+
 @query(
     "c19_obstacles_on_segments",
     with_ctes(
