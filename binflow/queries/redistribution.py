@@ -181,7 +181,25 @@ def _i15(spark, sf):
     return utilisation.move_effects(utilisation.assign_containers(moves, ranks), m)
 
 
-@query("d31_plan_summary")
+def _spread(level: str, weight: str) -> str:
+    mean = f"sum({weight} * {level}) / sum({weight})"
+    return f"{half_even(mean, 2)} AS m, {half_even(f'sqrt(greatest(0, sum({weight} * {level} * {level}) / sum({weight}) - pow({mean}, 2)))', 2)} AS s"
+
+
+_SUMMARY = _GREEDY.replace(
+    "\nSELECT donor_id, receiver_id, amount FROM steps WHERE amount > 0",
+    ",\nmoved AS (SELECT e.donor_id, e.receiver_id, e.distance_km, t.amount FROM steps t JOIN edge_list e ON e.rk = t.rk WHERE t.amount > 0),"
+    "\nafter AS (SELECT m.*, coalesce(g.n, 0) AS given, m.container_count - coalesce(g.n, 0) + coalesce(r.n, 0) AS nc FROM network_metrics m LEFT JOIN (SELECT donor_id AS site_id, sum(amount) AS n FROM moved GROUP BY 1) g ON g.site_id = m.site_id"
+    " LEFT JOIN (SELECT receiver_id AS site_id, sum(amount) AS n FROM moved GROUP BY 1) r ON r.site_id = m.site_id),"
+    "\nlevelled AS (SELECT CAST(nc AS DOUBLE) AS nc, least(100e0, greatest(0e0, avg_fill_level * container_count / nc)) AS nl FROM after WHERE nc > 0)"
+    "\nSELECT CAST(a.total AS BIGINT) AS total_containers_moved, a.receivers AS sites_receiving, a.donors AS sites_donating, a.km AS avg_distance_km, (SELECT count(*) FROM after WHERE given > 0 AND given >= container_count) AS sites_emptied,"
+    f" o.m AS original_mean_fill, o.s AS original_std_fill, n.m AS optimized_mean_fill, n.s AS optimized_std_fill, {half_even('least(coalesce(u.score, 0e0) * a.total / greatest(coalesce(w.wanted, 0), 1), 1e0)', 4)} AS expected_improvement"
+    f" FROM (SELECT coalesce(sum(amount), 0) AS total, count(DISTINCT receiver_id) AS receivers, count(DISTINCT donor_id) AS donors, coalesce({half_even('sum(amount * ' + half_even('distance_km', 4) + ') / sum(amount)', 4)}, 0e0) AS km FROM moved) a,"
+    f" (SELECT {_spread('avg_fill_level', 'container_count')} FROM network_metrics) o, (SELECT {_spread('nl', 'nc')} FROM levelled) n, (SELECT sum(demand) AS wanted FROM demand) w, (SELECT avg(utilization_score) AS score FROM network_metrics WHERE utilization_score >= 0.372e0) u",
+)
+
+
+@query("d31_plan_summary", _SUMMARY)
 def _d31(spark, sf):
     m, moves, _, demand = _plan(spark, sf)
     return utilisation.plan_summary(moves, m, demand, CONFIG)
@@ -274,12 +292,19 @@ def _curves(spark, sf):
     return _limits(sites), cut(overload.cost_curves(acc)), acc
 
 
+def _overload_moves(spark, sites, curves):
+    moves = overload.greedy_moves(sites, curves, OVERLOAD)
+    if moves is not None:
+        return moves
+    return spark.createDataFrame(
+        [], "group_key string, donor_id bigint, receiver_id bigint, distance_km double, overload_reduction double, round int"
+    )
+
+
 @query("i12_overload_greedy_plan")
 def _i12(spark, sf):
     sites, curves, _ = _curves(spark, sf)
-    moves = overload.greedy_moves(sites, curves, OVERLOAD)
-    if moves is None:
-        return spark.createDataFrame([], "donor_id bigint, receiver_id bigint, distance_km double, overload_reduction double")
+    moves = _overload_moves(spark, sites, curves)
     return moves.select("group_key", "donor_id", "receiver_id", "distance_km", "overload_reduction", "round")
 
 
@@ -318,7 +343,7 @@ def _i14(spark, sf):
 @query("i16_merged_moves")
 def _i16(spark, sf):
     sites, curves, _ = _curves(spark, sf)
-    moves = overload.greedy_moves(sites, curves, OVERLOAD)
+    moves = _overload_moves(spark, sites, curves)
     ranks = arrivals.least_full_first(a.containers(spark, sf))
     placed = overload.assign_containers(overload.cumulative_levels(moves, sites, ["round"]), ranks)
     return overload.merge_groups(placed)
@@ -343,5 +368,5 @@ def _e15(spark, sf):
 @query("d31_overload_summary")
 def _d31o(spark, sf):
     sites, curves, acc = _curves(spark, sf)
-    moves = overload.greedy_moves(sites, curves, OVERLOAD)
+    moves = _overload_moves(spark, sites, curves)
     return overload.plan_summary(moves, sites, overload.overload_steps(acc))
