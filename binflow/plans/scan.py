@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from binflow.session import ship_package
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -56,6 +58,7 @@ def scan(rows: DataFrame, starts: DataFrame, key: str, order: Sequence[str], blo
     columns and `values`; `starts` has the key and the state columns (missing keys start
     from nulls). Output columns: key, order columns, outputs.
     """
+    ship_package(rows.sparkSession)
     key_type = dict(rows.dtypes)[key]
     block_type = dict(rows.dtypes)[block]
     order_types = [(c, dict(rows.dtypes)[c]) for c in order]

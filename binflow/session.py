@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per context (no effect when it
+    already came in an archive, as with --py-files)."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_binflow_shipped", False) or not root.is_dir():
+        return
+    target = tempfile.mkdtemp(prefix="binflow-package-")
+    context.addPyFile(shutil.make_archive(f"{target}/binflow", "zip", root.parent, root.name))
+    context._binflow_shipped = True
+
+
 def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
