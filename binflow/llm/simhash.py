@@ -155,7 +155,7 @@ def links(fps: DataFrame, budget: int = 3, node: int = NODE) -> DataFrame:
     top = lambda depth: F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
     whole = fps.count()
     counts = spark.range(1).select(F.lit(0).cast("long").alias("n"), F.lit(whole).cast("long").alias("rows"))
-    pairs = counts.select(F.col("n").alias("x"), F.col("n").alias("y"), F.lit(0).alias("diff"), F.col("rows").alias("nx"), F.col("rows").alias("ny"))
+    pairs = stored(counts.select(F.col("n").alias("x"), F.col("n").alias("y"), F.lit(0).alias("diff"), F.col("rows").alias("nx"), F.col("rows").alias("ny")))
     depth, done = 0, []
     while whole > node and depth < BITS:
         depth += STEP
