@@ -1,6 +1,6 @@
 """Loads every operator of the subpackage, which registers its query."""
 
-from binflow.llm import simhash  # noqa: F401
+from binflow.llm import bpe, chat, decontaminate, language, quality, simhash, tokens  # noqa: F401
 from binflow.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
