@@ -132,26 +132,41 @@ class Profiles:
         return self.langs[best], float(1 - away[best] / (self.length * len(top)))
 
 
-def predict(docs: DataFrame, profiles: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """All columns of `docs` with lang_pred and score; `key` only names what is never read.
+def predict(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: list[str] | None = None, length: int = LENGTH) -> DataFrame:
+    """The columns `keep` of `docs` (all, if not given) with lang_pred and score; columns of
+    those names give way.
 
     The profiles, `length` rows for each language, reach the tasks by way of the driver.
     """
     model = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in profiles.select("lang", "gram", "rank").collect()])
     held: dict = {}
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    place = names.index(text) if text in names else len(names)
+    count = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.get("p") or held.setdefault("p", Profiles(model.value, length))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [p.predict(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                columns = [*part.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*list(part.schema)[:-1], ("lang_pred", pa.string()), ("score", pa.float64())]))
+                found = [p.predict(t) for t in part.column(place).to_pylist()]
+                columns = [*part.columns[:count], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*list(part.schema)[:count], ("lang_pred", pa.string()), ("score", pa.float64())]))
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"{fields}{', ' if names else ''}lang_pred string, score double")
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+    read = docs.select(*names, *([] if text in names else [F.col(text).alias("_text")]))
+    return read.mapInArrow(run, f"{fields}lang_pred string, score double")
+
+
+#: Below this score a text fits none of the profiles.
+LEAST_SCORE = 0.15
+
+
+def recognised(docs: DataFrame, profiles: DataFrame, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `docs` in one of the learnt languages, with their columns: those without a
+    letter, and those that fit no profile, go."""
+    found = predict(docs, profiles, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*docs.columns)
 
 
 @query("op7_language")
@@ -159,6 +174,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold_of(F.col("doc_id"), 4) == 2
     profiles = train(docs.where(~F.coalesce(held_out, F.lit(False))))
-    picked = docs.select("doc_id", "text")
-    found = predict(picked.select("doc_id", F.col("text").alias("_text")), profiles, text="_text")
+    found = predict(docs, profiles, keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from binflow.llm.common import query, stored, table
@@ -194,20 +194,48 @@ def links(fps: DataFrame, budget: int = 3, node: int = NODE) -> DataFrame:
     return found if found is not None else fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
 
 
+def _classes(known: DataFrame, key: str, budget: int, node: int) -> DataFrame:
+    """(fp, component): the least id among the documents that each fingerprint's links reach."""
+    groups = stored(known.groupBy("fp").agg(F.min(key).alias("least")))
+    roots = components(links(groups.select("fp"), budget, node))
+    named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    return stored(named.join(least, "root").select("fp", "component"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 3, size: int = 3, node: int = NODE) -> DataFrame:
     """(`key`, fp, component): every document with the least id of the documents that links reach.
 
     Rows with a null or empty text have fingerprint zero and are linked as such. Repeated rows
-    stay repeated. A null id is kept and takes part; it is never the least unless alone.
+    stay repeated. A null id takes part, but is a component's only where it has no other.
     """
     known = stored(fingerprints(docs, key, text, size))
-    groups = known.groupBy("fp").agg(F.min(key).alias("least"))
-    groups = stored(groups)
-    roots = components(links(groups.select("fp"), budget, node))
-    named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    class_of = stored(named.join(least, "root").select("fp", "component"))
-    return known.join(class_of, "fp").select(key, "fp", "component")
+    return known.join(_classes(known, key, budget, node), "fp").select(key, "fp", "component")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 3, size: int = 3, node: int = NODE) -> DataFrame:
+    """One row of `docs` for each component, that with the least id, with all its columns.
+
+    Where an id is null or stands in several rows it can't tell which row is meant; such rows
+    meet their component by their text's fingerprint, and of those with the component's id the
+    least text stays.
+    """
+    known = stored(fingerprints(docs, key, text, size))
+    class_of = _classes(known, key, budget, node)
+    known = known.join(class_of, "fp")
+    unclear = stored(known.groupBy(key).agg(F.count("*").alias("rows"), F.first("component").alias("c")).where((F.col("rows") > 1) | F.col(key).isNull()).select(key))
+    gone = known.where(F.col(key) != F.col("component")).select(key).unionByName(unclear.where(F.col(key).isNotNull())).distinct()
+    clear = docs.where(F.col(key).isNotNull()).join(gone, key, "left_anti").select(*docs.columns)
+    if not unclear.limit(1).count():
+        return clear
+    mine = unclear.select(F.col(key).alias("_k"))
+    rows = docs.join(mine, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    by_text = fingerprints(rows.select(F.col(text).alias("_t")).distinct(), "_t", "_t", size).join(class_of, "fp").select("_t", "component")
+    rows = rows.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_k"), F.col(text).alias("_t")).join(by_text.withColumnRenamed("_t", "_u"), F.col("_t").eqNullSafe(F.col("_u")))
+    rows = rows.where(F.col("_k").eqNullSafe(F.col("component")))
+    # A null component has no id to name it: the rows are told apart by their fingerprint's class.
+    first = Window.partitionBy("component", F.when(F.col("component").isNull(), F.col("_t"))).orderBy("_t")
+    return clear.unionByName(rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*"))
 
 
 @query("op5_simhash")
