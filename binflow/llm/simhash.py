@@ -195,12 +195,13 @@ def links(fps: DataFrame, budget: int = 3, node: int = NODE) -> DataFrame:
 
 
 def _classes(known: DataFrame, key: str, budget: int, node: int) -> DataFrame:
-    """(fp, component): the least id among the documents that each fingerprint's links reach."""
+    """(fp, root, component): the group that each fingerprint's links reach, by its least
+    fingerprint, and the least id among its documents."""
     groups = stored(known.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(groups.select("fp"), budget, node))
     named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    return stored(named.join(least, "root").select("fp", "component"))
+    return stored(named.join(least, "root").select("fp", "root", "component"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = 3, size: int = 3, node: int = NODE) -> DataFrame:
@@ -230,11 +231,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", budge
         return clear
     mine = unclear.select(F.col(key).alias("_k"))
     rows = docs.join(mine, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
-    by_text = fingerprints(rows.select(F.col(text).alias("_t")).distinct(), "_t", "_t", size).join(class_of, "fp").select("_t", "component")
+    by_text = fingerprints(rows.select(F.col(text).alias("_t")).distinct(), "_t", "_t", size).join(class_of, "fp").select("_t", "root", "component")
     rows = rows.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_k"), F.col(text).alias("_t")).join(by_text.withColumnRenamed("_t", "_u"), F.col("_t").eqNullSafe(F.col("_u")))
     rows = rows.where(F.col("_k").eqNullSafe(F.col("component")))
-    # A null component has no id to name it: the rows are told apart by their fingerprint's class.
-    first = Window.partitionBy("component", F.when(F.col("component").isNull(), F.col("_t"))).orderBy("_t")
+    # One id may name several groups, or none.
+    first = Window.partitionBy("root").orderBy("_t")
     return clear.unionByName(rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*"))
 
 
