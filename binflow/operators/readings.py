@@ -104,8 +104,9 @@ def retained(readings: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def seeded_order(key: Column, seed: int) -> Column:
-    """Repeatable pseudo-random order of integer keys (fixed linear congruence)."""
-    return (key * 1103515245 + seed * 12345 + 1013904223) % 2147483648
+    """Repeatable pseudo-random order of integer keys (fixed linear congruence). The key is
+    reduced first, so that no product leaves 64 bits."""
+    return (key % 2147483648 * 1103515245 + seed % 2147483648 * 12345 + 1013904223) % 2147483648
 
 
 def sample_sites(samples: DataFrame, first_cutoff: Column, last_cutoff: Column, start: Column, end: Column, size: int, seed: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ side spreads over `salt` sub-keys and the right side repeats on each.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,21 +110,31 @@ def planar_pairs(sites: DataFrame, max_km: float, group: str = "group_key", salt
 
 def nearest(
     points: DataFrame, targets: DataFrame, point_key: str, xy: tuple[Column, Column], box: tuple[Column, Column, Column, Column],
-    distance: Column, start: float, order: Sequence[str], max_rounds: int = 40,
+    distance: Column, start: float, order: Sequence[str],
 ) -> DataFrame:
-    """Closest target of every point, however far.
+    """Closest target of every point, however far; a row of nulls where there is none.
 
     Round k looks within `start * 2**k`: targets cover the cells of their box grown by
     that much, so a hit no farther than the cell size is final. Points still open go on
-    with doubled cells, and only cells that hold open points join anything.
+    with doubled cells, and only cells that hold open points join anything. Points without
+    coordinates meet no target; the rest are done at the latest when a cell is larger than
+    everything present.
     """
+    placed = cut(points.select(point_key, xy[0].cast("double").alias("_px"), xy[1].cast("double").alias("_py")))
+
+    def usable(*values: Column) -> Column:
+        known = [v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))) for v in values]
+        return F.coalesce(reduce(lambda a, b: a & b, known), F.lit(False))
+
+    targets = cut(targets.where(usable(*[b.cast("double") for b in box])))
+    rest = placed.where(usable(F.col("_px"), F.col("_py")))
+    reach = targets.select(*[F.abs(b).alias(f"b{i}") for i, b in enumerate(box)]).agg(F.max(F.greatest("b0", "b1", "b2", "b3")).alias("t")).first().t
+    farthest = rest.agg(F.max(F.greatest(F.abs("_px"), F.abs("_py"))).alias("p")).first().p
     found: list[DataFrame] = []
-    rest = cut(points.select(point_key, xy[0].alias("_px"), xy[1].alias("_py")))
-    targets = cut(targets)
     size = start
     order_struct = F.struct(F.col("_distance"), *order)
     payload = [c for c in targets.columns]
-    for _ in range(max_rounds):
+    while reach is not None and farthest is not None:
         here = on_cells(rest, F.col("_px"), F.col("_py"), size)
         laid = on_box_cells(targets, box, size, margin=size)
         best = (
@@ -136,10 +147,12 @@ def nearest(
         best = cut(best.select(point_key, "hit.*").withColumnRenamed("_distance", "distance"))
         found.append(best)
         rest = cut(rest.join(best.select(point_key), point_key, "left_anti"))
-        if rest.isEmpty():
+        if size > 4 * (reach + farthest) or rest.isEmpty():
             break
         size *= 2
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result
+    settled = reduce(DataFrame.unionByName, found) if found else None
+    if settled is None:
+        kinds = {c: targets.schema[c].dataType for c in payload}
+        none = [F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+        return placed.select(point_key, F.lit(None).cast("double").alias("distance"), *none)
+    return placed.select(point_key).distinct().join(settled, point_key, "left")

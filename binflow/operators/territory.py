@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +90,8 @@ def nearest_street(points: DataFrame, streets: DataFrame, start: float, point_ke
     )
     upper = F.upper("name")
     avenue = (F.upper("street_type") == "AVENIDA") | F.contains(upper, F.lit("AV.")) | F.contains(upper, F.lit("AVENIDA"))
-    return placed.select(point_key, "street_id", "distance", side.alias("load_side"), avenue.alias("is_avenue"))
+    known = F.col("street_id").isNotNull()
+    return placed.select(point_key, "street_id", "distance", F.when(known, side).alias("load_side"), F.when(known, avenue).alias("is_avenue"))
 
 
 def segment_capacity(sites: DataFrame, segments: DataFrame, key: str = "site_id") -> DataFrame:
@@ -169,31 +172,67 @@ def buffered_links(tracts: DataFrame, containers: DataFrame, buffer_m: float = 1
     )
 
 
-def largest_overlap(tracts: DataFrame, polygons: DataFrame, cell: float, samples: int = 24) -> DataFrame:
-    """(radio_code, polygon_id) of the polygon covering most of each tract, estimated on a
-    `samples` x `samples` point lattice over the tract's box (approximate by design)."""
-    x0, y0, x1, y1 = _polygon_box(F.col("rings"))
-    lattice = F.explode(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(samples - 1)),
-                lambda i: F.transform(
-                    F.sequence(F.lit(0), F.lit(samples - 1)),
-                    lambda j: F.struct(
-                        (x0 + (i + 0.5) * (x1 - x0) / samples).alias("x"), (y0 + (j + 0.5) * (y1 - y0) / samples).alias("y")
-                    ),
-                ),
-            )
+def _edges(rings: Column, base: Column) -> Column:
+    """The non-vertical edges of all rings as heights over `base`, left to right, with the sign
+    of their direction; a ring is closed if it isn't yet."""
+    def of(ring: Column) -> Column:
+        closed = F.concat(ring, F.slice(ring, 1, 1))
+        pairs = F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: F.struct(F.get(closed, i).alias("a"), F.get(closed, i + 1).alias("b")))
+        return F.transform(F.filter(pairs, lambda p: p.a.x != p.b.x), lambda p: F.struct(
+            F.least(p.a.x, p.b.x).alias("l"), F.greatest(p.a.x, p.b.x).alias("r"),
+            (F.when(p.a.x < p.b.x, p.a.y).otherwise(p.b.y) - base).alias("u"), (F.when(p.a.x < p.b.x, p.b.y).otherwise(p.a.y) - base).alias("v"),
+            F.when(p.a.x < p.b.x, 1.0).otherwise(-1.0).alias("sign"),
+        ))
+
+    return F.flatten(F.transform(rings, of))
+
+
+def overlap_area(a: Column, b: Column) -> Column:
+    """Area that two edge lists over one base (`_edges`) share.
+
+    A polygon is the signed sum of the strips below its edges, so the shared area is the signed
+    sum, over pairs of edges, of the integral of the lower one where both run.
+    """
+    def strip(p: Column, q: Column) -> Column:
+        lo, hi = F.greatest(p.l, q.l), F.least(p.r, q.r)
+
+        def at(e: Column, x: Column) -> Column:
+            return e.u + (e.v - e.u) * (x - e.l) / (e.r - e.l)
+
+        left, right = at(p, lo) - at(q, lo), at(p, hi) - at(q, hi)
+        # The lower line is q plus the negative part of p - q, a triangle or a trapezoid.
+        below = (
+            F.when((left < 0) & (right > 0), left * (left / (left - right)) / 2)
+            .when((left > 0) & (right < 0), right * (right / (right - left)) / 2)
+            .otherwise((F.least(left, F.lit(0.0)) + F.least(right, F.lit(0.0))) / 2)
         )
-    )
-    points = (
-        tracts.select("radio_code", "rings", lattice.alias("p"))
-        .where(geo.in_polygon(F.col("p.x"), F.col("p.y"), F.col("rings")))
-        .select(F.struct("radio_code", "p.x", "p.y").alias("key"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    )
-    hits = locate(points, polygons, cell, "key")
-    covered = hits.groupBy(F.col("key.radio_code").alias("radio_code"), "polygon_id").agg(F.count("*").alias("n"))
-    return covered.groupBy("radio_code").agg(F.max_by("polygon_id", F.struct("n", -F.col("polygon_id"))).alias("polygon_id"))
+        return F.when(lo < hi, p.sign * q.sign * (hi - lo) * ((at(q, lo) + at(q, hi)) / 2 + below)).otherwise(0.0)
+
+    return F.abs(F.aggregate(a, F.lit(0.0), lambda s, p: s + F.aggregate(b, F.lit(0.0), lambda t, q: t + strip(p, q))))
+
+
+def largest_overlap(tracts: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """(radio_code, polygon_id) of the polygon covering most of each tract, by exact area; of
+    equal areas the lowest id. Tracts that no polygon overlaps are left out.
+
+    Rings run one way for shells and the other for holes, or all rings of a polygon are shells.
+    Only boxes are laid on cells; rings join once for each pair whose boxes meet.
+    """
+    def boxed(df: DataFrame, key: str) -> DataFrame:
+        x0, y0, x1, y1 = _polygon_box(F.col("rings"))
+        return df.select(key, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+    box = (F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    t = spatial.on_box_cells(boxed(tracts, "radio_code"), box, cell)
+    p = spatial.on_box_cells(boxed(polygons, "polygon_id"), box, cell).withColumnsRenamed({c: f"p{c}" for c in ("x0", "y0", "x1", "y1")})
+    meet = (F.col("x0") < F.col("px1")) & (F.col("px0") < F.col("x1")) & (F.col("y0") < F.col("py1")) & (F.col("py0") < F.col("y1"))
+    pairs = t.join(p, list(spatial.CELLS)).where(meet).select("radio_code", "polygon_id", F.least("y0", "py0").alias("base")).distinct()
+    both = pairs.join(tracts.select("radio_code", F.col("rings").alias("_t")), "radio_code").join(polygons.select("polygon_id", F.col("rings").alias("_p")), "polygon_id")
+    area = overlap_area(_edges(F.col("_t"), F.col("base")), _edges(F.col("_p"), F.col("base")))
+    # Areas are compared to six digits of the tract's, so rounding breaks no tie.
+    covered = both.select("radio_code", "polygon_id", (area / overlap_area(_edges(F.col("_t"), F.col("base")), _edges(F.col("_t"), F.col("base")))).alias("share"))
+    covered = covered.withColumn("share", F.round("share", 6)).where(F.col("share") > 0)
+    return covered.groupBy("radio_code").agg(F.max_by("polygon_id", F.struct("share", -F.col("polygon_id"))).alias("polygon_id"))
 
 
 def street_ranges(streets: DataFrame) -> DataFrame:
@@ -293,15 +332,17 @@ def assign_routes(sites: DataFrame, segments: DataFrame, fallback_centres: DataF
     centres = centres.unionByName(fallback_centres.join(centres.select("route_id"), "route_id", "left_anti").select("route_id", "latitude", "longitude"))
     rest = parsed.join(matched.select("site_id"), "site_id", "left_anti").where((F.col("latitude") != 0) | (F.col("longitude") != 0))
     c = centres.select("route_id", F.col("latitude").alias("clat"), F.col("longitude").alias("clon"))
-    # Cells use longitudes halved: a lower bound of the true east-west distance up to 60
-    # degrees of latitude, so the ring search misses nothing.
-    lon = F.col("_px") * 2
+    # Cells use longitudes shrunk by the cosine of the highest latitude present: a lower bound
+    # of the true east-west distance anywhere, so the ring search misses nothing.
+    tops = [df.agg(F.max(F.abs(F.col(c))).alias("top")).first().top for df, c in ((rest, "latitude"), (c, "clat"))]
+    shrink = max(1e-6, math.cos(math.radians(min(90.0, max([0.0, *(t for t in tops if t is not None)])))))
+    lon = F.col("_px") / shrink
     scaled = F.hypot(F.col("_py") - F.col("clat"), (lon - F.col("clon")) * F.cos(F.radians((F.col("_py") + F.col("clat")) / 2)))
-    half = F.col("clon") / 2
+    narrow = F.col("clon") * shrink
     near = spatial.nearest(
-        rest, c, "site_id", (F.col("longitude") / 2, F.col("latitude")), (half, F.col("clat"), half, F.col("clat")), scaled, start_km / 111.0, ("route_id",)
+        rest, c, "site_id", (F.col("longitude") * shrink, F.col("latitude")), (narrow, F.col("clat"), narrow, F.col("clat")), scaled, start_km / 111.0, ("route_id",)
     )
-    last = near.select("site_id", "route_id", F.lit(10**9).cast("bigint").alias("stop_order"))
+    last = near.where(F.col("route_id").isNotNull()).select("site_id", "route_id", F.lit(10**9).cast("bigint").alias("stop_order"))
     return matched.unionByName(last)
 
 

@@ -120,19 +120,9 @@ def _capacity_segments(spark, sf):
     return a.table(spark, sf, "supplier").select(k.alias("segment_id"), (k % 5).cast("int").alias("capacity"), line.alias("line"))
 
 
-@query("c11_segment_capacity")
-def _c11(spark, sf):
-    return territory.segment_capacity(_sites(spark, sf), _capacity_segments(spark, sf))
-
-
-@query("i23_capacity_verdict")
-def _i23(spark, sf):
-    s = _sites(spark, sf)
-    return territory.capacity_verdict(s, territory.segment_capacity(s, _capacity_segments(spark, sf)))
-
-
-def _utm_sql() -> str:
-    """The projection written out for DuckDB, on the parameters of UTM 21 south."""
+def _utm(source: str, keep: str) -> str:
+    """DuckDB text: `keep` and the projected x, y of a source's longitude x and latitude y, on the
+    parameters of UTM 21 south."""
     n = 1 / 298.257223563 / (2 - 1 / 298.257223563)
     a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
     e = 2 * n**0.5 / (1 + n)
@@ -142,14 +132,49 @@ def _utm_sql() -> str:
     )
     east = " + ".join(f"{c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(alpha, 1))
     north = " + ".join(f"{c!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(alpha, 1))
-    return with_ctes(
-        "spots",
-        f"SELECT id, {half_up(f'500000 + {a!r} * (eta + {east})', 3)} AS east, {half_up(f'10000000 + {a!r} * (xi + {north})', 3)} AS north FROM (SELECT id, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM"
-        f" (SELECT id, radians(x + 57) AS l, sinh(atanh(sin(radians(y))) - {e!r} * atanh({e!r} * sin(radians(y)))) AS t FROM spots))",
+    return (
+        f"SELECT {keep}, 500000 + {a!r} * (eta + {east}) AS x, 10000000 + {a!r} * (xi + {north}) AS y FROM (SELECT {keep}, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM"
+        f" (SELECT {keep}, radians(x + 57) AS l, sinh(atanh(sin(radians(y))) - {e!r} * atanh({e!r} * sin(radians(y)))) AS t FROM {source}))"
     )
 
 
-@query("h05_transverse_mercator", _utm_sql())
+add_cte("metric_sites", "live_sites", _utm("(SELECT id, longitude AS x, latitude AS y FROM live_sites)", "id"))
+_FAR = "CASE WHEN s_suppkey % 7 = 6 THEN 1e-3 WHEN s_suppkey % 3 = 0 THEN 28e-5 ELSE 1e-4 END"
+add_cte(
+    "metric_ends", "",
+    _utm(f"(SELECT s_suppkey AS segment_id, s_suppkey % 5 AS capacity, e, {_X0} + (2 * e - 1) * 1e-3 AS x, {_Y0} + {_FAR} AS y FROM supplier, (VALUES (0), (1)) v(e))", "segment_id, capacity, e"),
+)
+add_cte(
+    "ruled", "metric_sites metric_ends",
+    "SELECT id, arg_min({'segment_id': segment_id, 'capacity': capacity, 'length': sqrt(pow(qx - ax, 2) + pow(qy - ay, 2))}, CASE WHEN d <= 25 THEN {'far': 0, 'a': CAST(-capacity AS DOUBLE), 's': segment_id} ELSE {'far': 1, 'a': d, 's': segment_id} END) AS g"
+    f" FROM (SELECT *, {_DIST} AS d FROM metric_sites p, (SELECT s.segment_id, s.capacity, s.x AS ax, s.y AS ay, t.x AS qx, t.y AS qy FROM metric_ends s JOIN metric_ends t ON s.segment_id = t.segment_id AND s.e = 0 AND t.e = 1)) WHERE d <= 35 GROUP BY id",
+)
+
+
+@query(
+    "c11_segment_capacity",
+    with_ctes("ruled", f"SELECT id AS site_id, g.segment_id AS segment_id, CAST(g.capacity AS INTEGER) AS segment_capacity, {half_up('g.length', 6)} AS length_m FROM ruled"),
+)
+def _c11(spark, sf):
+    ruled = territory.segment_capacity(_sites(spark, sf), _capacity_segments(spark, sf))
+    return ruled.withColumn("length_m", up(F.col("length_m"), 6))
+
+
+@query(
+    "i23_capacity_verdict",
+    with_ctes(
+        "live_sites ruled",
+        "SELECT site_id, CAST(CASE WHEN blocked THEN greatest(1, n) ELSE greatest(1, c) END AS INTEGER) AS max_containers, NOT blocked AND greatest(1, c) > n AS may_enter, CAST(CASE WHEN blocked THEN 0 ELSE greatest(0, greatest(1, c) - n) END AS INTEGER) AS free_slots,"
+        f" CASE WHEN c IS NULL THEN 'SIN_TRAMO_CERCANO' END AS status, CASE WHEN c IS NULL THEN 0e0 ELSE greatest(5e0, least(4e2, {half_even('l', 2)})) END AS length_m"
+        " FROM (SELECT s.id AS site_id, s.id % 4 AS n, g.capacity AS c, g.length AS l, g.capacity IS NULL OR g.capacity <= 0 AS blocked FROM live_sites s LEFT JOIN ruled r ON r.id = s.id)",
+    ),
+)
+def _i23(spark, sf):
+    s = _sites(spark, sf)
+    return territory.capacity_verdict(s, territory.segment_capacity(s, _capacity_segments(spark, sf)))
+
+
+@query("h05_transverse_mercator", with_ctes("spots", f"SELECT id, {half_up('x', 3)} AS east, {half_up('y', 3)} AS north FROM ({_utm('spots', 'id')})"))
 def _h05(spark, sf):
     x, y = geo.project(F.col("y"), F.col("x"), geo.UTM_21_SOUTH)
     return spots(spark, sf).select("id", up(x, 3).alias("east"), up(y, 3).alias("north"))
@@ -166,12 +191,38 @@ def _h13(spark, sf):
     return streets(spark, sf).select("street_id", up(geo.line_length(F.col("line")), 9).alias("length"))
 
 
-@query("c13_largest_overlap")
+# A slanting tract over the gap between two polygons, and a sliver in it.
+_TRACT = ((0.0, 0.0), (0.0032, 0.0002), (0.0030, 0.0010), (0.0001, 0.0002), (0.0, 0.0))
+_STRIP = (
+    "sign(t.qx - t.ax) * sign(p.qx - p.ax) * (hi - lo) * ((ql + qr) / 2 + CASE WHEN pl < ql AND pr > qr THEN -pow(ql - pl, 2) / (pr - qr + ql - pl) / 2"
+    " WHEN pl > ql AND pr < qr THEN -pow(qr - pr, 2) / (pl - ql + qr - pr) / 2 ELSE (least(pl - ql, 0) + least(pr - qr, 0)) / 2 END)"
+)
+add_cte(
+    "tract_edges", "",
+    f"SELECT CAST(s_suppkey AS VARCHAR) AS radio_code, {_X0} + 15e-4 + x1 AS ax, {_Y0} + 4e-4 + y1 AS ay, {_X0} + 15e-4 + x2 AS qx, {_Y0} + 4e-4 + y2 AS qy FROM supplier, (VALUES {_rows(_TRACT)}) v(i, x1, y1, x2, y2)",
+)
+
+
+def _shared_area(p: str, key: str) -> str:
+    height = lambda e, x: f"({e}.ay - t0 + ({e}.qy - {e}.ay) * ({x} - {e}.ax) / ({e}.qx - {e}.ax))"
+    lo, hi = "greatest(least(t.ax, t.qx), least(p.ax, p.qx))", "least(greatest(t.ax, t.qx), greatest(p.ax, p.qx))"
+    return (
+        f"SELECT t.radio_code, p.{key}, abs(sum({_STRIP})) AS area FROM tract_edges t, {p} p, (SELECT -34.8e0 AS t0), LATERAL (SELECT {lo} AS lo, {hi} AS hi),"
+        f" LATERAL (SELECT {height('t', 'lo')} AS pl, {height('t', 'hi')} AS pr, {height('p', 'lo')} AS ql, {height('p', 'hi')} AS qr) WHERE t.ax <> t.qx AND p.ax <> p.qx AND lo < hi GROUP BY ALL"
+    )
+
+
+@query(
+    "c13_largest_overlap",
+    with_ctes(
+        "tract_edges edges",
+        f"SELECT radio_code, arg_max(polygon_id, (share, -polygon_id)) AS polygon_id FROM (SELECT s.radio_code, s.polygon_id, round(s.area / o.area, 6) AS share FROM ({_shared_area('edges', 'polygon_id')}) s"
+        f" JOIN ({_shared_area('(SELECT radio_code AS own, * EXCLUDE radio_code FROM tract_edges)', 'own')}) o ON s.radio_code = o.radio_code AND o.own = o.radio_code) WHERE share > 0 GROUP BY radio_code",
+    ),
+)
 def _c13(spark, sf):
     x, y = _origin()
-    tracts = a.table(spark, sf, "supplier").select(
-        F.col("s_suppkey").cast("string").alias("radio_code"), F.array(_points(x + 0.0015, y + 0.0004, ((0, 0), (0.0012, 0), (0.0012, 0.001), (0, 0.001), (0, 0)))).alias("rings")
-    )
+    tracts = a.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("radio_code"), F.array(_points(x + 0.0015, y + 0.0004, _TRACT)).alias("rings"))
     return territory.largest_overlap(tracts, polygons(spark, sf), 0.005)
 
 

@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", app: str = "binflow", shuffle_partitio
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -57,6 +58,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered_by(df: DataFrame, order: list, name: str) -> DataFrame:
+    """`df` with a dense number from 0 in `order`, without a single-task window: rows are
+    sorted over all tasks, and each task's rows follow the count of those before it. One count
+    for each task comes to the driver."""
+    placed = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    task, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count("*").alias("n")).orderBy("_task").collect()
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r["_task"], total))
+        total += r["n"]
+    first = df.sparkSession.createDataFrame(starts, "_task long, _first long")
+    return placed.withColumn("_task", task).join(F.broadcast(first), "_task").withColumn(name, F.col("_first") + row).drop("_at", "_task", "_first")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per context (no effect when it
     already came in an archive, as with --py-files)."""

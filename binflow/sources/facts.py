@@ -16,11 +16,10 @@ def with_day(readings: DataFrame) -> DataFrame:
     return readings.withColumn("reading_day", F.to_date("reading_date"))
 
 
-def write_readings(readings: DataFrame, path: str, mode: str = "append", files_per_day: int = 8) -> None:
-    """Partitioned write. Rows spread by day and a hash of the container, so a crowded day
-    or container is split over `files_per_day` tasks and a day gets few files."""
-    spread = F.pmod(F.xxhash64("container_id", "id"), F.lit(files_per_day))
-    with_day(readings).repartition("reading_day", spread).write.mode(mode).partitionBy("reading_day").parquet(path)
+def write_readings(readings: DataFrame, path: str, mode: str = "append") -> None:
+    """Partitioned write, rebalanced by day: small days share a task and get one file each, a
+    day of any size is split into tasks of about the session's advisory partition size."""
+    with_day(readings).hint("rebalance", "reading_day").write.mode(mode).partitionBy("reading_day").parquet(path)
 
 
 def read_window(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:

@@ -76,7 +76,9 @@ def import_counts(features: DataFrame) -> DataFrame:
 
 
 def street_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """LineString streets: names upper-cased and trimmed, direction DOBLE by default."""
+    """LineString streets: names upper-cased and trimmed, direction DOBLE by default. street_id is
+    a hash of the file's path and the place in it: the same for every read, and distinct across
+    files."""
     rows = _features(spark, path, _STREET, lines)
 
     def clean(*options: str | Column) -> Column:
@@ -89,7 +91,7 @@ def street_features(spark: SparkSession, path: str, lines: bool = False) -> Data
     return (
         rows.where(F.col("f.geometry.type") == "LineString")
         .select(
-            "position",
+            F.xxhash64("file", "position").alias("street_id"),
             clean(p + "nomoficial", p + "nom_mapa", F.lit("")).alias("name"),
             clean(p + "sentido", F.lit("DOBLE")).alias("direction"),
             clean(p + "tipo_c", F.lit("")).alias("street_type"),
@@ -98,5 +100,4 @@ def street_features(spark: SparkSession, path: str, lines: bool = False) -> Data
             points.alias("line"),
         )
         .where(F.size("line") >= 2)
-        .withColumnRenamed("position", "street_id")
     )

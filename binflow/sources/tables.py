@@ -25,11 +25,12 @@ def _starting(df: DataFrame, prefix: str) -> Column:
 
 def segment_capacities(spark: SparkSession, path: str) -> DataFrame:
     """segment_id, capacity, line; rows without a valid line or capacity dropped; capacity
-    two when the file has no capacity column."""
+    two when the file has no capacity column. Without a segment_id column the id is a hash of
+    the row's capacity and line, which no split of the file changes."""
     df = _csv(spark, path, ";")
     wkt = F.col("geometry_wkt") if "geometry_wkt" in df.columns else F.col("WKT")
     capacity = F.col("MAX_CONTENEDORES").try_cast("double").cast("int") if "MAX_CONTENEDORES" in df.columns else F.lit(2)
-    number = F.col("segment_id").try_cast("bigint") if "segment_id" in df.columns else F.monotonically_increasing_id()
+    number = F.col("segment_id").try_cast("bigint") if "segment_id" in df.columns else F.xxhash64(capacity, wkt)
     rows = df.select(number.alias("segment_id"), capacity.alias("capacity"), geo.line_from_wkt(wkt).alias("line"))
     return rows.where(F.col("line").isNotNull() & F.col("capacity").isNotNull())
 

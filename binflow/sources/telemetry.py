@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binflow.functions import times
+from binflow.session import numbered_by
 
 MESSAGE = (
     "device_id string, container_id string, timestamp string,"
@@ -43,17 +44,24 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     )
 
 
+#: Rows that one batch may number; ids of a batch never reach those of the next.
+BATCH_IDS = 2**40
+
+
 def numbered(messages: DataFrame, batch_id: int = 0) -> DataFrame:
     """Batch rows with `id` rising in arrival order over all batches: by the arrival columns
     present, then by place in the file and in the message. Number before a join moves rows.
 
-    An id packs the batch, the partition (13 bits) and the row in it (27 bits).
+    An id is `batch_id * BATCH_IDS` plus the row's dense number in its batch.
     """
+    if not 0 <= batch_id < 2**63 // BATCH_IDS:
+        raise ValueError(f"batch {batch_id} is beyond the ids that fit 64 bits")
     order = [c for c in (*ARRIVAL, "_row", "position") if c in messages.columns or c == "_row"]
     rows = messages.withColumn("_row", F.monotonically_increasing_id())
-    placed = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).drop("_row")
-    partition, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
-    return placed.withColumn("id", F.lit(batch_id * 2**40).cast("bigint") + partition * 2**27 + row).drop("_at")
+    placed = numbered_by(rows, order, "_number").drop("_row")
+    beyond = F.raise_error(F.lit("a batch holds more rows than BATCH_IDS"))
+    number = F.when(F.col("_number") < BATCH_IDS, F.col("_number")).otherwise(beyond.cast("bigint"))
+    return placed.withColumn("id", F.lit(batch_id * BATCH_IDS).cast("bigint") + number).drop("_number")
 
 
 def normalise(raw: DataFrame, now: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
