@@ -228,19 +228,26 @@ def site_level_history(readings: DataFrame, containers: DataFrame, last: int = 1
     return instants.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= last).drop("rank")
 
 
-def changes(containers: DataFrame, after: int, limit: int) -> tuple[DataFrame, DataFrame]:
+def changes(containers: DataFrame, after: int, limit: int, after_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Change feed page and its cursor row.
 
-    Rows with a version in (after, latest], oldest first, at most `limit`; the
-    cursor is the last row's version when the page is full, else the latest.
+    Rows after the cursor (version, id), oldest first, at most `limit`; without an id, rows of
+    later versions. The next cursor is the last row's version and id when the page is full,
+    else the latest version and no id. Rows that share a version are thus never skipped.
     """
     alive = active(containers)
-    page = alive.where(F.col("change_version") > after).orderBy("change_version", "id").limit(limit)
-    seen = page.agg(F.count("*").alias("n"), F.max("change_version").alias("last_version"), F.lit(1).alias("one"))
+    later = F.col("change_version") > after
+    if after_id is not None:
+        later = later | ((F.col("change_version") == after) & (F.col("id") > after_id))
+    page = alive.where(later).orderBy("change_version", "id").limit(limit)
+    seen = page.agg(F.count("*").alias("n"), F.max(F.struct("change_version", "id")).alias("last"), F.lit(1).alias("one"))
     latest = alive.agg(F.coalesce(F.max("change_version"), F.lit(after)).alias("latest"), F.lit(1).alias("one"))
+    full = F.col("n") >= limit
     cursor = seen.join(latest, "one").select(
-        F.when(F.col("n") >= limit, F.col("last_version")).otherwise(F.col("latest")).alias("cursor"),
+        F.when(full, F.col("last.change_version")).otherwise(F.col("latest")).alias("cursor"),
+        F.when(full, F.col("last.id")).alias("cursor_id"),
         F.col("n").alias("returned"),
+        full.alias("has_more"),
     )
     return page, cursor
 
@@ -251,6 +258,15 @@ def changed_sites(sites: DataFrame, containers: DataFrame, after: int) -> DataFr
     return active(sites).join(moved, F.col("id") == F.col("site_id"), "left_semi")
 
 
+def site_changes(sites: DataFrame, containers: DataFrame, after: int, limit: int, after_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Site form of the change feed: a page of active sites by the latest version among their
+    containers, and its cursor row (latest_cursor, cursor_id, has_more)."""
+    latest = active(containers).where(F.col("site_id").isNotNull()).groupBy("site_id").agg(F.max("change_version").alias("change_version"))
+    placed = active(sites).drop("change_version").join(latest, F.col("id") == F.col("site_id")).drop("site_id")
+    page, cursor = changes(placed, after, limit, after_id)
+    return page, cursor.select(F.col("cursor").alias("latest_cursor"), "cursor_id", "has_more")
+
+
 def page(df: DataFrame, number: int, size: int, key: str = "id") -> DataFrame:
     """One page in key order. For deep pages prefer `page_after`, which never counts
     through the rows before it."""
@@ -373,19 +389,20 @@ def latest_levels(readings: DataFrame, as_of) -> DataFrame:
 def latest_level_at(readings: DataFrame, moments: DataFrame) -> DataFrame:
     """As-of join: for every (container_id, moment) the newest reading at or before it.
 
-    Readings and moments meet on (container, day), so a moment takes the newest reading of
-    its own day. Moments without one look back over day-level rows: the last level of each
-    day and the days asked for run in one window per container, whose rows are days.
+    Readings and moments of a (container, day) run in one line, in which a moment takes the
+    last level before it; no pairs are formed. Moments without one look back over day-level
+    rows: the last level of each day and the days asked for run in one window per container,
+    whose rows are days.
     """
     r = readings.where(F.col("level").isNotNull()).withColumn("day", F.to_date("reading_date"))
     m = moments.select("container_id", "moment").distinct().withColumn("day", F.to_date("moment"))
-    same_day = (
-        m.join(r, ["container_id", "day"])
-        .where(F.col("reading_date") <= F.col("moment"))
-        .groupBy("container_id", "moment")
-        .agg(F.max_by("level", F.struct("reading_date", "id")).alias("level"))
+    lined = r.select("container_id", "day", F.col("reading_date").alias("moment"), F.lit(0).alias("asks"), "id", "level").unionByName(
+        m.select("*", F.lit(1).alias("asks")), allowMissingColumns=True
     )
-    rest = m.join(same_day.select("container_id", "moment"), ["container_id", "moment"], "left_anti")
+    line = Window.partitionBy("container_id", "day").orderBy("moment", "asks", "id").rowsBetween(Window.unboundedPreceding, 0)
+    met = lined.withColumn("level", F.last("level", ignorenulls=True).over(line)).where(F.col("asks") == 1).select("container_id", "day", "moment", "level")
+    same_day = met.where(F.col("level").isNotNull()).select("container_id", "moment", "level")
+    rest = met.where(F.col("level").isNull()).drop("level")
     day_last = r.groupBy("container_id", "day").agg(F.max_by("level", F.struct("reading_date", "id")).alias("level"))
     asked = rest.select("container_id", "day").distinct().withColumn("level", F.lit(None).cast("int"))
     # A day asked for sorts before that day's own level, so it sees earlier days only.

@@ -520,8 +520,9 @@ def _e08(spark, sf):
     "e08_change_cursor",
     with_ctes(
         "active",
-        "SELECT CASE WHEN n >= 40 THEN last_version ELSE (SELECT max(change_version) FROM active) END AS cursor, n AS returned FROM (SELECT count(*) AS n, max(change_version) AS last_version FROM"
-        " (SELECT change_version FROM active WHERE change_version > 5000 ORDER BY change_version, id LIMIT 40))",
+        "SELECT CASE WHEN n >= 40 THEN last_version ELSE (SELECT max(change_version) FROM active) END AS cursor, CASE WHEN n >= 40 THEN last_id END AS cursor_id, n AS returned, n >= 40 AS has_more"
+        " FROM (SELECT count(*) AS n, max(change_version) AS last_version, arg_max(id, (change_version, id)) AS last_id FROM"
+        " (SELECT change_version, id FROM active WHERE change_version > 5000 ORDER BY change_version, id LIMIT 40))",
     ),
 )
 def _e08c(spark, sf):
@@ -536,6 +537,38 @@ def _e08s(spark, sf):
     return network.changed_sites(a.sites(spark, sf), a.containers(spark, sf), 9950).select("id")
 
 
+_SHARED = "change_version // 500"
+
+
+@query(
+    "e08_feed_pages",
+    with_ctes("active", f"SELECT id, {_SHARED} AS change_version FROM active WHERE {_SHARED} > 4 ORDER BY 2, 1 LIMIT 21"),
+)
+def _e08p(spark, sf):
+    """Three pages in a row of a feed in which many containers share a version."""
+    shared = a.containers(spark, sf).withColumn("change_version", F.expr("change_version div 500"))
+    out, cursor, last = None, 4, None
+    for _ in range(3):
+        page, after = network.changes(shared, cursor, 7, last)
+        out = page if out is None else out.unionByName(page)
+        row = after.first()
+        cursor, last = row.cursor, row.cursor_id
+        if not row.has_more:
+            break
+    return out.select("id", "change_version")
+
+
+@query(
+    "e08_site_feed",
+    with_ctes(
+        "live_sites active",
+        "SELECT s.id, max(c.change_version) AS change_version FROM live_sites s JOIN active c ON c.site_id = s.id GROUP BY s.id HAVING max(c.change_version) > 5000 ORDER BY 2, 1 LIMIT 15",
+    ),
+)
+def _e08f(spark, sf):
+    return network.site_changes(a.sites(spark, sf), a.containers(spark, sf), 5000, 15)[0].select("id", "change_version")
+
+
 @query("f01_page", with_ctes("active", "SELECT id, current_level FROM active ORDER BY id LIMIT 10 OFFSET 20"))
 def _f01(spark, sf):
     return network.page(filters.active(a.containers(spark, sf)).select("id", "current_level"), 3, 10)

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from binflow.functions import times
 from binflow.operators import filters, network, readings as arrivals
-from binflow.session import cut, small
+from binflow.session import attach, cut, numbered_by, small
 from binflow.sources import telemetry
 from binflow.sources.facts import with_day
 
@@ -52,15 +52,18 @@ def reset_states(states: DataFrame) -> DataFrame:
     return states.withColumn("current_level", F.lit(0)).withColumn("last_reading", none).withColumn("last_pickup", none)
 
 
-def merge_states(states: DataFrame, batch: DataFrame, batch_id: int) -> DataFrame:
+def merge_states(states: DataFrame, batch: DataFrame) -> DataFrame:
     """States after a batch of accepted readings; the newest date wins, later arrival on
-    ties, and every changed container gets the batch's change version."""
+    ties. Every changed container gets a change version of its own, above all before it, in
+    the order of ids."""
     new = arrivals.latest_states(batch).select(
         "container_id", F.col("current_level").alias("new_level"), F.col("last_reading").alias("new_reading"), F.col("last_pickup").alias("new_pickup")
     )
+    new = numbered_by(new.join(states.select("container_id"), "container_id", "left_semi"), ["container_id"], "nth")
+    highest = states.agg(F.coalesce(F.max("change_version"), F.lit(0)).alias("highest"))
     changed = F.col("new_reading").isNotNull()
-    top = F.lit(batch_id + 1).cast("bigint")
-    return states.join(new, "container_id", "left").select(
+    top = (F.col("highest") + F.col("nth") + 1).cast("bigint")
+    return attach(states.join(new, "container_id", "left"), highest).select(
         "container_id", "site_id",
         F.coalesce("new_level", "current_level").alias("current_level"),
         F.coalesce("new_reading", "last_reading").alias("last_reading"),
@@ -84,12 +87,12 @@ def batch_counts(resolved: DataFrame) -> DataFrame:
     )
 
 
-def process_batch(resolved: DataFrame, batch_id: int, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+def process_batch(resolved: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readings to store, states after): all resolved readings with `accepted` and the
     level accepted before each."""
     rows = filters.telemetry_to_readings(resolved.where(F.col("container_id").isNotNull())).withColumn("level", F.col("container_current_level"))
     flagged = cut(arrivals.accepted_readings(rows, states=states.select("container_id", "current_level", "last_reading")))
-    return flagged, merge_states(states, flagged.where("accepted"), batch_id)
+    return flagged, merge_states(states, flagged.where("accepted"))
 
 
 def start(
@@ -106,7 +109,7 @@ def start(
         before = snapshots.before(spark, batch_id, first)
         messages = cut(telemetry.numbered(batch, batch_id))
         resolved = cut(resolve_batch(messages, containers, types))
-        rows, after = process_batch(resolved, batch_id, before)
+        rows, after = process_batch(resolved, before)
         stored = with_day(rows.withColumn("batch", F.lit(batch_id)))
         # Own partitions per batch: a retried batch replaces exactly what it wrote.
         stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("reading_day", "batch").parquet(history_path)
