@@ -110,10 +110,13 @@ def order_statistics(df: DataFrame, column: str, fractions: dict[str, float], wi
     """
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     values = values.withColumn("bin", F.floor(F.col("v") / width))
-    bins = values.groupBy("bin").agg(F.sum("n").alias("in_bin"))
-    # Bins are as many as the value range over the width, so they may be cumulated in one task.
-    order = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    placed = attach(bins, bins.agg(F.sum("in_bin").alias("total"))).withColumn("before", F.coalesce(F.sum("in_bin").over(order), F.lit(0)))
+    bins = values.groupBy("bin").agg(F.sum("n").alias("in_bin")).withColumn("run", F.floor(F.col("bin") / 4096))
+    # Bins cumulate within runs of 4096, runs among themselves: a run is one row there.
+    runs = bins.groupBy("run").agg(F.sum("in_bin").alias("in_run"))
+    earlier = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("run", F.coalesce(F.sum("in_run").over(earlier), F.lit(0)).alias("start"))
+    order = Window.partitionBy("run").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = attach(bins.join(runs, "run"), bins.agg(F.sum("in_bin").alias("total"))).withColumn("before", F.col("start") + F.coalesce(F.sum("in_bin").over(order), F.lit(0))).drop("run", "start")
     asked = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(p)).alias("p")) for k, p in fractions.items()]))
     hit = placed.select("*", asked.alias("q")).withColumn("index", F.least(F.floor(F.col("total") * F.col("q.p")), F.col("total") - 1))
     hit = hit.where((F.col("index") >= F.col("before")) & (F.col("index") < F.col("before") + F.col("in_bin"))).select("q.name", "bin", "index", "before")

@@ -15,13 +15,12 @@ from binflow.plans.utilisation import weighted_level_stats
 from binflow.session import attach, cut
 
 # Saturation level, rises remembered while saturated, weight of one
-# overflow hour, smallest gain, extra containers examined for an unlimited receiver.
+# overflow hour, smallest gain.
 SATURATION_LEVEL = 99.5
 RECENT_RISES = 3
 OVERFLOW_WEIGHT = 3.0
 CRITICAL_LEVEL, FULL_LEVEL = 80.0, 100.0
 MIN_GAIN = 1e-9
-MAX_EXTRA_CONTAINERS = 20
 
 
 @dataclass(frozen=True)
@@ -217,34 +216,44 @@ def greedy_moves(sites: DataFrame, curves: DataFrame, config: OverloadConfig) ->
     )
 
 
-def _mean_window(values: Column, i: Column, j: Column) -> Column:
-    part = F.slice(values, i, j - i + 1)
-    return F.aggregate(part, F.lit(0.0), lambda s, v: s + v) / (j - i + 1)
-
-
 def isotonic(values: Column, increasing: bool) -> Column:
-    """Least-squares monotone fit of a short array by the min-max formula."""
-    n = F.size(values)
+    """Least-squares monotone fit of an array: one fold that keeps blocks of pooled values and
+    pools the newest one with those before it while they are out of order."""
+    block = "struct<total:double,n:int>"
+    none = F.array().cast(f"array<{block}>")
+
+    def mean(b: Column) -> Column:
+        return b["total"] / b["n"]
+
+    def pooled(blocks: Column, value: Column) -> Column:
+        first = F.struct(value.cast("double").alias("total"), F.lit(1).alias("n"), F.lit(False).alias("done"), none.alias("kept"))
+
+        def step(s: Column, b: Column) -> Column:
+            apart = mean(b) <= mean(s) if increasing else mean(b) >= mean(s)
+            stop = s["done"] | apart
+            return F.struct(
+                F.when(stop, s["total"]).otherwise(s["total"] + b["total"]).alias("total"), F.when(stop, s["n"]).otherwise(s["n"] + b["n"]).alias("n"),
+                stop.alias("done"), F.when(stop, F.array_append(s["kept"], b)).otherwise(s["kept"]).alias("kept"),
+            )
 
-    def at(k: Column) -> Column:
-        rows = F.transform(
-            F.sequence(F.lit(1), k),
-            lambda i: (F.array_min if increasing else F.array_max)(F.transform(F.sequence(k, n), lambda j: _mean_window(values, i, j))),
-        )
-        return (F.array_max if increasing else F.array_min)(rows)
+        # The newest block comes first in the list.
+        return F.aggregate(blocks, first, step, lambda s: F.concat(F.array(F.struct(s["total"].alias("total"), s["n"].alias("n"))), s["kept"]))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), at)).otherwise(values)
+    fitted = F.reverse(F.aggregate(values, none, pooled))
+    return F.flatten(F.transform(fitted, lambda b: F.array_repeat(mean(b), b["n"])))
 
 
 def marginal_curves(curves: DataFrame, limits: DataFrame, move_cost: float = 0.0) -> DataFrame:
     """Per site the gains of receiving and the damages of giving, one container after
-    another, made monotone; gains end where they stop paying the move.
+    another, made monotone; gains end where they stop paying the move. Beyond the end of a
+    cost curve a container saves nothing, so no gain lies there.
 
     `limits` is (site_id, max_containers).
     """
     rows = curves.join(limits.select("site_id", "max_containers"), "site_id")
     now, costs = F.col("now"), F.col("costs")
-    extra = F.least(F.lit(MAX_EXTRA_CONTAINERS), F.coalesce(F.col("max_containers") - now, F.lit(MAX_EXTRA_CONTAINERS))).cast("int")
+    useful = F.greatest(F.lit(0), F.size(costs) - now)
+    extra = F.least(useful, F.coalesce(F.col("max_containers") - now, useful)).cast("int")
     none = F.array().cast("array<double>")
 
     def relief(count: Column) -> Column:
@@ -272,8 +281,13 @@ def useful_pairs(pairs: DataFrame, marginal: DataFrame, move_cost: float = 0.0)
 
 def merge_groups(moves: DataFrame) -> DataFrame:
     """Moves of all groups interleaved by reduction, order inside a group kept: sorted by
-    the smallest reduction so far in the group, then group and position."""
-    inside = Window.partitionBy("group_key").orderBy("round", F.col("overload_reduction").desc(), "distance_km", "donor_id", "receiver_id")
+    the smallest reduction so far in the group, then group and position.
+
+    The order inside a group is that of one move after another: larger reduction, shorter way,
+    lower ids. For monotone cost curves the sequential planner takes its moves in it; the
+    rounds in which they were found say nothing about it.
+    """
+    inside = Window.partitionBy("group_key").orderBy(F.col("overload_reduction").desc(), "distance_km", "donor_id", "receiver_id")
     return (
         moves.withColumn("position", F.row_number().over(inside))
         .withColumn("merge_key", F.min("overload_reduction").over(inside.rowsBetween(Window.unboundedPreceding, 0)))

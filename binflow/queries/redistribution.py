@@ -174,11 +174,24 @@ def _i09(spark, sf):
     return _plan(spark, sf)[1].select("donor_id", "receiver_id", "amount")
 
 
-@query("i15_assigned_moves")
+_DONOR_AFTER = half_even("least(100, d.avg_fill_level * greatest(1, d.container_count) / greatest(1, greatest(1, d.container_count) - 1))", 1)
+_RECEIVER_AFTER = half_even("least(100, r.avg_fill_level * greatest(1, r.container_count) / (greatest(1, r.container_count) + 1))", 1)
+_D_BEFORE, _R_BEFORE = half_even("d.avg_fill_level", 1), half_even("r.avg_fill_level", 1)
+_ASSIGNED = with_ctes("edge_list active", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + _GREEDY[_GREEDY.index(",\nsteps AS") : _GREEDY.index("\nSELECT donor_id, receiver_id, amount FROM steps WHERE")] + (
+    ",\nsingle AS (SELECT e.donor_id, e.receiver_id, e.distance_km, row_number() OVER (PARTITION BY e.donor_id ORDER BY e.score DESC, e.receiver_id, e.distance_km, n) AS donor_rank FROM steps t JOIN edge_list e ON e.rk = t.rk, range(1, 1000) u(n) WHERE n <= t.amount)"
+    f"\nSELECT s.donor_id, s.receiver_id, s.donor_rank, k.container_id, {half_even('s.distance_km', 4)} AS distance_km, {_D_BEFORE} AS donor_fill_before, {_DONOR_AFTER} AS donor_fill_after, {_R_BEFORE} AS receiver_fill_before, {_RECEIVER_AFTER} AS receiver_fill_after,"
+    f" {half_even(half_even(f'{_RECEIVER_AFTER} - {_R_BEFORE}', 1) + ' + ' + half_even(f'{_DONOR_AFTER} - {_D_BEFORE}', 1), 1)} AS net_decongestion_pct"
+    " FROM single s JOIN network_metrics d ON d.site_id = s.donor_id JOIN network_metrics r ON r.site_id = s.receiver_id JOIN (SELECT id AS container_id, site_id, row_number() OVER (PARTITION BY site_id ORDER BY current_level, id) AS n FROM active) k ON k.site_id = s.donor_id AND k.n = s.donor_rank"
+)
+
+
+@query("i15_assigned_moves", _ASSIGNED)
 def _i15(spark, sf):
     m, moves, _, _ = _plan(spark, sf)
     ranks = arrivals.least_full_first(a.containers(spark, sf))
-    return utilisation.move_effects(utilisation.assign_containers(moves, ranks), m)
+    return utilisation.move_effects(utilisation.assign_containers(moves, ranks), m).select(
+        "donor_id", "receiver_id", "donor_rank", "container_id", "distance_km", "donor_fill_before", "donor_fill_after", "receiver_fill_before", "receiver_fill_after", "net_decongestion_pct",
+    )
 
 
 def _spread(level: str, weight: str) -> str:
@@ -301,24 +314,72 @@ def _overload_moves(spark, sites, curves):
     )
 
 
-@query("i12_overload_greedy_plan")
+add_cte(
+    "costs",
+    "acc live_sites",
+    f"SELECT site_id, any_value(containers) AS now, c, CAST(count(*) FILTER (acc >= 80 * c AND acc < 100 * c) + 3 * count(*) FILTER (acc >= 100 * c) AS DOUBLE) AS cost FROM acc, range(1, 9) r(c) WHERE site_id IN {_CANDIDATE_IDS} GROUP BY site_id, c",
+)
+add_cte(
+    "curves",
+    "costs live_sites active hourly",
+    "SELECT *, 6371e0 * radians(longitude) * cos(radians(avg(latitude) OVER (PARTITION BY group_key))) AS x, 6371e0 * radians(latitude) AS y FROM (SELECT k.*, k.now + 1 + k.site_id % 4 AS cap, s.latitude, s.longitude, h.m AS average_level,"
+    " coalesce(CAST(s.waste_type_id AS VARCHAR), '-') || '/' || t.t AS group_key FROM (SELECT site_id, any_value(now) AS now, list(cost ORDER BY c) AS costs FROM costs GROUP BY site_id) k JOIN live_sites s ON s.id = k.site_id"
+    " JOIN (SELECT site_id, min(container_type_id) AS t FROM active GROUP BY 1) t ON t.site_id = k.site_id JOIN (SELECT site_id, avg(level) AS m FROM hourly GROUP BY 1) h ON h.site_id = k.site_id)",
+)
+add_cte(
+    "near_sites",
+    "curves",
+    "SELECT d.group_key, d.site_id AS donor_id, r.site_id AS receiver_id, sqrt(pow(d.x - r.x, 2) + pow(d.y - r.y, 2)) AS distance_km, d.now AS dn, d.costs AS dc, r.now AS rn, r.costs AS rc, r.cap FROM curves d JOIN curves r"
+    " ON d.group_key = r.group_key AND d.site_id <> r.site_id AND d.now >= 2 AND r.costs[r.now] > 0 AND sqrt(pow(d.x - r.x, 2) + pow(d.y - r.y, 2)) <= 2.5e0",
+)
+_COST = "CASE WHEN {n} BETWEEN 1 AND 8 THEN {c}[{n}] ELSE 0 END"
+_DN, _RN = "(dn - g[donor_id + 1])", "(rn + t[receiver_id + 1])"
+_GAIN = f"({_COST.format(n=_RN, c='rc')}) - ({_COST.format(n=f'{_RN} + 1', c='rc')}) - (({_COST.format(n=f'{_DN} - 1', c='dc')}) - ({_COST.format(n=_DN, c='dc')}))"
+_SITES = "(SELECT list(0 ORDER BY i) FROM range((SELECT 1 + max(s_suppkey) FROM supplier)) r(i))"
+# The sequential greedy: one best move a step; sites that gave no longer get, and the reverse.
+_MOVES = with_ctes("near_sites hourly active", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + (
+    ",\nwalk AS (SELECT 0 AS k, CAST(NULL AS STRUCT(loss DOUBLE, distance_km DOUBLE, donor_id BIGINT, receiver_id BIGINT, group_key VARCHAR)) AS e,"
+    f" {_SITES} AS g, {_SITES} AS t UNION ALL SELECT k + 1, e, list_transform(g, lambda v, i: v + CASE WHEN i = e.donor_id + 1 THEN 1 ELSE 0 END), list_transform(t, lambda v, i: v + CASE WHEN i = e.receiver_id + 1 THEN 1 ELSE 0 END)"
+    " FROM (SELECT any_value(k) AS k, any_value(g) AS g, any_value(t) AS t, min({'loss': -gain, 'distance_km': distance_km, 'donor_id': donor_id, 'receiver_id': receiver_id, 'group_key': group_key}) AS e"
+    f" FROM (SELECT walk.k, walk.g, walk.t, n.*, {_GAIN} AS gain FROM walk, near_sites n WHERE t[donor_id + 1] = 0 AND {_DN} > 1 AND g[receiver_id + 1] = 0 AND {_RN} < cap) WHERE gain > 1e0 + 1e-9) WHERE e IS NOT NULL),"
+    f"\nmoves AS (SELECT k, e.group_key, e.donor_id, e.receiver_id, e.distance_km AS raw_km, {half_even('e.distance_km', 4)} AS distance_km, {half_even('-e.loss', 4)} AS overload_reduction FROM walk WHERE k > 0)\n"
+)
+
+
+@query("i12_overload_greedy_plan", _MOVES + "SELECT group_key, donor_id, receiver_id, distance_km, overload_reduction FROM moves")
 def _i12(spark, sf):
     sites, curves, _ = _curves(spark, sf)
     moves = _overload_moves(spark, sites, curves)
-    return moves.select("group_key", "donor_id", "receiver_id", "distance_km", "overload_reduction", "round")
+    return moves.select("group_key", "donor_id", "receiver_id", "distance_km", "overload_reduction")
 
 
-@query("i13_marginal_curves")
-def _i13(spark, sf):
-    sites, curves, _ = _curves(spark, sf)
-    return overload.marginal_curves(curves, sites, OVERLOAD.move_cost)
+def _fitted(raw: str, inner: str, outer: str) -> str:
+    """Monotone least squares by the min-max formula, as a list for each site."""
+    return (
+        f"SELECT site_id, list(v ORDER BY k) AS f FROM (SELECT site_id, k, {outer}(m) AS v FROM (SELECT a.site_id, a.k, a.i, {inner}(b.m) AS m FROM (SELECT r.site_id, r.k, i.k AS i FROM {raw} r JOIN {raw} i ON i.site_id = r.site_id AND i.k <= r.k) a"
+        f" JOIN (SELECT i.site_id, i.k AS i, j.k AS j, sum(v.v) / count(*) AS m FROM {raw} i JOIN {raw} j ON j.site_id = i.site_id AND j.k >= i.k JOIN {raw} v ON v.site_id = i.site_id AND v.k BETWEEN i.k AND j.k GROUP BY ALL) b"
+        " ON b.site_id = a.site_id AND b.i = a.i AND b.j >= a.k GROUP BY ALL) GROUP BY ALL) GROUP BY site_id"
+    )
 
 
 add_cte(
-    "costs",
-    "acc live_sites",
-    f"SELECT site_id, any_value(containers) AS now, c, CAST(count(*) FILTER (acc >= 80 * c AND acc < 100 * c) + 3 * count(*) FILTER (acc >= 100 * c) AS DOUBLE) AS cost FROM acc, range(1, 9) r(c) WHERE site_id IN {_CANDIDATE_IDS} GROUP BY site_id, c",
+    "raw_gains", "costs",
+    "SELECT n.site_id, n.c - n.now + 1 AS k, n.cost - coalesce(x.cost, 0) AS v FROM costs n LEFT JOIN costs x ON x.site_id = n.site_id AND x.c = n.c + 1 WHERE n.c BETWEEN n.now AND n.now + n.site_id % 4",
+)
+add_cte("raw_damages", "costs", "SELECT n.site_id, n.now - n.c + 1 AS k, x.cost - n.cost AS v FROM costs n JOIN costs x ON x.site_id = n.site_id AND x.c = n.c - 1 WHERE n.c BETWEEN 2 AND n.now")
+
+
+@query(
+    "i13_marginal_curves",
+    with_ctes(
+        "raw_gains raw_damages costs",
+        "SELECT s.site_id, s.now, list_filter(coalesce(g.f, CAST([] AS DOUBLE[])), lambda v: v > 1e0 + 1e-9) AS gains, coalesce(d.f, CAST([] AS DOUBLE[])) AS damages FROM (SELECT DISTINCT site_id, now FROM costs) s"
+        f" LEFT JOIN ({_fitted('raw_gains', 'max', 'min')}) g ON g.site_id = s.site_id LEFT JOIN ({_fitted('raw_damages', 'min', 'max')}) d ON d.site_id = s.site_id",
+    ),
 )
+def _i13(spark, sf):
+    sites, curves, _ = _curves(spark, sf)
+    return overload.marginal_curves(curves, sites, OVERLOAD.move_cost)
 
 
 @query(
@@ -340,13 +401,27 @@ def _i14(spark, sf):
     return overload.useful_pairs(pairs, marginal, OVERLOAD.move_cost).select("donor_id", "receiver_id")
 
 
-@query("i16_merged_moves")
+def _fill(end: str, sign: str, steps: str) -> str:
+    return half_even(f"least(100, {end}.average_level * {end}.now / ({end}.now {sign} {steps}))", 1)
+
+
+@query(
+    "i16_merged_moves",
+    _MOVES
+    + "SELECT p.group_key, p.donor_id, p.receiver_id, p.distance_km, p.overload_reduction, p.position, least_so_far AS merge_key, p.nd AS donor_rank, k.container_id,"
+    f" {_fill('d', '-', '(nd - 1)')} AS donor_fill_before, {_fill('d', '-', 'nd')} AS donor_fill_after, {_fill('r', '+', '(nr - 1)')} AS receiver_fill_before, {_fill('r', '+', 'nr')} AS receiver_fill_after"
+    " FROM (SELECT *, min(overload_reduction) OVER (PARTITION BY group_key ORDER BY k) AS least_so_far, row_number() OVER (PARTITION BY group_key ORDER BY k) AS position, row_number() OVER (PARTITION BY donor_id ORDER BY k) AS nd, row_number() OVER (PARTITION BY receiver_id ORDER BY k) AS nr FROM moves) p"
+    " JOIN curves d ON d.site_id = p.donor_id JOIN curves r ON r.site_id = p.receiver_id JOIN (SELECT id AS container_id, site_id, row_number() OVER (PARTITION BY site_id ORDER BY current_level, id) AS n FROM active) k ON k.site_id = p.donor_id AND k.n = p.nd",
+)
 def _i16(spark, sf):
     sites, curves, _ = _curves(spark, sf)
     moves = _overload_moves(spark, sites, curves)
     ranks = arrivals.least_full_first(a.containers(spark, sf))
     placed = overload.assign_containers(overload.cumulative_levels(moves, sites, ["round"]), ranks)
-    return overload.merge_groups(placed)
+    return overload.merge_groups(placed).select(
+        "group_key", "donor_id", "receiver_id", "distance_km", "overload_reduction", "position", "merge_key", "donor_rank", "container_id",
+        "donor_fill_before", "donor_fill_after", "receiver_fill_before", "receiver_fill_after",
+    )
 
 
 @query(

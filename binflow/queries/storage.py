@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binflow import adapter as a
+from binflow.functions.numbers import half_even as even
 from binflow.operators import filters, history, readings as arrivals
-from binflow.queries.demand import land_use
+from binflow.queries.demand import land_use, tracts
 from binflow.queries.duck import add_cte, half_even, with_ctes
 from binflow.queries.network import _ALARM, measurements
 from binflow.queries.registry import query
+from binflow.queries.territory import polygons
 from binflow.sources import facts, telemetry
 
 
@@ -75,15 +77,28 @@ def _a11(spark, sf):
     return s.select("id", "site_id", F.col("level").cast("int").alias("level"))
 
 
-@query("a12_zone_profile_layer")
+@query(
+    "a12_zone_profile_layer",
+    with_ctes(
+        "land_use edges",
+        "SELECT CAST(s_suppkey AS VARCHAR) AS radio_code, 'Feature' AS type, 'Polygon' AS shape, 5 AS corners, e.x, e.y, 'Comuna ' || (s_suppkey % 5) AS department_name, s_suppkey % 9 * 40 AS population, l.zone_type,"
+        f" {half_even('l.demand_multiplier', 3)} AS demand_multiplier, {half_even('l.weekend_factor', 3)} AS weekend_factor FROM supplier JOIN land_use l ON CAST(l.zone AS VARCHAR) = CAST(s_suppkey AS VARCHAR)"
+        f" JOIN (SELECT polygon_id, {half_even('ax', 6)} AS x, {half_even('ay', 6)} AS y FROM edges WHERE i = 0) e ON e.polygon_id = s_suppkey",
+    ),
+)
 def _a12(spark, sf):
-    from binflow.queries.demand import tracts
-    from binflow.queries.territory import polygons
-
+    """The layer's features, read back from their text."""
     shapes = polygons(spark, sf).withColumn("radio_code", F.col("polygon_id").cast("string"))
     t = tracts(spark, sf).join(shapes.select("radio_code", "rings"), "radio_code")
     p = land_use(spark, sf).select(F.col("zone").cast("string").alias("radio_code"), "zone_type", "demand_multiplier", "weekend_factor")
-    return facts.zone_profile_features(t, p)
+    properties = "radio_code: string, department_name: string, population: bigint, zone_type: string, demand_multiplier: double, weekend_factor: double"
+    schema = f"type string, geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<{properties}>"
+    f = facts.zone_profile_features(t, p).select(F.from_json("feature", schema).alias("f")).select("f.*")
+    ring = F.col("geometry.coordinates")[0]
+    return f.select(
+        "properties.radio_code", "type", F.col("geometry.type").alias("shape"), F.size(ring).alias("corners"), even(ring[0][0], 6).alias("x"), even(ring[0][1], 6).alias("y"),
+        "properties.department_name", "properties.population", "properties.zone_type", "properties.demand_multiplier", "properties.weekend_factor",
+    )
 
 
 @query(
