@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binflow.llm.common import query, table
+from binflow.llm.common import Known, query, table
 
-#: Pieces and pairs that a worker remembers; all are forgotten when the limit is met.
-MEMORY = 400_000
+#: Pairs of tokens that a worker remembers; all are forgotten when the limit is met.
+PAIRS = 1_000_000
+#: Runs of text and pieces in each generation of a worker's memory.
+RUNS, PIECES = 500_000, 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,22 +35,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class Known(dict):
-    """piece -> the bytes of its ids (32 bits, little-endian), made when first asked for."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        ids = self.make(piece)
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-
 class Codec:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
 
@@ -85,8 +71,8 @@ class Codec:
                 self.automaton.add_word(b.decode("latin-1"), t)
         self.automaton.make_automaton()
         self.known: dict[int, bool] = {}
-        self.pieces = Known(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes())
-        self.runs = Known(lambda run: b"".join(map(self.pieces.__getitem__, self.pattern.findall(run))))
+        self.pieces = Known(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes(), PIECES)
+        self.runs = Known(lambda run: b"".join(map(self.pieces.__getitem__, self.pattern.findall(run))), RUNS)
         # Texts of these characters are cut by the pattern; for all others the library cuts, as
         # its Unicode tables may be of another version.
         self.settled = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ]*+")
@@ -134,7 +120,7 @@ class Codec:
                 pair = s << 32 | t
                 fits = known.get(pair)
                 if fits is None:
-                    if len(known) >= MEMORY:
+                    if len(known) >= PAIRS:
                         known.clear()
                     fits = known[pair] = self.compatible(s, t)
                 if not fits:
@@ -224,24 +210,26 @@ def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") ->
     return rows.select(F.col(key).alias("k"), F.col(ids)).mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)
 
 
-def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(`key`, n_tokens, ids_sha256, decoded_sha256): encoded, and decoded again from the ids.
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """(`key`, n_tokens, ids_sha256, decoded_sha256): encoded, and decoded again from the ids;
+    with `ids` also an array<int> of them.
 
     Nulls and empty texts give no tokens and the digests of an empty string. Repeated rows are
     repeated.
     """
 
     def make(texts):
-        c, counts, ids_sha, text_sha = codec(path), [], [], []
+        c, coded, ids_sha, text_sha = codec(path), [], [], []
         for t in texts:
-            ids = c.encode(t)
-            counts.append(len(ids))
-            ids_sha.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-            text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-        return counts, ids_sha, text_sha
+            own = c.encode(t)
+            coded.append(own)
+            ids_sha.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, own.tolist())).encode()).hexdigest())
+            text_sha.append(hashlib.sha256(c.decode(own).encode()).hexdigest())
+        return [len(i) for i in coded], ids_sha, text_sha, *([_lists(coded)] if ids else [])
 
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-    return _mapped(docs, key, text, fields, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    fields += [pa.field("ids", pa.list_(pa.int32()))] if ids else []
+    return _mapped(docs, key, text, fields, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids, make)
 
 
 def default_path() -> str:

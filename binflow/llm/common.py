@@ -114,3 +114,23 @@ def with_next(df: DataFrame, key: str, columns: list[str], tasks: int | None = N
     follow = Window.partitionBy("_range").orderBy("_guest", "_k", *columns)
     ahead = everyone.withColumn("_next", F.lead(F.struct(*columns)).over(follow)).where(~F.col("_guest"))
     return ahead.select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
+
+
+class Known(dict):
+    """A memory of make(key) in two generations of `size` entries: a full one becomes the older,
+    and what is found there moves up, so frequent keys stay and the size is bounded."""
+
+    def __init__(self, make, size: int, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest, self.older = make, size, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -21,45 +22,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binflow.llm.common import LEAST, Ranges, query, shared_folder, table
+from binflow.llm.bpe import byte_letters
+from binflow.llm.common import LEAST, Known, Ranges, query, shared_folder, table
 
-#: Words that a worker remembers; all are forgotten when the limit is met.
-MEMORY = 400_000
+#: Words in each generation of a worker's memory.
+MEMORY = 700_000
 
 
-class Words(dict):
-    """word -> the bytes of its ids; a word is what lies between white space, in lower case."""
+class Words:
+    """The ids of whole texts as the library gives them, by way of words and their pieces."""
 
     def __init__(self, path: str, dtype: str):
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         self.library, self.dtype = Tokenizer.from_file(path), dtype
         # Characters on which the library's normaliser and Python's lower() agree, and which
         # no normal form changes; texts with others go to the library as a whole.
         self.settled = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ]*+")
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        letters = {b: c for c, b in byte_letters().items()}
+        merge, packed = self.library.model.tokenize, "H" if dtype == "<u2" else "I"
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        ids = self.whole(word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        def piece_ids(piece: str) -> bytes:
+            written = piece if piece.isascii() else "".join(letters[b] for b in piece.encode())
+            return array(packed, [t.id for t in merge(written)]).tobytes()
+
+        self.words = Known(lambda word: b"".join(map(piece_ids, self.pattern.findall(word))), MEMORY)
+        # Points and commas beside another mark; elsewhere they are pieces of their own.
+        self.joined = regex.compile(r"[.,][^\s\p{L}\p{N}]|[^\s\p{L}\p{N}][.,]")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text. The vocabulary drops white space and never joins across
-        it, so words are encoded one by one and remembered."""
+        """The vocabulary drops white space and never joins across it, nor across the pieces of
+        its pattern, so words are encoded by the library one by one and remembered."""
         text = text or ""
         if not self.settled.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        text = text.lower()
+        if not self.joined.search(text):
+            text = text.replace(".", " . ").replace(",", " , ")
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @cache
