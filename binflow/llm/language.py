@@ -159,7 +159,7 @@ def predict(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: list
 
 
 #: Below this score a text fits none of the profiles.
-LEAST_SCORE = 0.15
+LEAST_SCORE = 0.2
 
 
 def recognised(docs: DataFrame, profiles: DataFrame, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
