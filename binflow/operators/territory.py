@@ -297,6 +297,29 @@ def geocode(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     return best.withColumn("p", point).select("street", "number", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
+#: So many route centres are compared with each site at once; more are searched by cells.
+FEW_CENTRES = 2000
+
+
+def _nearest_of_few(sites: DataFrame, centres: DataFrame, away) -> DataFrame:
+    listed = centres.agg(F.collect_list(F.struct("clat", "clon", "route_id")).alias("_centres"))
+    best = F.array_min(F.transform("_centres", lambda q: F.struct(away(F.col("latitude"), F.col("longitude"), q["clat"], q["clon"]).alias("d"), q["route_id"].alias("route_id"))))
+    placed = sites.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    return attach(placed.select("site_id", "latitude", "longitude"), listed).select("site_id", best["route_id"].alias("route_id"))
+
+
+def _nearest_centre(sites: DataFrame, centres: DataFrame, away, start_km: float) -> DataFrame:
+    """Cells use longitudes shrunk by the cosine of the highest latitude present: a lower bound
+    of the true east-west distance anywhere, so the ring search misses nothing."""
+    tops = [df.agg(F.max(F.abs(F.col(c))).alias("top")).first().top for df, c in ((sites, "latitude"), (centres, "clat"))]
+    shrink = max(1e-6, math.cos(math.radians(min(90.0, max([0.0, *(t for t in tops if t is not None)])))))
+    narrow = F.col("clon") * shrink
+    return spatial.nearest(
+        sites, centres, "site_id", (F.col("longitude") * shrink, F.col("latitude")), (narrow, F.col("clat"), narrow, F.col("clat")),
+        away(F.col("_py"), F.col("_px") / shrink, F.col("clat"), F.col("clon")), start_km / 111.0, ("route_id",),
+    )
+
+
 def assign_routes(sites: DataFrame, segments: DataFrame, fallback_centres: DataFrame, start_km: float = 1.0) -> DataFrame:
     """Route and stop order of each site: the first segment of its street holding its
     number (with 50 of slack), else the street's first segment, else the route whose
@@ -332,16 +355,11 @@ def assign_routes(sites: DataFrame, segments: DataFrame, fallback_centres: DataF
     centres = centres.unionByName(fallback_centres.join(centres.select("route_id"), "route_id", "left_anti").select("route_id", "latitude", "longitude"))
     rest = parsed.join(matched.select("site_id"), "site_id", "left_anti").where((F.col("latitude") != 0) | (F.col("longitude") != 0))
     c = centres.select("route_id", F.col("latitude").alias("clat"), F.col("longitude").alias("clon"))
-    # Cells use longitudes shrunk by the cosine of the highest latitude present: a lower bound
-    # of the true east-west distance anywhere, so the ring search misses nothing.
-    tops = [df.agg(F.max(F.abs(F.col(c))).alias("top")).first().top for df, c in ((rest, "latitude"), (c, "clat"))]
-    shrink = max(1e-6, math.cos(math.radians(min(90.0, max([0.0, *(t for t in tops if t is not None)])))))
-    lon = F.col("_px") / shrink
-    scaled = F.hypot(F.col("_py") - F.col("clat"), (lon - F.col("clon")) * F.cos(F.radians((F.col("_py") + F.col("clat")) / 2)))
-    narrow = F.col("clon") * shrink
-    near = spatial.nearest(
-        rest, c, "site_id", (F.col("longitude") * shrink, F.col("latitude")), (narrow, F.col("clat"), narrow, F.col("clat")), scaled, start_km / 111.0, ("route_id",)
-    )
+
+    def away(lat: Column, lon: Column, clat: Column, clon: Column) -> Column:
+        return F.hypot(lat - clat, (lon - clon) * F.cos(F.radians((lat + clat) / 2)))
+
+    near = _nearest_of_few(rest, c, away) if c.limit(FEW_CENTRES + 1).count() <= FEW_CENTRES else _nearest_centre(rest, c, away, start_km)
     last = near.where(F.col("route_id").isNotNull()).select("site_id", "route_id", F.lit(10**9).cast("bigint").alias("stop_order"))
     return matched.unionByName(last)
 

@@ -217,10 +217,11 @@ def _mixed(spark, sf):
 @query(
     "e09_interpolated_hours",
     "SELECT zone, hour, " + half_up("CASE WHEN lo = hi THEN wlo ELSE wlo + (whi - wlo) * ((hour - lo) / CAST(hi - lo AS DOUBLE)) END", 6) + " AS weight FROM (SELECT z.zone, r.hour, max(d.h) FILTER (d.h <= r.hour) AS lo, arg_max(d.w, d.h) FILTER (d.h <= r.hour) AS wlo, min(d.h) FILTER (d.h >= r.hour) AS hi, arg_min(d.w, d.h) FILTER (d.h >= r.hour) AS whi"
-    " FROM (SELECT DISTINCT user_id AS zone FROM events) z, range(24) r(hour), (SELECT user_id AS zt, h + 24 * s AS h, w FROM (SELECT user_id, hour(ts) AS h, CAST(count(*) AS DOUBLE) AS w FROM events WHERE event_type = 'purchase' GROUP BY ALL), range(-1, 2) q(s)) d WHERE d.zt = z.zone GROUP BY ALL)",
+    " FROM (SELECT DISTINCT user_id * 7 + isodow(ts) - 1 AS zone FROM events) z, range(24) r(hour), (SELECT user_id AS zt, h + 24 * s AS h, w FROM (SELECT user_id * 7 + isodow(ts) - 1 AS user_id, hour(ts) AS h, CAST(count(*) AS DOUBLE) AS w FROM events GROUP BY ALL), range(-1, 2) q(s)) d WHERE d.zt = z.zone GROUP BY ALL)",
 )
 def _e09(spark, sf):
-    e = a.table(spark, sf, "events").where("event_type = 'purchase'")
+    """All events; a user's weekday is a zone, so most hours are gaps."""
+    e = a.table(spark, sf, "events").withColumn("user_id", F.col("user_id") * 7 + F.weekday("ts"))
     per = e.groupBy("user_id", F.hour("ts").alias("h")).agg(F.count("*").cast("double").alias("w"))
     curves = per.groupBy(F.col("user_id").alias("zone")).agg(F.map_from_entries(F.collect_list(F.struct("h", "w"))).alias("hour_weights"))
     return demand.fill_hours(curves, "zone").select("zone", "hour", up(F.col("weight"), 6).alias("weight"))

@@ -17,7 +17,6 @@ from binflow.session import cut
 
 CONFIG = ScoreConfig(0.37, 0.371, 0.372, 6.0)
 OVERLOAD = OverloadConfig(max_distance_km=2.5, move_cost_hours_per_week=0.25, window_days=28)
-CLOCK = "2024-01-30 00:00:00"
 
 add_cte(
     "reading_metrics",
@@ -221,7 +220,7 @@ def _d31(spark, sf):
 add_cte(
     "hourly",
     "readings active",
-    f"SELECT a.site_id, date_trunc('hour', r.reading_date) AS timestamp, avg(r.level) AS level, bool_or(r.collected) AS collected FROM readings r JOIN active a ON a.id = r.container_id WHERE r.reading_date BETWEEN TIMESTAMP '{CLOCK}' - INTERVAL 28 DAY AND TIMESTAMP '{CLOCK}' GROUP BY ALL",
+    f"SELECT a.site_id, date_trunc('hour', r.reading_date) AS timestamp, avg(r.level) AS level, bool_or(r.collected) AS collected FROM readings r JOIN active a ON a.id = r.container_id WHERE r.reading_date BETWEEN (SELECT max(reading_date) FROM readings) - INTERVAL 28 DAY AND (SELECT max(reading_date) FROM readings) GROUP BY ALL",
 )
 add_cte(
     "stretches",
@@ -246,9 +245,10 @@ add_cte(
 
 
 def _candidates(spark, sf):
-    return overload.candidates(
-        a.sites(spark, sf), a.containers(spark, sf), a.readings(spark, sf), F.expr(f"timestamp_ntz'{CLOCK}'"), OVERLOAD
-    )
+    """The window ends with the last reading."""
+    r = a.readings(spark, sf)
+    clock = r.agg(F.max("reading_date").cast("string").alias("clock")).first().clock
+    return overload.candidates(a.sites(spark, sf), a.containers(spark, sf), r, F.lit(clock).cast("timestamp_ntz"), OVERLOAD)
 
 
 def accumulated(spark, sf):
@@ -257,7 +257,7 @@ def accumulated(spark, sf):
     return sites, overload.accumulated(hourly, sites.select("site_id", "containers"))
 
 
-_CANDIDATE_IDS = "(SELECT s.id FROM live_sites s JOIN active c ON c.site_id = s.id GROUP BY s.id HAVING count(*) >= 2 OR s.id IN (SELECT c.site_id FROM readings r JOIN active c ON c.id = r.container_id WHERE r.reading_date BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-30' AND r.level >= 80))"
+_CANDIDATE_IDS = "(SELECT s.id FROM live_sites s JOIN active c ON c.site_id = s.id GROUP BY s.id HAVING count(*) >= 2 OR s.id IN (SELECT c.site_id FROM readings r JOIN active c ON c.id = r.container_id WHERE r.reading_date >= (SELECT max(reading_date) FROM readings) - INTERVAL 28 DAY AND r.level >= 80))"
 
 
 @query(

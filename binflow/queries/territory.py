@@ -373,7 +373,17 @@ def _lanes(spark, sf):
     return s.select(F.transform("line", lambda p: F.struct((p["x"] + 3.0).alias("x"), (p["y"] + F.col("off")).alias("y"))).alias("line"))
 
 
-@query("c20_bike_lane_segments")
+# Segments and lanes run along the axes, so their gap is the gap of their boxes.
+_GAP = "sqrt(pow(greatest(0, l.ax - s.qx, s.ax - l.qx), 2) + pow(greatest(0, l.ay - s.qy, s.ay - l.qy), 2))"
+
+
+@query(
+    "c20_bike_lane_segments",
+    with_ctes(
+        "mseg",
+        "SELECT DISTINCT s.segment_id FROM mseg s, (SELECT ax + 3 AS ax, ay + off AS ay, qx + 3 AS qx, qy + off AS qy FROM (SELECT *, CASE WHEN segment_id % 11 <> 0 AND segment_id % 5 = 0 THEN 4 ELSE 30 END AS off FROM mseg)) l WHERE " + _GAP + " <= 6",
+    ),
+)
 def _c20(spark, sf):
     return curb.with_bike_lane(_metre_segments(spark, sf), _lanes(spark, sf))
 

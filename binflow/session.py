@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, dropped when the driver ends."""
+    _ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    folder = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def numbered_by(df: DataFrame, order: list, name: str) -> DataFrame:
     """`df` with a dense number from 0 in `order`, without a single-task window: rows are
     sorted over all tasks, and each task's rows follow the count of those before it. One count
