@@ -63,6 +63,7 @@ def test_nearest_loses_no_point(spark):
 
 
 def square(x, y, s):
+    x, y, s = float(x), float(y), float(s)
     return [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
 
 
@@ -70,7 +71,7 @@ def test_exact_overlap(spark):
     rng = random.Random(3)
     polygons = [(1, [square(0, 0, 10)]), (2, [square(10, 0, 10)]), (3, [square(0, 10, 4), square(1, 11, 1)[::-1]])]
     # A sliver no lattice would meet, a tract mostly in 2, one in a hole, one outside.
-    tracts = [("v", [[(1, 1), (9, 1.00001), (1, 1.00002), (5, 1.00001), (1, 1)]]), ("b", [square(8, 2, 6)]), ("h", [square(1.1, 11.1, 0.5)]), ("o", [square(50, 50, 1)])]
+    tracts = [("v", [[(1.0, 1.0), (9.0, 1.00001), (1.0, 1.00002), (5.0, 1.00001), (1.0, 1.0)]]), ("b", [square(8, 2, 6)]), ("h", [square(1.1, 11.1, 0.5)]), ("o", [square(50, 50, 1)])]
     frames = [spark.createDataFrame(rows, f"{key}, rings array<{LINE}>") for rows, key in ((tracts, "radio_code string"), (polygons, "polygon_id bigint"))]
     assert rows_of(territory.largest_overlap(*frames, 3.0), "radio_code", "polygon_id") == [("b", 2), ("v", 1)]
     for _ in range(5):
@@ -110,7 +111,7 @@ def test_large_site_ids(spark):
 
 
 def test_crowded_day_is_split(spark, tmp_path):
-    rows = spark.range(200_000).select("id", F.col("id").alias("container_id"), F.expr("timestamp_ntz'2024-01-05 00:00:00' + make_interval(0, 0, 0, cast(id % 50000 = 0 as int) * 2)").alias("reading_date"), F.sha2(F.col("id").cast("string"), 256).alias("note"))
+    rows = spark.range(0, 200_000, 1, 12).select("id", F.col("id").alias("container_id"), F.expr("timestamp_ntz'2024-01-05 00:00:00' + make_interval(0, 0, 0, cast(id % 50000 = 0 as int) * 2)").alias("reading_date"), F.sha2(F.col("id").cast("string"), 256).alias("note"))
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     try:

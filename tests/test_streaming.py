@@ -57,7 +57,7 @@ def test_ingest_with_late_data(spark, tmp_path, network):
     ]
     states = ingest.Snapshots(str(tmp_path / "states" / "states")).at(spark, 2)
     got = rows_of(states.where("container_id in (1, 2, 3)"), "container_id", "current_level", "last_reading", "last_pickup", "available", "change_version")
-    assert got == [(1, 40, hour(3), None, True, 2), (2, 3, hour(5), hour(5), True, 2), (3, 10, None, None, False, 0)]
+    assert got == [(1, 40, hour(3), None, True, 3), (2, 3, hour(5), hour(5), True, 4), (3, 10, None, None, False, 0)]
     assert rows_of(ingest.reset_states(states), "current_level", "last_reading")[0] == (0, None)
 
 
