@@ -43,3 +43,16 @@ def test_long_conversation(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.parse_chats(chat.format_chats(frame)).count() == 0
+
+
+def test_query_against_duckdb(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    result = connection.execute(chat._SQL)
+    columns = [d[0] for d in result.description]
+    got = chat.op8(spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in got.select(columns).collect()) == sorted(result.fetchall())
