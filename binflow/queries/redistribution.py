@@ -440,7 +440,18 @@ def _e15(spark, sf):
     return overload.cumulative_levels(moves, facts, ["seq"]).select("donor_id", "receiver_id", "seq", "donor_fill_before", "receiver_fill_after")
 
 
-@query("d31_overload_summary")
+_OVER = _MOVES + (
+    ", changed AS (SELECT c.*, now - coalesce(g.n, 0) + coalesce(t.n, 0) AS fin FROM curves c LEFT JOIN (SELECT donor_id, count(*) AS n FROM moves GROUP BY 1) g ON g.donor_id = c.site_id LEFT JOIN (SELECT receiver_id, count(*) AS n FROM moves GROUP BY 1) t ON t.receiver_id = c.site_id),"
+    "\nhours AS (SELECT site_id, c, CAST(count(*) FILTER (acc >= 80 * c AND acc < 100 * c) AS DOUBLE) AS cr, CAST(count(*) FILTER (acc >= 100 * c) AS DOUBLE) AS ov FROM acc, range(1, 16) r(c) GROUP BY ALL),"
+    "\nsums AS (SELECT sum(b.cr) AS cb, sum(b.ov) AS ob, sum(a.cr) AS ca, sum(a.ov) AS oa FROM changed s JOIN hours b ON b.site_id = s.site_id AND b.c = s.now JOIN hours a ON a.site_id = s.site_id AND a.c = s.fin),"
+    f"\nfilled AS (SELECT now, fin, {half_even('least(100, average_level * now / now)', 1)} AS lb, {half_even('least(100, average_level * now / fin)', 1)} AS la FROM changed)"
+    f"\nSELECT m.total AS total_containers_moved, m.receivers AS sites_receiving, m.donors AS sites_donating, m.km AS avg_distance_km, 0 AS sites_emptied, o.m AS original_mean_fill, o.s AS original_std_fill, n.m AS optimized_mean_fill, n.s AS optimized_std_fill,"
+    f" CASE WHEN cb + 3 * ob > 0 THEN {half_even('(cb + 3 * ob - ca - 3 * oa) / (cb + 3 * ob)', 4)} ELSE 0e0 END AS expected_improvement, {half_even('cb', 1)} AS critical_hours_before, {half_even('ca', 1)} AS critical_hours_after, {half_even('ob', 1)} AS overflow_hours_before, {half_even('oa', 1)} AS overflow_hours_after"
+    f" FROM sums, (SELECT count(*) AS total, count(DISTINCT receiver_id) AS receivers, count(DISTINCT donor_id) AS donors, coalesce({half_even('avg(distance_km)', 4)}, 0e0) AS km FROM moves) m, (SELECT {_spread('lb', 'now')} FROM filled) o, (SELECT {_spread('la', 'fin')} FROM filled) n"
+)
+
+
+@query("d31_overload_summary", _OVER)
 def _d31o(spark, sf):
     sites, curves, acc = _curves(spark, sf)
     moves = _overload_moves(spark, sites, curves)

@@ -403,12 +403,38 @@ def _grouped(spark, sf):
     )
 
 
-@query("i19_block_clusters")
+add_cte(
+    "grouped", "",
+    "SELECT *, longitude * {m} * greatest({least}, cos(radians(avg(latitude) OVER (PARTITION BY group_key)))) AS x, latitude * {m} AS y FROM (SELECT o_orderkey AS id, CAST(o_orderkey % 4 AS VARCHAR) AS group_key, -34.60e0 + o_orderkey * 7919 % 1009 * 11e-5 AS latitude,"
+    " -58.40e0 + o_orderkey * 104729 % 503 * 13e-5 AS longitude, o_orderkey * 31 % 900 AS number FROM orders)".format(m=f"{geo.CLUSTER_METRES_PER_DEGREE!r}", least=f"{geo.MIN_LONGITUDE_SCALE!r}"),
+)
+_NEAR = "pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= "
+add_cte("block_spots", "grouped", "SELECT group_key, latitude, longitude, number, any_value(x) AS x, any_value(y) AS y, min(id) AS node FROM grouped GROUP BY group_key, latitude, longitude, number")
+add_cte("block_edges", "block_spots", f"SELECT a.node, b.node AS other FROM block_spots a JOIN block_spots b ON a.group_key = b.group_key AND a.node <> b.node AND abs(a.number - b.number) < 100 AND {_NEAR} 10000")
+add_cte("near_spots", "grouped", "SELECT group_key, latitude, longitude, any_value(x) AS x, any_value(y) AS y, min(id) AS node FROM grouped GROUP BY group_key, latitude, longitude")
+add_cte("near_lists", "near_spots", f"SELECT a.node, list(b.node) AS nb FROM near_spots a JOIN near_spots b ON a.group_key = b.group_key AND a.node <> b.node AND {_NEAR} 400 GROUP BY a.node")
+
+
+@query(
+    "i19_block_clusters",
+    with_ctes("block_edges", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + ",\nreach AS (SELECT node, node AS other FROM block_spots UNION SELECT r.node, e.other FROM reach r JOIN block_edges e ON e.node = r.other)"
+    "\nSELECT g.id, l.cluster FROM grouped g JOIN block_spots s ON s.group_key = g.group_key AND s.latitude = g.latitude AND s.longitude = g.longitude AND s.number = g.number JOIN (SELECT node, min(other) AS cluster FROM reach GROUP BY node) l ON l.node = s.node",
+)
 def _i19(spark, sf):
     return clustering.block_clusters(_grouped(spark, sf))
 
 
-@query("i20_proximity_clusters")
+@query(
+    "i20_proximity_clusters",
+    with_ctes("near_lists", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    # A step takes every open spot without an open lower neighbour; spots without neighbours are their own.
+    + ",\nturns AS (SELECT CAST([] AS BIGINT[]) AS seeds, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT list_concat(any_value(seeds), list(node)), list_concat(any_value(gone), flatten(list(list_append(nb, node))))"
+    " FROM (SELECT t.seeds, t.gone, n.node, n.nb FROM turns t, near_lists n WHERE NOT list_contains(t.gone, n.node) AND len(list_filter(n.nb, lambda o: o < n.node AND NOT list_contains(t.gone, o))) = 0) HAVING count(*) > 0),"
+    "\nlast AS (SELECT seeds FROM turns ORDER BY len(seeds) DESC LIMIT 1),"
+    "\nowned AS (SELECT node, CASE WHEN list_contains(seeds, node) THEN node ELSE list_min(list_filter(nb, lambda o: list_contains(seeds, o))) END AS cluster FROM near_lists, last)"
+    "\nSELECT g.id, coalesce(o.cluster, s.node) AS cluster FROM grouped g JOIN near_spots s ON s.group_key = g.group_key AND s.latitude = g.latitude AND s.longitude = g.longitude LEFT JOIN owned o ON o.node = s.node",
+)
 def _i20(spark, sf):
     return clustering.proximity_clusters(_grouped(spark, sf))
 
