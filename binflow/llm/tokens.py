@@ -105,15 +105,17 @@ def _place(folder: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write(rows: DataFrame, folder: str, dtype: str, key: str = "doc_id") -> list[tuple]:
+def write(rows: DataFrame, folder: str, dtype: str, key: str = "doc_id", keys: DataFrame | None = None) -> list[tuple]:
     """Write (`key`, ids binary) as token files; the manifest (range, base, docs, ids) of
     `read`, one entry for each file, in order.
 
+    keys: a table with the same keys, from which the ranges are taken; reading a column of the
+    source saves encoding everything for its keys.
     Rows with the same key are ordered by their ids. A null key comes first and is written as
     the least 64-bit number.
     """
     width = np.dtype(dtype).itemsize
-    ranges = Ranges(rows, key)
+    ranges = Ranges(rows if keys is None else keys, key)
     dealt = rows.select(F.coalesce(F.col(key), F.lit(LEAST)).alias("k"), "ids", ranges.of(F.col(key)).alias("r"))
     dealt = dealt.repartition("r").sortWithinPartitions("r", "k", "ids")
 
@@ -201,5 +203,6 @@ def default_path() -> str:
 @query("op6_token_files")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     dtype, folder = id_type(default_path(), 2), shared_folder(spark)
-    manifest = write(encode(table(spark, sf_dir, "documents"), default_path(), 2, dtype), folder, dtype)
+    docs = table(spark, sf_dir, "documents")
+    manifest = write(encode(docs, default_path(), 2, dtype), folder, dtype, keys=docs)
     return read(spark, folder, manifest, dtype)
