@@ -85,7 +85,7 @@ class Ranges:
 
         def pick(lo: int, hi: int) -> Column:
             if lo == hi:
-                step = (key - F.lit(starts[lo])).cast("double") * (self.fine / max(1, ends[lo] - starts[lo]))
+                step = (key.cast("double") - float(starts[lo])) * (self.fine / max(1, ends[lo] - starts[lo]))
                 return F.lit(lo * self.fine) + F.least(F.lit(self.fine - 1), F.greatest(F.lit(0), step.cast("int")))
             mid = (lo + hi) // 2
             return F.when(key >= F.lit(starts[mid + 1]), pick(mid + 1, hi)).otherwise(pick(lo, mid))

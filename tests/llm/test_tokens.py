@@ -54,9 +54,9 @@ def test_empty(spark):
 
 
 def test_with_next(spark):
-    rows = [(i * 7 % 101 - 20, f"t{i}") for i in range(101)] + [(5, "a"), (5, "zz"), (None, "n")]
+    rows = [(i * 7 % 101 - 20, f"t{i}") for i in range(101)] + [(5, "a"), (5, "zz"), (None, "n"), (2**63 - 1, "max"), (-(2**63) + 1, "min")]
     got = common.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", ["doc_id", "text"], 16).collect()
-    line = sorted(rows, key=lambda r: (-(10**9) if r[0] is None else r[0], r[1]))
+    line = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], r[1]))
     want = {(a, b) for a, b in zip(line, line[1:] + line[:1], strict=True)}
     assert {((r.doc_id, r.text), (r.next_doc_id, r.next_text)) for r in got} == want and len(got) == len(rows)
     one = common.with_next(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "doc_id", ["text"]).collect()
