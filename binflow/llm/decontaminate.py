@@ -4,7 +4,7 @@ A seed is a window of tokens of which a fixed mask leaves some out; equal hashes
 tokens left mark a candidate however the tokens left out differ. Benchmark seeds are joined
 with the seeds of every document inside the tasks that read the documents, so neither texts
 nor seeds of documents are shuffled. Around each hit both token sequences are laid on each
-other without gaps, and the best-scoring stretch decides.
+other without gaps, and the longest stretch with the agreement asked for decides.
 """
 
 from __future__ import annotations
@@ -88,6 +88,22 @@ def seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
+def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
+    """The longest [start, end) that begins and ends with an equal token and has AGREEMENT; the
+    first of equally long ones, (0, 0) without equal tokens."""
+    places = np.flatnonzero(equal)
+    if not len(places):
+        return 0, 0
+    # A stretch has the agreement if the sum at its end is no lower than that at its start.
+    score = np.concatenate([[0.0], np.cumsum(equal - AGREEMENT)])
+    ends = places + 1
+    first = np.searchsorted(-np.minimum.accumulate(score), -(score[ends] + 1e-9))
+    # Places passed over only lower the sum, so the next equal token starts a stretch as well.
+    starts = places[np.searchsorted(places, first)]
+    best = int(np.argmax(ends - starts))
+    return int(starts[best]), int(ends[best])
+
+
 class Index:
     """Seeds of benchmark items: one sorted table for each mask. Items shorter than a window
     get a mask of their own length."""
@@ -139,11 +155,7 @@ class Index:
             own = self.tokens[item]
             lo, hi = max(0, -shift), min(len(own), len(tokens) - shift)
             equal = own[lo:hi] == tokens[lo + shift : hi + shift]
-            # A stretch that scores above nothing has the agreement asked for.
-            score = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - AGREEMENT, -AGREEMENT))])
-            least = np.minimum.accumulate(score)
-            end = int(np.argmax(np.round(score - least, 9)))
-            start = int(np.flatnonzero(score[: end + 1] <= least[end] + 1e-9)[0]) if end else 0
+            start, end = longest_stretch(equal)
             length, same = end - start, int(equal[start:end].sum())
             if len(own) < SPAN:
                 leaked = same == len(own)

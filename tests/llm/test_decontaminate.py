@@ -90,3 +90,28 @@ def test_frames(spark):
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _, _ in rows if str(i) not in {w[0] for w in want})
     assert dc.leaks(frame, bench.limit(0)).count() == 0 and dc.clean(frame, bench.limit(0)).count() == len(rows)
     assert dc.leaks(frame.limit(0), bench).count() == 0
+
+
+def any_stretch(equal, least):
+    """Whether a stretch of `least` tokens or more, from an equal token to an equal one, has 80% equal ones."""
+    n = len(equal)
+    return any(equal[i] and equal[j - 1] and 5 * sum(equal[i:j]) >= 4 * (j - i) for i in range(n) for j in range(i + max(1, least), n + 1))
+
+
+@pytest.mark.parametrize("n, places", [(15, (3,)), (15, (10,)), (15, (11,)), (16, (12,)), (17, (12,)), (40, (4, 9, 14, 19, 24, 29, 34, 39))])
+def test_whole_items_with_replaced_tokens(n, places):
+    item = [f"t{i}" for i in range(n)]
+    text = ["before", *("x" if i in places else w for i, w in enumerate(item)), "after"]
+    (row,) = dc.Index([(1, " ".join(item))]).overlaps(" ".join(text))
+    assert row[1:4] == (1, places[-1] if places[-1] == n - 1 else n, n - len(places))
+
+
+def test_longest_stretch():
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(400):
+        equal = [rng.random() < 0.75 for _ in range(rng.randint(0, 40))]
+        i, j = dc.longest_stretch(np.array(equal, bool))
+        assert (j == i) == (not any(equal)) and not any_stretch(equal, j - i + 1)
+        assert j == i or equal[i] and equal[j - 1] and 5 * sum(equal[i:j]) >= 4 * (j - i)
