@@ -1,8 +1,8 @@
 """URL filter: fixed rules, and a tree of path templates for what they leave open.
 
 Each host has a tree of path templates. A segment that is a number, a hash or a long mixed
-name becomes a wildcard by its form; a node with many different children gets one wildcard
-child; labelled siblings whose shares of blocked pages don't differ significantly are merged.
+name becomes a wildcard by its form; labelled siblings whose shares of blocked pages don't differ
+significantly are merged; the children without labels of a node with many get one wildcard.
 A template is rejected when its smoothed share of blocked pages is high, each node's share
 being drawn towards its parent's.
 """
@@ -20,7 +20,7 @@ Rule = tuple[str, str, str]  # verdict, host, path
 RULES: tuple[Rule, ...] = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
-#: A node with more different children has a variable segment.
+#: A node with more different children has a variable segment: those without labels are one.
 MOST_CHILDREN = 30
 #: Weight of the parent's share of blocked pages, in pages; the share that a host starts from.
 WEIGHT, START = 2.0, 0.1
@@ -67,6 +67,29 @@ def segments(path: Column) -> Column:
     return F.when(F.size(parts) > DEPTH, F.array_append(F.slice(parts, 1, DEPTH), F.lit("**"))).otherwise(parts)
 
 
+def _groups(child: DataFrame, node: list[str]) -> DataFrame:
+    """(`node`, seg, group): labelled siblings, with the name of the group that they merge into.
+
+    Siblings with one share never differ, so a window's rows are a node's different shares, each
+    with the pages of its first and its last segment: neighbours meet only there.
+    """
+    known = child.where("k > 0").select(*node, "seg", "k", "b", (F.col("b") / F.col("k")).alias("p"))
+    ends = known.groupBy(*node, "p").agg(F.min(F.struct("seg", "k", "b")).alias("lo"), F.max(F.struct("seg", "k", "b")).alias("hi"))
+    line = Window.partitionBy(*node).orderBy("p")
+    before = F.lag("hi").over(line)
+    share = (F.col("lo.b") + before["b"]) / (F.col("lo.k") + before["k"])
+    error = F.sqrt(share * (1 - share) * (1 / F.col("lo.k") + 1 / before["k"]))
+    new = F.coalesce((F.col("p") - F.lag("p").over(line) > ALIKE * error).cast("int"), F.lit(0))
+    ends = ends.withColumn("new", new).select(*node, "p", F.sum("new").over(line).alias("g"))
+    placed = known.join(ends, [*node, "p"])
+    sizes = placed.groupBy(*node, "g").agg(F.count("*").alias("size"), F.min("seg").alias("least"))
+    placed = placed.join(sizes, [*node, "g"])
+    # Long lists of names are cut short, their groups aren't.
+    few = placed.where(F.col("size") <= MOST_CHILDREN).groupBy(*node, "g").agg(F.array_join(F.array_sort(F.collect_set("seg")), "|").alias("names"))
+    named = placed.join(few, [*node, "g"], "left")
+    return named.select(*node, "seg", F.coalesce("names", F.concat("least", F.lit("|*"))).alias("group"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, parts, template, purity): the template of each host and generalised path, and its
     smoothed share of blocked pages.
@@ -88,18 +111,11 @@ def templates(pages: DataFrame) -> DataFrame:
         going = now.where(F.size("parts") >= level).withColumn("seg", F.element_at("parts", level))
         child = going.groupBy(*node, "seg").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"), F.first("purity").alias("up"))
         fan = child.groupBy(*node).agg(F.count("*").alias("kids"))
-        child = child.join(fan, node).withColumn("name", F.when(F.col("kids") > MOST_CHILDREN, "*").otherwise(F.col("seg")))
-        # Only nodes with few children are left here, so the windows are small.
-        few = child.where((F.col("kids") <= MOST_CHILDREN) & (F.col("k") > 0)).withColumn("p", F.col("b") / F.col("k"))
-        line = Window.partitionBy(*node).orderBy("p", "seg")
-        share = (F.col("b") + F.lag("b").over(line)) / (F.col("k") + F.lag("k").over(line))
-        error = F.sqrt(share * (1 - share) * (1 / F.col("k") + 1 / F.lag("k").over(line)))
-        away = F.col("p") - F.lag("p").over(line)
-        few = few.withColumn("new", F.coalesce((away > ALIKE * error).cast("int"), F.lit(0)))
-        few = few.withColumn("group", F.sum("new").over(line))
-        merged = few.withColumn("names", F.array_join(F.array_sort(F.collect_set("seg").over(Window.partitionBy(*node, "group"))), "|"))
-        merged = merged.select(*node, "seg", F.col("names").alias("merged"))
-        child = child.join(merged, [*node, "seg"], "left").withColumn("name", F.coalesce("merged", "name"))
+        child = child.join(fan, node).join(_groups(child, node), [*node, "seg"], "left")
+        wide = F.col("kids") > MOST_CHILDREN
+        # A segment may itself read "*"; with labels it keeps apart from the wildcard.
+        labelled = F.when(wide & (F.col("group") == "*"), "*|*").otherwise(F.col("group"))
+        child = child.withColumn("name", F.coalesce(labelled, F.when(wide, "*").otherwise(F.col("seg"))))
         total = child.groupBy(*node, "name").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.first("up").alias("up"))
         total = total.select(*node, "name", ((F.col("b") + WEIGHT * F.col("up")) / (F.col("k") + WEIGHT)).alias("own"))
         named = child.select(*node, "seg", "name").join(total, [*node, "name"])

@@ -111,3 +111,39 @@ def test_learns(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "page_id long, url string")
     assert urls.judged(frame).count() == 0 and urls.judged(frame, rules=()).count() == 0
+
+
+def test_labels_hold_in_wide_nodes(spark):
+    """Verdicts of labelled branches don't depend on how many other sections a host has."""
+    rules = [("block", "s.net", "/bad/1"), ("allow", "s.net", "/good/1")]
+    pages = [(i, f"http://s.net/{k}/{i}") for i in range(100, 300) for k in ("bad", "good")]
+    for wide in (29,):
+        rows = pages + [(1000 + i, f"http://s.net/section{i}x/p") for i in range(wide)]
+        got = urls.judged(spark.createDataFrame(rows, "page_id long, url string"), rules).where("rule is null").collect()
+        assert {r.verdict for r in got if r.path.startswith("/bad/")} == {"block"}
+        assert {r.verdict for r in got if not r.path.startswith("/bad/")} == {"allow"}
+    for wide in (40,):
+        rows = [(i, f"http://h.com/{k}/{i}") for i in range(20) for k in ("de/casino", "fr/news")]
+        rows += [(100 + i, f"http://h.com/section{i}x/p") for i in range(wide)] + [(99, "http://h.com/en/casino/5")]
+        got = urls.judged(spark.createDataFrame(rows, "page_id long, url string")).where("page_id = 99").first()
+        assert got.verdict == "allow" and abs(got.purity - (20 + 0.2) / 42) < 1e-9
+
+
+def test_wide_labelled_nodes_merge_by_the_test(spark):
+    """Many labelled siblings: the groups of the plain walk without a bound on children."""
+    rng = random.Random(8)
+    rules = [("block", "w.net", f"/s{i}/1") for i in range(45)] + [("allow", "w.net", f"/s{i}/2") for i in range(45)] + [("block", "w.net", "/only"), ("allow", "w.net", "/*/")]
+    rows = [f"http://w.net/s{i}/{rng.choice('1123' if i % 3 else '1222223')}{k}" for i in range(45) for k in range(rng.randint(1, 12))]
+    rows += ["http://w.net/only/1"] * 3 + ["http://w.net/*/x", "http://w.net/free/1"]
+    got = urls.judged(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()
+    facts = []
+    for u in rows:
+        host, path = parse(u)
+        fits = [(len(h + p), v) for v, h, p in rules if path.startswith(p)]
+        facts.append((host, tuple(general(s) for s in path.split("/") if s), int(max(fits)[1] == "block") if fits else None))
+    most, urls.MOST_CHILDREN = urls.MOST_CHILDREN, 10**6
+    try:
+        want = tree(facts)
+    finally:
+        urls.MOST_CHILDREN = most
+    assert [round(r.purity, 9) for r in sorted(got)] == [round(want[h, p][1], 9) for h, p, _ in facts]
