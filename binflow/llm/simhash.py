@@ -9,7 +9,7 @@ subtrees in numpy. A task returns a spanning forest of the links that it finds,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -222,7 +222,12 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", budge
     least text stays.
     """
     known = stored(fingerprints(docs, key, text, size))
-    class_of = _classes(known, key, budget, node)
+    return keep_first(docs, key, text, known, _classes(known, key, budget, node), lambda rows: fingerprints(rows, "_t", "_t", size))
+
+
+def keep_first(docs: DataFrame, key: str, text: str, known: DataFrame, class_of: DataFrame, marked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that `deduplicated` keeps. known: (`key`, fp) of each row; class_of: (fp, root,
+    component); marked: (_t, fp) for a table of texts _t."""
     known = known.join(class_of, "fp")
     unclear = stored(known.groupBy(key).agg(F.count("*").alias("rows"), F.first("component").alias("c")).where((F.col("rows") > 1) | F.col(key).isNull()).select(key))
     gone = known.where(F.col(key) != F.col("component")).select(key).unionByName(unclear.where(F.col(key).isNotNull())).distinct()
@@ -231,7 +236,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", budge
         return clear
     mine = unclear.select(F.col(key).alias("_k"))
     rows = docs.join(mine, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
-    by_text = fingerprints(rows.select(F.col(text).alias("_t")).distinct(), "_t", "_t", size).join(class_of, "fp").select("_t", "root", "component")
+    by_text = marked(rows.select(F.col(text).alias("_t")).distinct()).join(class_of, "fp").select("_t", "root", "component")
     rows = rows.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_k"), F.col(text).alias("_t")).join(by_text.withColumnRenamed("_t", "_u"), F.col("_t").eqNullSafe(F.col("_u")))
     rows = rows.where(F.col("_k").eqNullSafe(F.col("component")))
     # One id may name several groups, or none.
