@@ -1,6 +1,6 @@
 """Loads every operator of the subpackage, which registers its query."""
 
-from binflow.llm import audit, bpe, chat, decontaminate, language, quality, secrets, simhash, spotsigs, tokens, urls  # noqa: F401
+from binflow.llm import audit, bpe, chat, codes, decontaminate, language, quality, secrets, simhash, spotsigs, tokens, urls, vafile  # noqa: F401
 from binflow.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
