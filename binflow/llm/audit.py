@@ -26,15 +26,16 @@ LETTERS = "ABCDE"
 #: A: fewer words; B: a lower percentage of distinct words; C: a higher one of capitals; D: holds one of these.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = 50, 65, 5, b"#$%&*|"
 CAPITALS = bytes(range(65, 91))
-#: Text of a range of the second tries, in bytes; more ranges than that where the session asks for them.
-RANGE_BYTES = 32 << 20
-#: Bytes after a crowded prefix that a round looks at, and the prefix lengths that it looks up. What
-#: shares more than the longest prefix is dealt further by a hash of the whole text.
-AHEAD, LENGTHS, LONGEST = 4096, 8, 1 << 14
+#: Text of a range of the second tries, in bytes: at most so much, and no less than LEAST_BYTES for
+#: the sake of more tasks.
+RANGE_BYTES, LEAST_BYTES = 32 << 20, 4 << 20
+#: Bytes after a crowded prefix that a round looks at, at first and at most. What shares more than
+#: the longest prefix is dealt further by a hash of the whole text.
+AHEAD, MOST_AHEAD, LONGEST = 32, 4096, 1 << 14
 ROW_BYTES = 64
 #: How many first bytes of `lo` and `hi` are equal, by halving steps.
 SHARED = (
-    f"aggregate(array({', '.join(str(AHEAD >> i) for i in range(AHEAD.bit_length()))}), 0, "
+    f"aggregate(array({', '.join(str(MOST_AHEAD >> i) for i in range(MOST_AHEAD.bit_length()))}), 0, "
     "(n, step) -> if(octet_length(lo) >= n + step and substring(lo, 1, n + step) = substring(hi, 1, n + step), n + step, n))"
 )
 
@@ -107,35 +108,39 @@ def prefix_cuts(docs: DataFrame, text: str, range_bytes: int = RANGE_BYTES) -> l
     number of parts into which a hash of the text deals what is behind it.
 
     A round counts the bytes behind every next byte of each crowded prefix; a crowded child
-    moves on to the end of what all its texts share. A prefix that is one text is not cut. The
-    driver holds crowded prefixes, of which there are no more than ranges, and their children.
+    moves on to the end of what all its texts share, and looks further ahead each time that a
+    round saw nothing else. A prefix that is one text is not cut. The driver holds crowded
+    prefixes, of which there are no more than ranges, and their children.
     """
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(whole.alias("b")).withColumn("w", F.octet_length("b") + ROW_BYTES)
     total = rows.agg(F.sum("w")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
-    crowd = total // parts
-    waiting, leaves = [b""], []
-    while waiting and total:
-        waiting.sort(key=len)
-        lengths = sorted({len(p) for p in waiting})[:LENGTHS]
-        now = [p for p in waiting if len(p) <= lengths[-1]]
-        waiting = waiting[len(now):]
-        known = spark.range(1).select(F.expr("inline(array(" + ", ".join(f"named_struct('i', {i}, 'l', {len(p)}, 'p', X'{p.hex()}')" for i, p in enumerate(now)) + "))"))
-        near = rows.select(F.substring("b", 1, lengths[-1] + AHEAD).alias("b"), "w")
-        near = near.withColumn("l", F.explode(F.array(*[F.lit(x) for x in lengths]))).withColumn("p", F.expr("substring(b, 1, l)"))
-        near = near.join(F.broadcast(known), ["l", "p"]).withColumn("c", F.expr("substring(b, l + 1, 1)")).withColumn("t", F.expr(f"substring(b, l + 1, {AHEAD})"))
-        child = near.groupBy("i", "l", "c").agg(F.sum("w").alias("w"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    parts = max(-(-total // range_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // min(LEAST_BYTES, range_bytes))))
+    crowd = total // max(1, parts)
+    waiting, leaves = [(b"", AHEAD)] if total else [], []
+    while waiting:
+        now = sorted(waiting, key=lambda x: len(x[0]))
+        lengths = [len(p) for p, _ in now]
+        places = []
+        for n in sorted(set(lengths)):
+            held = ", ".join(f"X'{p.hex()}'" for p, _ in now if len(p) == n)
+            places.append(f"{lengths.index(n)} + nullif(array_position(array({held}), substring(b, 1, {n})), 0)")
+        near = rows.withColumn("i", F.expr(f"coalesce({', '.join(places)})")).where("i IS NOT NULL")
+        near = near.withColumns({"l": F.expr(f"element_at(array({', '.join(map(str, lengths))}), int(i))"), "a": F.expr(f"element_at(array({', '.join(str(a) for _, a in now)}), int(i))")})
+        near = near.select("i", "l", "a", "w", F.expr("substring(b, l + 1, 1)").alias("c"), F.expr("substring(b, l + 1, a)").alias("t"))
+        child = near.groupBy("i", "l", "a", "c").agg(F.sum("w").alias("w"), F.min("t").alias("lo"), F.max("t").alias("hi"))
         # The longest common prefix of the least and the greatest text is that of all.
         child = child.withColumn("same", F.expr(SHARED))
-        crowded = (F.col("w") > crowd) & ((F.col("lo") != F.col("hi")) | (F.octet_length("lo") == AHEAD))
+        crowded = (F.col("w") > crowd) & ((F.col("lo") != F.col("hi")) | (F.octet_length("lo") == F.col("a")))
         more = crowded & (F.col("l") + F.col("same") < LONGEST)
-        for r in child.select("i", "c", "w", crowded.alias("crowded"), more.alias("more"), F.when(more, F.expr("substring(lo, 1, same)")).alias("p")).collect():
+        waiting = []
+        for r in child.select("i", "c", "w", "same", crowded.alias("crowded"), more.alias("more"), F.when(more, F.expr("substring(lo, 1, same)")).alias("p")).collect():
+            prefix, ahead = now[r["i"] - 1]
             if r["more"]:
-                waiting.append(now[r["i"]] + bytes(r["p"]))
+                waiting.append((prefix + bytes(r["p"]), min(MOST_AHEAD, ahead * 8) if r["same"] == ahead else AHEAD))
             else:
-                leaves.append((now[r["i"]] + bytes(r["c"]), r["w"], -(-r["w"] // max(1, crowd)) if r["crowded"] else 1))
+                leaves.append((prefix + bytes(r["c"]), r["w"], -(-r["w"] // max(1, crowd)) if r["crowded"] else 1))
     cuts, held = [], 0
     for prefix, w, deal in sorted(leaves):
         if held + w > crowd or deal > 1 or not cuts or cuts[-1][1] > 1:
