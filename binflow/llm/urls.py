@@ -10,6 +10,7 @@ being drawn towards its parent's.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,6 @@ WEIGHT, START = 2.0, 0.1
 REJECT = 0.7
 #: Siblings merge below this distance, in standard deviations.
 ALIKE = 1.64
-#: Segments below this depth share one wildcard.
-DEPTH = 8
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -52,7 +51,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Path segments, variable ones generalised by their form; from DEPTH on one wildcard."""
+    """Path segments, variable ones generalised by their form."""
     def general(s: Column) -> Column:
         name, kind = F.regexp_extract(s, r"(?s)^(.*?)(\.[A-Za-z]{1,5})?$", 1), F.regexp_extract(s, r"(?s)^(.*?)(\.[A-Za-z]{1,5})?$", 2)
         shape = (
@@ -63,12 +62,12 @@ def segments(path: Column) -> Column:
         )
         return F.concat(shape, kind)
 
-    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
-    return F.when(F.size(parts) > DEPTH, F.array_append(F.slice(parts, 1, DEPTH), F.lit("**"))).otherwise(parts)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
 
 
 def _groups(child: DataFrame, node: list[str]) -> DataFrame:
-    """(`node`, seg, group): labelled siblings, with the name of the group that they merge into.
+    """(`node`, seg, g, group): labelled siblings, with the number and the name of the group that
+    they merge into.
 
     Siblings with one share never differ, so a window's rows are a node's different shares, each
     with the pages of its first and its last segment: neighbours meet only there.
@@ -87,7 +86,7 @@ def _groups(child: DataFrame, node: list[str]) -> DataFrame:
     # Long lists of names are cut short, their groups aren't.
     few = placed.where(F.col("size") <= MOST_CHILDREN).groupBy(*node, "g").agg(F.array_join(F.array_sort(F.collect_set("seg")), "|").alias("names"))
     named = placed.join(few, [*node, "g"], "left")
-    return named.select(*node, "seg", F.coalesce("names", F.concat("least", F.lit("|*"))).alias("group"))
+    return named.select(*node, "seg", "g", F.coalesce("names", F.concat("least", F.lit("|*"))).alias("group"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -96,32 +95,49 @@ def templates(pages: DataFrame) -> DataFrame:
 
     pages: (host, parts array<string>, blocked int or null where unlabelled). Rows are counted
     before anything else, so a host's pages never meet; a level of the tree is a round of joins.
+    The tree ends where nothing below a node is labelled, which gets one wildcard `**` and the
+    node's share, and where a node has one path left. Nodes are told apart by their key, the
+    kinds and numbers of their groups; names are for show.
     """
     base = stored(
         pages.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("blocked").alias("known"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
     )
     root = base.groupBy("host").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
     root = root.select("host", ((F.col("b") + WEIGHT * START) / (F.col("k") + WEIGHT)).alias("purity"))
-    now = stored(base.join(root, "host").withColumn("template", F.lit("")))
-    level = 0
-    while now.where(F.size("parts") > level).limit(1).count():
+    now = stored(base.join(root, "host").withColumns({"key": F.lit(""), "template": F.lit("")}))
+    node, level, ended = ["host", "key"], 0, []
+    finished = lambda rows, template, purity: rows.select("host", "parts", template.alias("template"), purity.alias("purity"))
+    while True:
+        ended.append(finished(now.where(F.size("parts") == level), F.col("template"), F.col("purity")))
+        sums = now.where(F.size("parts") > level).groupBy(*node).agg(F.sum("known").alias("labelled"), F.count("*").alias("paths"))
+        going = stored(now.where(F.size("parts") > level).join(sums, node))
+        if not going.limit(1).count():
+            break
+        bare, alone = F.col("labelled") == 0, F.col("paths") == 1
+        ended.append(finished(going.where(bare), F.concat("template", F.lit("/**")), F.col("purity")))
+        # The share of a single path is drawn towards itself once for each segment left.
+        left = F.sequence(F.lit(level + 1), F.size("parts"))
+        own = F.aggregate(left, F.col("purity"), lambda up, _: (F.col("bad") + WEIGHT * up) / (F.col("known") + WEIGHT))
+        rest = F.array_join(F.slice("parts", level + 1, F.size("parts")), "/")
+        ended.append(finished(going.where(~bare & alone), F.concat_ws("/", "template", rest), own))
+        going = going.where(~bare & ~alone).drop("labelled", "paths").withColumn("seg", F.element_at("parts", level + 1))
         level += 1
-        node = ["host", "template"]
-        ended = now.where(F.size("parts") < level)
-        going = now.where(F.size("parts") >= level).withColumn("seg", F.element_at("parts", level))
         child = going.groupBy(*node, "seg").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"), F.first("purity").alias("up"))
         fan = child.groupBy(*node).agg(F.count("*").alias("kids"))
         child = child.join(fan, node).join(_groups(child, node), [*node, "seg"], "left")
         wide = F.col("kids") > MOST_CHILDREN
-        # A segment may itself read "*"; with labels it keeps apart from the wildcard.
-        labelled = F.when(wide & (F.col("group") == "*"), "*|*").otherwise(F.col("group"))
-        child = child.withColumn("name", F.coalesce(labelled, F.when(wide, "*").otherwise(F.col("seg"))))
-        total = child.groupBy(*node, "name").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.first("up").alias("up"))
-        total = total.select(*node, "name", ((F.col("b") + WEIGHT * F.col("up")) / (F.col("k") + WEIGHT)).alias("own"))
-        named = child.select(*node, "seg", "name").join(total, [*node, "name"])
-        going = going.join(named, [*node, "seg"]).select("host", "parts", "n", "known", "bad", F.col("own").alias("purity"), F.concat_ws("/", "template", "name").alias("template"))
-        now = stored(ended.unionByName(going))
-    return now.select("host", "parts", F.concat(F.lit("/"), F.ltrim(F.col("template"), F.lit("/"))).alias("template"), "purity")
+        child = child.withColumn("name", F.coalesce("group", F.when(wide, "*").otherwise(F.col("seg"))))
+        child = child.withColumn("mark", F.coalesce(F.concat(F.lit("g"), "g"), F.when(wide, "w").otherwise(F.concat(F.lit("s"), "seg"))))
+        total = child.groupBy(*node, "mark").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.first("up").alias("up"))
+        total = total.select(*node, "mark", ((F.col("b") + WEIGHT * F.col("up")) / (F.col("k") + WEIGHT)).alias("own"))
+        named = child.select(*node, "seg", "name", "mark").join(total, [*node, "mark"])
+        now = stored(
+            going.join(named, [*node, "seg"]).select(
+                "host", "parts", "n", "known", "bad", F.col("own").alias("purity"), F.concat_ws("/", "key", "mark").alias("key"), F.concat_ws("/", "template", "name").alias("template")
+            )
+        )
+    every = reduce(DataFrame.unionByName, ended)
+    return every.select("host", "parts", F.concat(F.lit("/"), F.ltrim(F.col("template"), F.lit("/"))).alias("template"), "purity")
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:

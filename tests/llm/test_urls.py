@@ -44,30 +44,32 @@ def walk(name, rows, purity, depth, out):
     for r in rows:
         if len(r[1]) == depth:
             out[r[0], r[1]] = ("/" + name.lstrip("/"), purity)
+    rows = [r for r in rows if len(r[1]) > depth]
+    if all(r[2] is None for r in rows):
+        for r in rows:
+            out[r[0], r[1]] = (f"/{name.lstrip('/')}/**".replace("//", "/"), purity)
+        return
     kids = {}
     for r in rows:
-        if len(r[1]) > depth:
-            kids.setdefault(r[1][depth], []).append(r)
-    if len(kids) > urls.MOST_CHILDREN:
-        groups = {"*": [x for k in kids.values() for x in k]}
-    else:
-        stats = {s: [r[2] for r in k if r[2] is not None] for s, k in kids.items()}
-        groups = {s: k for s, k in kids.items() if not stats[s]}
-        line = sorted((sum(v) / len(v), s) for s, v in stats.items() if v)
-        runs = []
-        for i, (p, s) in enumerate(line):
-            if i:
-                q, t = line[i - 1]
-                b, k, l, m = sum(stats[s]), len(stats[s]), sum(stats[t]), len(stats[t])
-                share = (b + l) / (k + m)
-                if p - q > urls.ALIKE * math.sqrt(share * (1 - share) * (1 / k + 1 / m)):
-                    runs.append([])
-            else:
+        kids.setdefault(r[1][depth], []).append(r)
+    stats = {s: [r[2] for r in k if r[2] is not None] for s, k in kids.items()}
+    bare = [s for s in kids if not stats[s]]
+    groups = [("*", [x for s in bare for x in kids[s]])] if bare and len(kids) > urls.MOST_CHILDREN else [(s, kids[s]) for s in bare]
+    line = sorted((sum(v) / len(v), s) for s, v in stats.items() if v)
+    runs = []
+    for i, (p, s) in enumerate(line):
+        if i:
+            q, t = line[i - 1]
+            b, k, l, m = sum(stats[s]), len(stats[s]), sum(stats[t]), len(stats[t])
+            share = (b + l) / (k + m)
+            if p - q > urls.ALIKE * math.sqrt(share * (1 - share) * (1 / k + 1 / m)):
                 runs.append([])
-            runs[-1].append(s)
-        for run in runs:
-            groups["|".join(sorted(run))] = [x for s in run for x in kids[s]]
-    for g, k in groups.items():
+        else:
+            runs.append([])
+        runs[-1].append(s)
+    for run in runs:
+        groups.append(("|".join(sorted(run)) if len(run) <= urls.MOST_CHILDREN else f"{min(run)}|*", [x for s in run for x in kids[s]]))
+    for g, k in groups:
         known = [r[2] for r in k if r[2] is not None]
         walk(f"{name}/{g}", k, (sum(known) + urls.WEIGHT * purity) / (len(known) + urls.WEIGHT), depth + 1, out)
 
@@ -90,7 +92,7 @@ def test_against_plain(spark):
     for _, u in rows:
         host, path = parse(u)
         parts = [general(s) for s in path.split("/") if s]
-        parts = tuple(parts[: urls.DEPTH] + ["**"] if len(parts) > urls.DEPTH else parts)
+        parts = tuple(parts)
         verdict, name = rule(host, path)
         facts.append((host, path, parts, verdict, name))
     known = tree([(h, p, None if v is None else int(v == "block")) for h, _, p, v, _ in facts])
@@ -141,9 +143,22 @@ def test_wide_labelled_nodes_merge_by_the_test(spark):
         host, path = parse(u)
         fits = [(len(h + p), v) for v, h, p in rules if path.startswith(p)]
         facts.append((host, tuple(general(s) for s in path.split("/") if s), int(max(fits)[1] == "block") if fits else None))
-    most, urls.MOST_CHILDREN = urls.MOST_CHILDREN, 10**6
-    try:
-        want = tree(facts)
-    finally:
-        urls.MOST_CHILDREN = most
+    want = tree(facts)
     assert [round(r.purity, 9) for r in sorted(got)] == [round(want[h, p][1], 9) for h, p, _ in facts]
+
+
+def test_deep_paths_keep_apart(spark):
+    """Branches that differ only far down have templates of their own."""
+    deep = "/".join("abcdefghijkl")
+    rules = [("block", "d.net", f"/{deep}/bad/1"), ("allow", "d.net", f"/{deep}/good/1")]
+    pages = [(i, f"http://d.net/{deep}/{k}/{i}") for i in range(100, 300) for k in ("bad", "good")]
+    got = urls.judged(spark.createDataFrame(pages, "page_id long, url string"), rules).where("rule is null").collect()
+    assert {(r.path.split("/")[-2], r.verdict) for r in got} == {("bad", "block"), ("good", "allow")}
+
+
+def test_names_dont_merge_branches(spark):
+    """A segment `a|b` is no member of the group of a and b."""
+    rules = [("block", "n.net", "/a/1"), ("block", "n.net", "/b/1"), ("allow", "n.net", "/a|b/1")]
+    pages = [(i, f"http://n.net/{k}/{i}") for i in range(100, 300) for k in ("a", "b", "a|b")]
+    got = urls.judged(spark.createDataFrame(pages, "page_id long, url string"), rules).where("rule is null").collect()
+    assert {(r.path.split("/")[1], r.verdict) for r in got} == {("a", "block"), ("b", "block"), ("a|b", "allow")}
