@@ -9,19 +9,24 @@ other without gaps, and the longest stretch with the agreement asked for decides
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binflow.llm.common import query, table
+from binflow import session
+from binflow.llm.common import query, stored, table
 
 #: Positions that count, in windows of eight tokens.
 MASKS = ((0, 1, 3, 5, 7), (0, 2, 3, 6, 7), (0, 1, 2, 5, 7), (0, 3, 4, 5, 7))
 SPAN = 8
+#: Positions for items of few tokens: every overlap that is a leak of such an item has one of these windows whole.
+SHORT_MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 1, 3, 6, 7))
+SHORT_ITEM = 12
 #: An overlap is a leak from so many tokens on, or from this share of its item on ...
 LEAST_TOKENS, LEAST_SHARE = 13, 0.8
 #: ... if at least this share of its tokens are equal.
@@ -29,8 +34,8 @@ AGREEMENT = 0.8
 #: Items with fewer tokens are no evidence of a leak. Those that a window doesn't fit into leak
 #: when they occur whole and unchanged.
 SHORTEST_ITEM = 5
-#: Benchmark text that is held in a task at once; more is worked off block by block.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text that is held in a task at once, its index takes about 25 times that; more is worked off block by block.
+BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
 
 
@@ -105,8 +110,8 @@ def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """Seeds of benchmark items: one sorted table for each mask. Items shorter than a window
-    get a mask of their own length."""
+    """Seeds of benchmark items: one sorted table for each mask. Items of up to SHORT_ITEM tokens
+    have their masks, items shorter than a window one of their own length."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.tokens = [], []
@@ -115,16 +120,17 @@ class Index:
             if len(tokens) >= SHORTEST_ITEM:
                 self.ids.append(item)
                 self.tokens.append(tokens)
-        short = sorted({len(t) for t in self.tokens if len(t) < SPAN})
+        whole = sorted({len(t) for t in self.tokens if len(t) < SPAN})
+        masks = [(m, SHORT_ITEM + 1, math.inf) for m in MASKS] + [(m, SPAN, SHORT_ITEM) for m in SHORT_MASKS] + [(tuple(range(n)), n, n) for n in whole]
         self.tables = []
-        for mask in [*MASKS, *(tuple(range(n)) for n in short)]:
-            own = [i for i, t in enumerate(self.tokens) if (len(t) == len(mask) if mask not in MASKS else len(t) >= SPAN)]
+        for mask, least, most in masks:
+            own = [i for i, t in enumerate(self.tokens) if least <= len(t) <= most]
             hashes = [seeds(self.tokens[i], mask) for i in own]
             flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-            item = np.repeat(np.array(own, np.int64), [len(h) for h in hashes])
-            place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
+            item = np.repeat(np.array(own, np.int32), [len(h) for h in hashes])
+            place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]) if hashes else np.empty(0, np.int32)
             order = np.argsort(flat, kind="stable")
-            bits = max(16, int(len(flat)).bit_length() + 5)
+            bits = max(16, int(len(flat)).bit_length() + 2)
             seen = np.zeros(1 << bits, bool)
             seen[flat >> np.uint64(64 - bits)] = True
             self.tables.append((mask, flat[order], item[order], place[order], bits, seen))
@@ -168,28 +174,35 @@ class Index:
         return sorted(best.values())
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[Index]:
-    """Indexes over all items, `block_bytes` of text in each; equal texts count as one item,
-    the one with the least id."""
-    items = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(text).alias("t")).agg(F.min(key).alias("i"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """(h, i, t): the items with a text; h tells texts apart, so equal ones are searched once."""
+    return benchmark.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(key).alias("i"), F.col(text).cast("string").alias("t"))
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[Index]:
+    """Indexes over all different texts of the items, `block_bytes` of text in each."""
+    texts = items.groupBy("h").agg(F.min("t").alias("t"))
+    total = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).select("i", "t").collect()
-        yield Index(sorted((r.i, r.t) for r in rows))
+        rows = texts.where(F.pmod(F.col("h"), F.lit(n)) == k).collect()
+        yield Index(sorted((r.h, r.t) for r in rows))
+
+
+FOUND = "h long, start long, overlap long, equal long, share double"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(`key`, item_id, start, overlap, equal, share): each document and item that overlap.
 
     The documents are read once for each block of the benchmark. Null and empty texts leak
-    nothing; repeated rows are reported repeatedly.
+    nothing; repeated rows are reported repeatedly. Items with equal texts are each reported,
+    an item without an id under a null one, the same id and text once.
     """
     kind = docs.schema[key].dataType.simpleString()
-    fields = f"{key} {kind}, item_id long, start long, overlap long, equal long, share double"
-    out = docs.sparkSession.createDataFrame([], fields)
+    items, parts = stored(_items(benchmark, item, "text")), []
     context = docs.sparkSession.sparkContext
-    for index in _blocks(benchmark, item, "text", block_bytes):
+    for index in _blocks(items, block_bytes):
         held = context.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -203,17 +216,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                 kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(where, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                    names=[key, "item_id", "start", "overlap", "equal", "share"],
+                    names=["k", "h", "start", "overlap", "equal", "share"],
                 )
 
-        out = out.unionByName(docs.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, fields))
-    return out
+        parts.append(stored(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, {FOUND}")))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], f"{key} {kind}, item_id long, start long, overlap long, equal long, share double")
+    names = session.small(items.select("h", F.col("i").alias("item_id")).distinct())
+    return reduce(DataFrame.unionByName, parts).join(names, "h").select(F.col("k").alias(key), "item_id", "start", "overlap", "equal", "share")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs` whose text overlaps no item, with all their columns."""
+    """The rows of `docs` whose text overlaps no item, with all their columns.
+
+    Rows that are left are written out between the blocks of the benchmark, so a task holds one
+    block. Null and empty texts stay, repeated rows stay or go together; an item counts
+    whatever its id. Without items nothing goes.
+    """
     context = docs.sparkSession.sparkContext
-    for index in _blocks(benchmark, item, "text", block_bytes):
+    for n, index in enumerate(_blocks(_items(benchmark, item, "text"), block_bytes)):
         held, place = context.broadcast(index), docs.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, place=place) -> Iterator[pa.RecordBatch]:
@@ -221,7 +242,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 keep = [not held.value.overlaps(t.as_py()) for t in batch.column(place)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = (stored(docs) if n else docs).mapInArrow(run, docs.schema)
     return docs
 
 
