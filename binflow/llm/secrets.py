@@ -17,7 +17,7 @@ from binflow.llm.common import query, stored, table
 
 #: What a candidate looks like.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
     r"|(?<=[=:] {0,2}[\"'])[^\"'\s]{8,}+(?=[\"'])"
 )
 #: Words that name a credential, and words that mark an example.
@@ -39,6 +39,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     n: its place among the text's candidates, from 0; start: its first code point, from 0.
     Texts without one, null or empty, give none. text_hash tells apart rows with one key.
+    Repeated rows repeat their candidates; a null key or path stays null.
     """
     held = docs.where(F.col(text).rlike(CANDIDATE)).select(
         F.col(key), F.xxhash64(text).alias("text_hash"), F.col(path).cast("string").alias("path"),
@@ -53,11 +54,12 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         ),
         lambda a: a["all"],
     )
-    each = held.withColumn("starts", starts).select(key, "text_hash", "path", "values", "parts", "starts", F.explode(F.sequence(F.lit(0), F.size("values") - 1)).alias("n"))
-    return each.select(
-        key, "text_hash", "n", F.get("starts", F.col("n")).alias("start"), F.get("values", F.col("n")).alias("value"),
-        F.right(F.get("parts", F.col("n")), F.lit(AROUND)).alias("before"), F.left(F.get("parts", F.col("n") + 1), F.lit(AROUND)).alias("after"), "path",
-    )
+    # One struct for each candidate, so that no exploded row carries the lists.
+    count = F.size("values")
+    before = F.transform(F.slice("parts", 1, count), lambda p: F.right(p, F.lit(AROUND)))
+    after = F.transform(F.slice("parts", 2, count), lambda p: F.left(p, F.lit(AROUND)))
+    each = held.select(F.col(key).alias("k"), "text_hash", "path", F.posexplode(F.arrays_zip(starts.alias("start"), F.col("values").alias("value"), before.alias("before"), after.alias("after"))).alias("n", "c"))
+    return each.select(F.col("k").alias(key), "text_hash", "n", "c.start", "c.value", "c.before", "c.after", "path")
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -138,11 +140,12 @@ def reviewed(found: DataFrame) -> DataFrame:
 def train(labelled: DataFrame):
     """A forest from rows (value, before, after, label, x), or None unless both labels occur.
 
-    At most TRAINING_ROWS rows, half of each label where there are enough, chosen and ordered by
-    a hash of their content: the same findings give the same forest however they are dealt.
+    At most TRAINING_ROWS different rows, half of each label where there are enough, chosen and
+    ordered by a hash of their content: the same findings give the same forest however they are
+    dealt, and copies of a finding count once.
     """
     order = [F.xxhash64("value", "before", "after"), F.col("value"), F.col("before"), F.col("after")]
-    known = labelled.where(F.col("label").isNotNull()).select("label", "x", "value", "before", "after")
+    known = labelled.where(F.col("label").isNotNull()).select("label", "x", "value", "before", "after").dropDuplicates(["label", "value", "before", "after"])
     halves = [known.where(F.col("label") == k).orderBy(*order).limit(TRAINING_ROWS // 2) for k in (0.0, 1.0)]
     rows = stored(halves[0].unionByName(halves[1]).select("label", "x", *[o.alias(f"o{i}") for i, o in enumerate(order)]).coalesce(1).sortWithinPartitions("label", "o0", "o1", "o2", "o3"))
     if rows.select("label").distinct().count() < 2:
@@ -172,17 +175,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "
 def masked(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with MASK in the place of each secret; columns and rows stay as they are.
 
-    Only texts with a candidate meet the findings; all others pass by untouched.
+    Only texts with a candidate meet the findings; all others, null and empty ones too, pass by
+    untouched. A null key meets the findings of its text. Repeated rows are all masked; an empty
+    table stays empty.
     """
     has = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
-    secret = found.where("is_secret").select(key, "text_hash", "n").distinct().groupBy(F.col(key).alias("_k"), F.col("text_hash").alias("_h")).agg(F.collect_set("n").alias("_n"))
-    some = docs.where(has).withColumn("_th", F.xxhash64(text))
-    some = some.join(secret, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_h")), "left")
-    values, parts = F.regexp_extract_all(text, F.lit(CANDIDATE), 0), F.split(text, CANDIDATE, -1)
-    some = some.withColumns({"_values": values, "_parts": parts})
-    put = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, F.when(F.array_contains("_n", i), F.lit(MASK)).otherwise(F.coalesce(F.get("_values", i), F.lit(""))))), "")
-    some = some.withColumn(text, F.when(F.col("_n").isNull(), F.col(text)).otherwise(put))
-    return docs.where(~has).unionByName(some.select(*docs.columns))
+    secret = found.where("is_secret").select(F.col(key).alias("key"), F.col("text_hash").alias("hash"), "n").groupBy("key", "hash").agg(F.collect_set("n").alias("masks"))
+    # The row goes along as one column, so that no column of its own can clash.
+    some = docs.where(has).select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    some = some.join(secret, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("hash")), "left")
+    some = some.select("row", "t", "masks", F.regexp_extract_all("t", F.lit(CANDIDATE), 0).alias("values"), F.split("t", CANDIDATE, -1).alias("parts"))
+    put = F.array_join(F.transform("parts", lambda p, i: F.concat(p, F.when(F.array_contains("masks", i), F.lit(MASK)).otherwise(F.coalesce(F.get("values", i), F.lit(""))))), "")
+    masked_text = F.when(F.col("masks").isNull(), F.col("t")).otherwise(put).alias(text)
+    return docs.where(~has).unionByName(some.select(*[masked_text if c == text else F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 @query("op1_secrets")

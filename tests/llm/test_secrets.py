@@ -41,7 +41,7 @@ def test_candidates(spark):
     texts = [None, "", "nothing here", 'key="a b" pass: \'longvalue\' x="short"', "a1" * 20 + " mid " + "b2" * 9 + "==", "x" * 5000 + " " + "9" * 16, "1234567890123456é", "a" * 300 + "1"]
     rows = [(i, t, None, "c") for i, t in enumerate(texts)]
     got = sorted((r.doc_id, r.n, r.start, r.value) for r in secrets.candidates(spark.createDataFrame(rows, FIELDS)).collect())
-    assert got == [(3, 0, 17, "longvalue"), (4, 0, 0, "a1" * 20), (4, 1, 45, "b2" * 9 + "=="), (5, 0, 5001, "9" * 16), (6, 0, 0, "1234567890123456")]
+    assert got == [(3, 0, 17, "longvalue"), (4, 0, 0, "a1" * 20), (4, 1, 45, "b2" * 9 + "=="), (5, 0, 5001, "9" * 16), (6, 0, 0, "1234567890123456"), (7, 0, 0, "a" * 300 + "1")]
 
 
 @pytest.fixture(scope="module")
