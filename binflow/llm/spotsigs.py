@@ -34,18 +34,20 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
     null, none.
     """
     anchor, step = _any(ANCHORS), r" ([^ ]+)"
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]++", " ")
-    df = df.withColumn("_s", F.concat(F.lit(" "), F.trim(plain), F.lit(" ")))
-    bare = F.regexp_replace("_s", f" (?:{_any([w for w in WORDS if w not in ANCHORS])})(?= )", "")
-    df = df.withColumn("_b", F.regexp_replace(bare, f" (?:{anchor})(?= (?:{anchor}) )", ""))
     ahead = step + f"(?: (?:{anchor})(?= ))?{step}" * (chain - 1)
     groups = ":".join(f"${i}" for i in range(1, chain + 2))
-    mark = lambda pattern: F.regexp_extract_all(F.regexp_replace("_b", pattern, f"\x01{groups}\x02"), F.lit("\x01([^\x02]*)\x02"), 1)
-    df = df.withColumn("_a", mark(f" ({anchor})(?={ahead})"))
-    df = df.withColumn("_a", F.when(F.size("_a") > 0, F.col("_a")).otherwise(mark(f"{step}(?={step * chain})")))
-    whole = F.when(F.trim("_s") != "", F.array("_s")).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("_a", F.when(F.size("_a") > 0, F.col("_a")).otherwise(whole))
-    return df.withColumn(out, F.array_sort(F.array_distinct(F.transform("_a", lambda x: F.hash(x))))).drop("_s", "_b", "_a")
+    # The row goes along as one column, so that no column of its own can clash.
+    rest = [c for c in df.columns if c != out]
+    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]++", " ")
+    own = df.select(F.struct(*rest).alias("row"), F.concat(F.lit(" "), F.trim(plain), F.lit(" ")).alias("s"))
+    bare = F.regexp_replace("s", f" (?:{_any([w for w in WORDS if w not in ANCHORS])})(?= )", "")
+    own = own.withColumn("b", F.regexp_replace(bare, f" (?:{anchor})(?= (?:{anchor}) )", ""))
+    mark = lambda pattern: F.regexp_extract_all(F.regexp_replace("b", pattern, f"\x01{groups}\x02"), F.lit("\x01([^\x02]*)\x02"), 1)
+    own = own.withColumn("a", mark(f" ({anchor})(?={ahead})"))
+    own = own.withColumn("a", F.when(F.size("a") > 0, F.col("a")).otherwise(mark(f"{step}(?={step * chain})")))
+    whole = F.when(F.trim("s") != "", F.array("s")).otherwise(F.array().cast("array<string>"))
+    own = own.withColumn("a", F.when(F.size("a") > 0, F.col("a")).otherwise(whole))
+    return own.select(*[F.col("row")[c].alias(c) for c in rest], F.array_sort(F.array_distinct(F.transform("a", lambda x: F.hash(x)))).alias(out))
 
 
 def as_text(signatures: Column) -> Column:
@@ -68,9 +70,10 @@ def similar(df: DataFrame, signatures: str, key: str, threshold: float = 0.8) ->
 
     Two such sets lie in the same or in neighbouring length partitions (each `threshold` times
     the next), and share one of their rarest members: of n members, all but threshold * n - 1.
-    Equal sets are one row throughout, so copies form no pairs.
+    Equal sets are one row throughout, so copies form no pairs. Empty and null sets are like
+    none; a set that no row with a key has is left out; without rows there are no pairs.
     """
-    sets = df.where(F.size(signatures) > 0).groupBy(F.col(signatures).alias("s")).agg(F.min(key).alias("id"))
+    sets = df.where(F.size(signatures) > 0).select(F.col(signatures).alias("s"), F.col(key).alias("id")).groupBy("s").agg(F.min("id").alias("id")).where("id IS NOT NULL")
     sets = stored(sets.withColumn("n", F.size("s")).withColumn("part", F.floor(F.log("n") / math.log(1 / threshold) + 1e-9).cast("int")))
     each = sets.select("id", "n", "part", F.explode("s").alias("sig"))
     common = each.groupBy("sig").agg(F.count("*").alias("sets"))
@@ -87,11 +90,16 @@ def similar(df: DataFrame, signatures: str, key: str, threshold: float = 0.8) ->
 
 
 def classes(df: DataFrame, signatures: str, key: str, threshold: float = 0.8) -> DataFrame:
-    """(`key`, class): each row with the least key that links of `similar` and equal sets reach."""
-    sets = df.groupBy(F.col(signatures).alias("_set")).agg(F.min(key).alias("_id"))
-    roots = components(similar(df, signatures, key, threshold).select("a", "b"))
-    named = sets.join(roots, sets["_id"] == roots["node"], "left").select("_set", F.coalesce("root", "_id").alias("_class"))
-    return df.join(named, F.col(signatures).eqNullSafe(F.col("_set"))).select(key, F.col("_class").alias("class"))
+    """(`key`, class): each row with the least key that links of `similar` and equal sets reach.
+
+    Rows with an empty set are alike, rows with a null one too. Repeated rows stay; a null key
+    gets the class of its set, null where no row with a key has it.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(signatures).alias("s"))
+    sets = rows.groupBy("s").agg(F.min("k").alias("id")).select(F.col("s").alias("set"), "id")
+    roots = components(similar(rows, "s", "k", threshold).select("a", "b"))
+    named = sets.join(roots, sets["id"] == roots["node"], "left").select("set", F.coalesce("root", "id").alias("class"))
+    return rows.join(named, F.col("s").eqNullSafe(F.col("set"))).select(F.col("k").alias(key), "class")
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
