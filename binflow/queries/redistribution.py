@@ -8,7 +8,7 @@ from binflow import adapter as a
 from binflow.functions.numbers import half_even as even
 from binflow.functions.numbers import half_up as up
 from binflow.operators import filters, history, readings as arrivals, spatial
-from binflow.plans import overload, utilisation
+from binflow.plans import overload, transport, utilisation
 from binflow.plans.overload import OverloadConfig
 from binflow.plans.utilisation import ScoreConfig
 from binflow.queries.duck import add_cte, half_even, half_up, haversine, with_ctes
@@ -173,6 +173,17 @@ def _i09(spark, sf):
     return _plan(spark, sf)[1].select("donor_id", "receiver_id", "amount")
 
 
+@query("i10_transport_plan")
+def _i10(spark, sf):
+    m = cut(network_metrics(spark, sf))
+    supply, demand = utilisation.donor_supply(m, CONFIG), utilisation.receiver_demand(m, CONFIG)
+    plan = transport.transport_plan(
+        utilisation.candidate_edges(supply, demand, CONFIG), supply.select(F.col("site_id").alias("donor_id"), "supply"),
+        demand.select(F.col("site_id").alias("receiver_id"), "demand"), m.select("site_id", "latitude", "longitude"),
+    )
+    return plan.select("donor_id", "receiver_id", "amount")
+
+
 _DONOR_AFTER = half_even("least(100, d.avg_fill_level * greatest(1, d.container_count) / greatest(1, greatest(1, d.container_count) - 1))", 1)
 _RECEIVER_AFTER = half_even("least(100, r.avg_fill_level * greatest(1, r.container_count) / (greatest(1, r.container_count) + 1))", 1)
 _D_BEFORE, _R_BEFORE = half_even("d.avg_fill_level", 1), half_even("r.avg_fill_level", 1)
@@ -244,11 +255,15 @@ add_cte(
 )
 
 
+def _clock(readings):
+    """The time of the last reading."""
+    return F.lit(readings.agg(F.max("reading_date").cast("string").alias("clock")).first().clock).cast("timestamp_ntz")
+
+
 def _candidates(spark, sf):
     """The window ends with the last reading."""
     r = a.readings(spark, sf)
-    clock = r.agg(F.max("reading_date").cast("string").alias("clock")).first().clock
-    return overload.candidates(a.sites(spark, sf), a.containers(spark, sf), r, F.lit(clock).cast("timestamp_ntz"), OVERLOAD)
+    return overload.candidates(a.sites(spark, sf), a.containers(spark, sf), r, _clock(r), OVERLOAD)
 
 
 def accumulated(spark, sf):
@@ -433,8 +448,9 @@ def _i16(spark, sf):
     ).replace("least(100, ad * nd / (nd + 10 - (kd - 1)))", "least(100, ad * 13 / (13 - (kd - 1)))").replace("least(100, ar * nr / (nr + kr))", "least(100, ar * 13 / (13 + kr))"),
 )
 def _e15(spark, sf):
-    window = [F.expr(f"timestamp_ntz'2024-01-{d} 00:00:00'") for d in ("02", "30")]
-    h = history.hourly_levels(history.site_samples(a.readings(spark, sf), a.containers(spark, sf), *window))
+    r = a.readings(spark, sf)
+    clock = _clock(r)
+    h = history.hourly_levels(history.site_samples(r, a.containers(spark, sf), clock - F.expr("INTERVAL 28 DAYS"), clock))
     facts = h.groupBy("site_id").agg(F.avg("level").alias("average_level")).withColumn("containers", F.lit(13))
     moves = h.select("site_id").distinct().select((F.col("site_id") % 10).alias("donor_id"), (F.col("site_id") % 7 + 10).alias("receiver_id"), F.col("site_id").alias("seq"))
     return overload.cumulative_levels(moves, facts, ["seq"]).select("donor_id", "receiver_id", "seq", "donor_fill_before", "receiver_fill_after")
