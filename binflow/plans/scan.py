@@ -1,10 +1,12 @@
-"""Ordered per-key state over long histories, in parallel inside each key.
-
-A key's rows are cut into blocks of time. Every block first reduces to a summary of what
-it does to an unknown start state, summaries are then applied along each key, and
-finally every block replays its rows from its known start. Rows stream through sorted
-partitions, so no key or block is ever held as a whole, and a key with most of the rows
-spreads over as many tasks as it has blocks.
+"""Ordered per-key state over long histories as a parallel prefix of composed functions.
+
+What a row does to a key's state is a function from a family that is closed under
+composition, held in a few columns: a smoothed rate is an affine map, a bounded level a shift
+between two bounds. The state after a row is the composition of all functions up to it. Rows
+are cut into blocks of time and those into pieces; inside a piece each function is composed with
+the one 1, 2, 4, ... rows before, then the same is done with the pieces of a block and with the
+blocks of a key. All of it is windows over built-in expressions, and a key with most of the
+rows spreads over as many tasks as it has blocks.
 """
 
 from __future__ import annotations
@@ -12,117 +14,71 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binflow.session import ship_package
+from binflow.session import cut
+
+#: Rows of a piece; a power of two.
+PIECE = 64
 
 
 @dataclass(frozen=True)
-class Rule:
-    """How one kind of state moves.
+class Family:
+    """Functions of one kind. `compose(g, f)` gives the fields of "first g, then f" for two struct
+    columns; `apply(f, state)` the state after f."""
 
-    `identity()` is the summary of no rows, `absorb(summary, row)` adds a row,
-    `apply(state, summary)` moves a state over a block and `step(state, row)` gives the
-    next state and the outputs of one row. States, summaries and outputs are tuples.
-    """
+    fields: tuple[str, ...]
+    compose: Callable[[Column, Column], Sequence[Column]]
+    apply: Callable[[Column, Column], Column]
+
+    def of(self, columns: Sequence[Column]) -> Column:
+        return F.struct(*[c.cast("double").alias(n) for c, n in zip(columns, self.fields, strict=True)])
+
+    def then(self, g: str, f: str) -> Column:
+        """First g, then f, for two struct columns of which g may be null."""
+        return F.when(F.col(g).isNull(), F.col(f)).otherwise(self.of(self.compose(F.col(g), F.col(f))))
 
-    state: Sequence[tuple[str, str]]
-    summary: Sequence[tuple[str, str]]
-    outputs: Sequence[tuple[str, str]]
-    identity: Callable[[], tuple]
-    absorb: Callable[[tuple, tuple], tuple]
-    apply: Callable[[tuple, tuple], tuple]
-    step: Callable[[tuple, tuple], tuple[tuple, tuple]]
+    def after(self, f: str, state: Column) -> Column:
+        """The state after f; the state itself where f is null."""
+        return F.when(F.col(f).isNull(), state).otherwise(self.apply(F.col(f), state))
 
 
-def _tuples(frame: pd.DataFrame):
-    columns = []
-    for name in frame.columns:
-        values = frame[name].tolist()
-        if frame[name].hasnans:
-            values = [None if v != v else v for v in values]
-        columns.append(values)
-    return zip(*columns)
+def _composed(rows: DataFrame, parts: list[str], order: Sequence[str], longest: int, family: Family) -> DataFrame:
+    """`f` of each row composed with those before it in its part; `longest`: rows of a part at most."""
+    along, step = Window.partitionBy(*parts).orderBy(*order), 1
+    kept = [c for c in rows.columns if c != "f"]
+    while step < longest:
+        rows = rows.withColumn("g", F.lag("f", step).over(along)).select(*kept, family.then("g", "f").alias("f"))
+        step *= 2
+    return rows
 
 
-def _schema(columns: Sequence[tuple[str, str]]) -> str:
-    return ", ".join(f"{name} {kind}" for name, kind in columns)
+def _longest(rows: DataFrame, parts: list[str]) -> int:
+    return rows.groupBy(*parts).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def scan(rows: DataFrame, starts: DataFrame, key: str, order: Sequence[str], block: str, values: Sequence[str], rule: Rule) -> DataFrame:
-    """`rows` with the rule's outputs added.
+def prefixes(rows: DataFrame, key: str, order: Sequence[str], block: str, family: Family, function: Column) -> DataFrame:
+    """(key, order columns, until, before): for every row the composition of its key's functions
+    up to it, and up to the row before, null for a key's first row.
 
-    `rows` has the key, the block number (rising with the order columns), the order
-    columns and `values`; `starts` has the key and the state columns (missing keys start
-    from nulls). Output columns: key, order columns, outputs.
+    `block` rises with the order columns, which tell a key's rows apart.
     """
-    ship_package(rows.sparkSession)
-    key_type = dict(rows.dtypes)[key]
-    block_type = dict(rows.dtypes)[block]
-    order_types = [(c, dict(rows.dtypes)[c]) for c in order]
-    state_names = [n for n, _ in rule.state]
-    width, order_width = len(state_names), len(order)
-    slim = rows.select(key, block, *order, *values)
-
-    def summarise(frames):
-        current, acc = None, None
-        names = [key, block, *[n for n, _ in rule.summary]]
-        for frame in frames:
-            done = []
-            for row in _tuples(frame):
-                if row[:2] != current:
-                    if current is not None:
-                        done.append((*current, *acc))
-                    current, acc = row[:2], rule.identity()
-                acc = rule.absorb(acc, row[2 + order_width :])
-            yield pd.DataFrame(done, columns=names)
-        if current is not None:
-            yield pd.DataFrame([(*current, *acc)], columns=names)
-
-    def along(frames):
-        current, state = None, None
-        names = [key, block, *state_names]
-        for frame in frames:
-            done = []
-            for row in _tuples(frame):
-                if row[0] != current:
-                    current, state = row[0], row[2 : 2 + width]
-                done.append((row[0], row[1], *state))
-                state = rule.apply(state, row[2 + width :])
-            yield pd.DataFrame(done, columns=names)
-
-    def replay(frames):
-        current, state = None, None
-        names = [key, *order, *[n for n, _ in rule.outputs]]
-        for frame in frames:
-            done = []
-            for row in _tuples(frame):
-                if row[:2] != current:
-                    current, state = row[:2], row[2 : 2 + width]
-                at = 2 + width
-                state, out = rule.step(state, row[at + order_width :])
-                done.append((row[0], *row[at : at + order_width], *out))
-            yield pd.DataFrame(done, columns=names)
-
-    summaries = (
-        slim.repartition(key, block)
-        .sortWithinPartitions(key, block, *order)
-        .mapInPandas(summarise, _schema([(key, key_type), (block, block_type), *rule.summary]))
-    )
-    with_start = summaries.join(starts.select(key, *state_names), key, "left").select(key, block, *state_names, *[n for n, _ in rule.summary])
-    block_starts = (
-        with_start.repartition(key)
-        .sortWithinPartitions(key, block)
-        .mapInPandas(along, _schema([(key, key_type), (block, block_type), *rule.state]))
-    )
-    ready = slim.join(block_starts, [key, block]).select(key, block, *state_names, *order, *values)
-    return (
-        ready.repartition(key, block)
-        .sortWithinPartitions(key, block, *order)
-        .mapInPandas(replay, _schema([(key, key_type), *order_types, *rule.outputs]))
-    )
+    inside = Window.partitionBy(key, block).orderBy(*order)
+    piece = F.floor((F.row_number().over(inside) - 1) / PIECE).alias("_piece")
+    small = rows.select(key, block, *order, function.alias("f"), piece)
+    first = cut(_composed(small, [key, block, "_piece"], order, PIECE, family))
+    sums = cut(first.groupBy(key, block, "_piece").agg(F.max_by("f", F.struct(*order)).alias("f")))
+    second = cut(_composed(sums, [key, block], ["_piece"], _longest(sums, [key, block]), family))
+    totals = cut(second.groupBy(key, block).agg(F.max_by("f", "_piece").alias("f")))
+    third = _composed(totals, [key], [block], _longest(totals, [key]), family)
+    blocks = third.select(key, block, F.lag("f").over(Window.partitionBy(key).orderBy(block)).alias("g"))
+    pieces = second.withColumn("f", F.lag("f").over(Window.partitionBy(key, block).orderBy("_piece"))).join(blocks, [key, block])
+    start = F.when(F.col("f").isNull(), F.col("g")).otherwise(family.then("g", "f"))
+    pieces = pieces.select(key, block, "_piece", start.alias("g"))
+    within = Window.partitionBy(key, block, "_piece").orderBy(*order)
+    out = first.join(pieces, [key, block, "_piece"]).withColumn("h", F.lag("f").over(within))
+    return out.select(key, *order, family.then("g", "f").alias("until"), F.when(F.col("h").isNull(), F.col("g")).otherwise(family.then("g", "h")).alias("before"))
 
 
 def time_block(micros: str, hours: int) -> Column:

@@ -15,7 +15,7 @@ from binflow.functions import times
 from binflow.functions.numbers import half_even
 from binflow.operators import network
 from binflow.operators.readings import with_previous
-from binflow.plans.scan import Rule, scan, time_block
+from binflow.plans.scan import Family, prefixes, time_block
 from binflow.session import attach, cut, small
 
 # Weight of the newest rate, saturation and full levels, minutes between
@@ -91,95 +91,42 @@ def overflow_share(before: Column, after: Column, elapsed: Column) -> Column:
     )
 
 
-def _full_hours(before: float, after: float, elapsed: float) -> float:
-    if elapsed <= 0 or after < FULL_LEVEL:
-        return 0.0
-    return elapsed if before >= FULL_LEVEL else elapsed * (after - FULL_LEVEL) / (after - before)
+def _compose_rates(g: Column, f: Column) -> list[Column]:
+    alone = F.when(g["alone"].isNull(), f["alone"]).otherwise(f["a"] * g["alone"] + f["b"])
+    return [alone, f["a"] * g["a"], f["a"] * g["b"] + f["b"]]
 
 
-def _smooth(rate, new):
-    return new if rate is None else RATE_SMOOTHING * new + (1 - RATE_SMOOTHING) * rate
-
-
-def _absorb_rate(summary, row):
-    # summary: rates seen, result from an unknown start, and a, b of start -> a*start + b
-    seen, alone, a, b = summary
-    new = row[0]
-    if new is None:
-        return summary
-    keep = 1 - RATE_SMOOTHING
-    return seen + 1, _smooth(alone, new), a * keep, b * keep + RATE_SMOOTHING * new
+#: A sensor's smoothed fill rate: a * rate + b, or `alone` where there is no rate yet.
+RATES = Family(
+    ("alone", "a", "b"),
+    _compose_rates,
+    lambda f, rate: F.when(rate.isNull(), f["alone"]).otherwise(f["a"] * rate + f["b"]),
+)
 
 
-def _apply_rate(state, summary):
-    seen, alone, a, b = summary
-    if not seen:
-        return state
-    return (alone if state[0] is None else a * state[0] + b,)
+def rate_function(rate: Column) -> Column:
+    """What a reading's rate does to the smoothed one; nothing where it is null."""
+    known = rate.isNotNull()
+    return RATES.of([rate, F.when(known, F.lit(1 - RATE_SMOOTHING)).otherwise(1.0), F.when(known, rate * RATE_SMOOTHING).otherwise(0.0)])
 
 
-def _step_rate(state, row):
-    rate = state[0]
-    after = rate if row[0] is None else _smooth(rate, row[0])
-    return (after,), (rate, after)
+def _bounded(x: Column, f: Column) -> Column:
+    return F.least(f["high"], F.greatest(f["low"], x + f["add"]))
 
 
-# State of a sensor: its smoothed fill rate; rows carry the rate of valid readings.
-RATE_RULE = Rule(
-    state=(("rate_ewma", "double"),),
-    summary=(("seen", "bigint"), ("alone", "double"), ("a", "double"), ("b", "double")),
-    outputs=(("rate_before", "double"), ("rate_after", "double")),
-    identity=lambda: (0, None, 1.0, 0.0),
-    absorb=_absorb_rate,
-    apply=_apply_rate,
-    step=_step_rate,
+#: A virtual container's level: shifted, then held between two bounds.
+LEVELS = Family(
+    ("add", "low", "high"),
+    lambda g, f: [g["add"] + f["add"], _bounded(g["low"], f), _bounded(g["high"], f)],
+    lambda f, level: _bounded(level, f),
 )
 
 
-def _clamped(value: float) -> float:
-    return min(FULL_LEVEL, max(0.0, value))
-
-
-def _absorb_level(summary, row):
-    # summary: start -> min(high, max(low, start + shift)), and the last event time
-    shift, low, high, _ = summary
-    is_set, amount, at = row
-    if is_set:
-        value = _clamped(amount)
-        return 0.0, value, value, at
-    return shift + amount, _clamped(low + amount), _clamped(high + amount), at
-
-
-def _apply_level(state, summary):
-    shift, low, high, at = summary
-    if at is None:
-        return state
-    return min(high, max(low, (state[0] or 0.0) + shift)), at
-
-
-def _step_level(state, row):
-    level, updated = state[0] or 0.0, state[1]
-    is_set, amount, at = row
-    elapsed = 0.0 if updated is None else max((at - updated) / 3_600_000_000, 0.0)
-    if is_set:
-        full = elapsed if level >= FULL_LEVEL else 0.0
-        new = _clamped(amount)
-    else:
-        full = _full_hours(level, level + amount, elapsed)
-        new = _clamped(level + amount)
-    return (new, at), (new, full)
-
-
-# State of a virtual container: level (0-100) and the time it last changed, in micros.
-LEVEL_RULE = Rule(
-    state=(("level", "double"), ("updated", "bigint")),
-    summary=(("shift", "double"), ("low", "double"), ("high", "double"), ("last_at", "bigint")),
-    outputs=(("new_level", "double"), ("full_hours", "double")),
-    identity=lambda: (0.0, float("-inf"), float("inf"), None),
-    absorb=_absorb_level,
-    apply=_apply_level,
-    step=_step_level,
-)
+def level_function(is_set: Column, amount: Column) -> Column:
+    """What an event does to a level: set it, or shift it within 0 and FULL_LEVEL."""
+    value = F.least(F.lit(FULL_LEVEL), F.greatest(F.lit(0.0), amount))
+    bound = lambda free: F.when(is_set, value).otherwise(F.lit(free))
+    return LEVELS.of([F.when(is_set, F.lit(0.0)).otherwise(amount), bound(0.0), bound(FULL_LEVEL)])
 
 
 def _with_newcomers(state: DataFrame, readings: DataFrame, homes: DataFrame) -> DataFrame:
@@ -210,7 +157,12 @@ def sensor_series(state: DataFrame, readings: DataFrame, block_hours: int = 168)
     rows = rows.withColumn("elapsed", elapsed)
     valid = ~F.col("collected") & before.isNotNull() & (after < SATURATION_LEVEL) & (F.col("elapsed") > 0)
     rows = rows.withColumn("rate", F.when(valid, F.greatest(after - before, F.lit(0.0)) / F.col("elapsed")))
-    rates = scan(rows, known, "container_id", ("at", "seq"), "block", ("rate",), RATE_RULE)
+    rates = prefixes(rows, "container_id", ("at", "seq"), "block", RATES, rate_function(F.col("rate"))).join(
+        known.select("container_id", "rate_ewma"), "container_id"
+    )
+    rates = rates.select(
+        "container_id", "at", "seq", RATES.after("before", F.col("rate_ewma")).alias("rate_before"), RATES.after("until", F.col("rate_ewma")).alias("rate_after")
+    )
     observed = after - before
     censored = (after >= SATURATION_LEVEL) & F.col("rate_before").isNotNull()
     generated = (
@@ -266,6 +218,23 @@ def virtual_events(state: DataFrame, series: DataFrame) -> DataFrame:
     return own.unionByName(passed).unionByName(left)
 
 
+def level_changes(state: DataFrame, events: DataFrame, block_hours: int = 168) -> DataFrame:
+    """(container_id, at, seq, new_level, full_hours): the level after each event, and the hours at
+    100 % since the event before."""
+    rows = cut(events.withColumn("block", time_block("at", block_hours)))
+    known = state.select("container_id", "level", times.epoch_micros(F.col("virtual_updated_at")).alias("updated"))
+    functions = prefixes(rows, "container_id", ("at", "seq"), "block", LEVELS, level_function(F.col("is_set"), F.col("amount")))
+    rows = with_previous(rows, "container_id", ["at", "seq"], F.col("block"), {"at": "previous_at"})
+    moved = rows.join(functions, ["container_id", "at", "seq"]).join(known, "container_id")
+    start = F.coalesce("level", F.lit(0.0))
+    moved = moved.withColumn("level", LEVELS.after("before", start)).withColumn("new_level", LEVELS.after("until", start))
+    elapsed = F.coalesce(F.greatest(F.lit(0.0), (F.col("at") - F.coalesce("previous_at", "updated")) / 3_600_000_000), F.lit(0.0))
+    full = F.when(F.col("is_set"), F.when(F.col("level") >= FULL_LEVEL, elapsed).otherwise(0.0)).otherwise(
+        overflow_share(F.col("level"), F.col("level") + F.col("amount"), elapsed)
+    )
+    return moved.select("container_id", "at", "seq", "new_level", full.alias("full_hours"))
+
+
 def replay(state: DataFrame, readings: DataFrame, homes: DataFrame, block_hours: int = 168) -> DataFrame:
     """State after a batch of accepted readings.
 
@@ -276,11 +245,7 @@ def replay(state: DataFrame, readings: DataFrame, homes: DataFrame, block_hours:
     start = cut(_with_newcomers(state, readings, homes))
     series = cut(sensor_series(start, readings, block_hours))
     events = virtual_events(start, series)
-    at_level = start.select("container_id", "level", times.epoch_micros(F.col("virtual_updated_at")).alias("updated"))
-    moved = scan(
-        events.withColumn("block", time_block("at", block_hours)).withColumn("when", F.col("at")), at_level, "container_id", ("at", "seq"), "block",
-        ("is_set", "amount", "when"), LEVEL_RULE,
-    )
+    moved = level_changes(start, events, block_hours)
     levels = moved.groupBy("container_id").agg(
         F.max_by("new_level", F.struct("at", "seq")).alias("new_level"),
         F.max("at").alias("last_at"),
@@ -319,25 +284,45 @@ def network_counts(sites: DataFrame, containers: DataFrame, state: DataFrame) ->
     return a.withColumn("one", one).join(b.withColumn("one", one), "one").select(*COUNTS)
 
 
-def thin_counts(snapshots: DataFrame, minutes: int = TRACKING_MINUTES) -> DataFrame:
-    """Snapshots kept per plan: the first, then each one at least `minutes` after the last
-    kept. A plan has one snapshot per ingested batch; they stream through in time order."""
+def thin_counts(snapshots: DataFrame, minutes: int = TRACKING_MINUTES, block_hours: int = 24) -> DataFrame:
+    """Snapshots kept per plan: the first, then each one at least `minutes` after the last kept;
+    of equal times the first.
+
+    Every snapshot has a successor, the first one at least `minutes` later. What is kept is what
+    the first snapshot reaches, found by doubling: knowing the 2^k-th successor of each, what is
+    reached within 2^k steps reaches as much again in one join. No task walks a plan.
+    """
+    rows = snapshots.withColumn("_at", times.epoch_micros(F.col("observed_at")))
     gap = minutes * 60_000_000
-    rows = snapshots.withColumn("at", times.epoch_micros(F.col("observed_at")))
-
-    def keep(frames):
-        plan, last = None, None
-        for frame in frames:
-            chosen = []
-            for p, at in zip(frame["plan_id"], frame["at"]):
-                take = p != plan or at - last >= gap
-                if take:
-                    plan, last = p, at
-                chosen.append(take)
-            yield frame[chosen]
-
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-    return rows.repartition("plan_id").sortWithinPartitions("plan_id", "at").mapInPandas(keep, schema).drop("at")
+    jumps = cut(_successors(rows.select("plan_id", "_at").distinct(), gap, block_hours))
+    reached = cut(jumps.groupBy("plan_id").agg(F.min("_at").alias("_at")))
+    while not jumps.where("next IS NOT NULL").isEmpty():
+        onward = reached.join(jumps, ["plan_id", "_at"]).where("next IS NOT NULL").select("plan_id", F.col("next").alias("_at"))
+        reached = cut(reached.unionByName(onward).distinct())
+        further = jumps.select("plan_id", F.col("_at").alias("next"), F.col("next").alias("after"))
+        jumps = cut(jumps.where("next IS NOT NULL").join(further, ["plan_id", "next"], "left").select("plan_id", "_at", F.col("after").alias("next")))
+    kept = rows.join(reached, ["plan_id", "_at"])
+    columns = snapshots.columns
+    return kept.groupBy("plan_id", "_at").agg(F.min(F.struct(*columns)).alias("_row")).select("_row.*")
+
+
+def _successors(times_of: DataFrame, gap: int, block_hours: int) -> DataFrame:
+    """(plan_id, _at, next): the first time at least `gap` micros later, null without one.
+
+    Each time asks at `_at + gap`; questions and times run together through blocks of time, and
+    what a block doesn't answer the next block's first time does.
+    """
+    span = 3_600_000_000 * block_hours
+    asked = times_of.select("plan_id", "_at", (F.col("_at") + gap).alias("t"), F.lit(None).cast("bigint").alias("here"))
+    there = times_of.select("plan_id", F.lit(None).cast("bigint").alias("_at"), F.col("_at").alias("t"), F.col("_at").alias("here"))
+    both = asked.unionByName(there).withColumn("block", F.floor(F.col("t") / span))
+    # Latest first; at one instant the time itself answers the question.
+    ahead = Window.partitionBy("plan_id", "block").orderBy(F.desc("t"), F.col("here").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("next", F.last("here", ignorenulls=True).over(ahead)).where("_at IS NOT NULL")
+    blocks = both.groupBy("plan_id", "block").agg(F.min("here").alias("least"))
+    later = Window.partitionBy("plan_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("plan_id", "block", F.last("least", ignorenulls=True).over(later).alias("least"))
+    return inside.join(blocks, ["plan_id", "block"]).select("plan_id", "_at", F.coalesce("next", "least").alias("next"))
 
 
 def tracked_totals(kept: DataFrame) -> DataFrame:

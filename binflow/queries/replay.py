@@ -10,7 +10,7 @@ from binflow.functions.numbers import half_even as even
 from binflow.functions.numbers import half_up as up
 from binflow.operators import network, readings as arrivals
 from binflow.plans import whatif
-from binflow.plans.scan import scan, time_block
+from binflow.plans.scan import prefixes, time_block
 from binflow.queries.duck import add_cte, half_even, half_up, with_ctes
 from binflow.queries.registry import query
 
@@ -111,10 +111,10 @@ def _rates(spark, sf):
 )
 def _e12(spark, sf):
     rows = _rates(spark, sf).withColumn("block", time_block("at", 96))
-    starts = rows.select("container_id").distinct().withColumn("rate_ewma", F.lit(None).cast("double"))
-    out = scan(rows, starts, "container_id", ("at", "id"), "block", ("rate",), whatif.RATE_RULE)
-    last = out.groupBy("container_id").agg(F.max_by("rate_after", F.struct("at", "id")).alias("r"))
-    return last.where(F.col("r").isNotNull()).select("container_id", up(F.col("r"), 6).alias("rate_ewma"))
+    out = prefixes(rows, "container_id", ("at", "id"), "block", whatif.RATES, whatif.rate_function(F.col("rate")))
+    last = out.groupBy("container_id").agg(F.max_by("until", F.struct("at", "id")).alias("until"))
+    rate = whatif.RATES.after("until", F.lit(None).cast("double"))
+    return last.select("container_id", rate.alias("r")).where(F.col("r").isNotNull()).select("container_id", up(F.col("r"), 6).alias("rate_ewma"))
 
 
 def accepted(spark, sf):
@@ -124,10 +124,72 @@ def accepted(spark, sf):
     )
 
 
-@query("s07_whatif_replay")
+add_cte(
+    "accepted",
+    "readings",
+    "SELECT container_id, id AS seq, CAST(b.l AS DOUBLE) AS before, CAST(level AS DOUBLE) AS after, reading_date, collected FROM (SELECT *, max({'d': reading_date, 's': -id, 'l': level}) OVER (PARTITION BY container_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM readings) WHERE b IS NULL OR reading_date > b.d",
+)
+# After a reset every level is 0; a container that joins has no level before its first reading.
+add_cte(
+    "start",
+    "virtual accepted containers",
+    "SELECT container_id, original_site_id AS o, optimized_site_id AS p FROM virtual UNION ALL SELECT id, site_id, site_id FROM containers WHERE site_id IS NOT NULL AND id IN (SELECT container_id FROM accepted) AND id NOT IN (SELECT container_id FROM virtual)",
+)
+add_cte(
+    "paced",
+    "accepted start",
+    "SELECT *, CASE WHEN NOT collected AND before IS NOT NULL AND after < 99.5e0 AND elapsed > 0 THEN greatest(after - before, 0) / elapsed END AS rate FROM (SELECT a.*, greatest(0, coalesce((epoch_us(reading_date) - epoch_us(lag(reading_date) OVER (PARTITION BY container_id ORDER BY reading_date, seq))) / 3600000000e0, 0)) AS elapsed FROM accepted a SEMI JOIN start USING (container_id))",
+)
+_SMOOTHED = "list_reduce(list(rate) FILTER (rate IS NOT NULL) OVER (PARTITION BY container_id ORDER BY reading_date, seq ROWS BETWEEN UNBOUNDED PRECEDING AND {0}), lambda acc, x: 0.3e0 * x + 0.7e0 * acc)"
+
+
+def _full_hours(before: str, after: str) -> str:
+    return f"CASE WHEN elapsed <= 0 OR {after} < 100 THEN 0e0 WHEN {before} >= 100 THEN elapsed ELSE elapsed * ({after} - 100) / ({after} - {before}) END"
+
+
+add_cte(
+    "arrived",
+    "paced",
+    f"SELECT *, CASE WHEN before IS NOT NULL AND NOT collected THEN {_full_hours('before', '(before + made)')} WHEN before >= 99.5e0 THEN elapsed ELSE 0e0 END AS real_full FROM ("
+    "SELECT *, CASE WHEN before IS NULL THEN 0e0 WHEN after >= 99.5e0 AND rate_before IS NOT NULL THEN greatest(after - before, rate_before * elapsed) ELSE after - before END AS made FROM ("
+    f"SELECT *, {_SMOOTHED.format('1 PRECEDING')} AS rate_before, {_SMOOTHED.format('CURRENT ROW')} AS rate_after FROM paced))",
+)
+add_cte("stayers", "start", "SELECT p AS site, count(*) FILTER (o IS NOT DISTINCT FROM p) AS k, count(*) FILTER (o IS DISTINCT FROM p) AS a FROM start GROUP BY p")
+add_cte(
+    "shared",
+    "arrived start stayers",
+    "SELECT r.*, s.o, s.o IS NOT DISTINCT FROM s.p AS stays, coalesce(n.k, 0) AS k, coalesce(n.a, 0) AS a FROM arrived r JOIN start s USING (container_id) LEFT JOIN stayers n ON n.site = s.o",
+)
+add_cte(
+    "happened",
+    "shared start",
+    "SELECT container_id, reading_date, seq, collected AS is_set, CASE WHEN collected THEN after ELSE made * k / (k + a) END AS amount FROM shared WHERE stays"
+    " UNION ALL SELECT s.container_id, reading_date, seq, collected, CASE WHEN collected THEN 0e0 ELSE made / (k + a) END FROM shared r JOIN start s ON s.p = r.o AND s.o IS DISTINCT FROM s.p WHERE stays"
+    " UNION ALL SELECT s.container_id, reading_date, seq, false, made / k FROM shared r JOIN start s ON s.p = r.o AND s.o IS NOT DISTINCT FROM s.p WHERE NOT stays AND NOT collected AND k > 0",
+)
+# The level before an event: all earlier ones, one after the other.
+add_cte(
+    "changed_levels",
+    "happened",
+    f"SELECT container_id, reading_date, seq, CASE WHEN is_set THEN least(100, greatest(0, amount)) ELSE least(100, greatest(0, level + amount)) END AS new_level, CASE WHEN is_set THEN CASE WHEN level >= 100 THEN elapsed ELSE 0e0 END ELSE {_full_hours('level', '(level + amount)')} END AS full_hours FROM ("
+    "SELECT *, list_reduce(list_prepend({'l': 0e0, 's': false, 'a': 0e0}, coalesce(earlier, [])), lambda q, x: {'l': CASE WHEN x.s THEN least(100, greatest(0, x.a)) ELSE least(100, greatest(0, q.l + x.a)) END, 's': x.s, 'a': x.a}).l AS level FROM ("
+    "SELECT *, list({'l': 0e0, 's': is_set, 'a': amount}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier, greatest(0, coalesce((epoch_us(reading_date) - epoch_us(lag(reading_date) OVER w)) / 3600000000e0, 0)) AS elapsed FROM happened WINDOW w AS (PARTITION BY container_id ORDER BY reading_date, seq)))",
+)
+
+
+@query(
+    "s07_whatif_replay",
+    with_ctes(
+        "changed_levels arrived start",
+        f"SELECT s.container_id, o AS original_site_id, p AS optimized_site_id, {half_up('coalesce(l.level, 0)', 6)} AS level, r.newest AS last_reading, l.newest AS virtual_updated_at, {half_up('r.rate', 6)} AS rate_ewma, {half_up('coalesce(l.hours, 0)', 6)} AS overflow_hours, {half_up('coalesce(r.hours, 0)', 6)} AS real_overflow_hours FROM start s"
+        " LEFT JOIN (SELECT container_id, arg_max(new_level, (reading_date, seq)) AS level, max(reading_date) AS newest, sum(full_hours) AS hours FROM changed_levels GROUP BY 1) l USING (container_id)"
+        " LEFT JOIN (SELECT container_id, arg_max(rate_after, (reading_date, seq)) AS rate, max(reading_date) AS newest, sum(real_full) AS hours FROM arrived GROUP BY 1) r USING (container_id)",
+    ),
+)
 def _s07(spark, sf):
     state = whatif.reset(_state(spark, sf))
-    return whatif.replay(state, accepted(spark, sf), a.containers(spark, sf))
+    after = whatif.replay(state, accepted(spark, sf), a.containers(spark, sf))
+    return after.withColumns({c: up(F.col(c), 6) for c in ("level", "rate_ewma", "overflow_hours", "real_overflow_hours")})
 
 
 def _snapshots(spark, sf):
