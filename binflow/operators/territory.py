@@ -229,10 +229,12 @@ def largest_overlap(tracts: DataFrame, polygons: DataFrame, cell: float) -> Data
     pairs = t.join(p, list(spatial.CELLS)).where(meet).select("radio_code", "polygon_id", F.least("y0", "py0").alias("base")).distinct()
     both = pairs.join(tracts.select("radio_code", F.col("rings").alias("_t")), "radio_code").join(polygons.select("polygon_id", F.col("rings").alias("_p")), "polygon_id")
     area = overlap_area(_edges(F.col("_t"), F.col("base")), _edges(F.col("_p"), F.col("base")))
-    # Areas are compared to six digits of the tract's, so rounding breaks no tie.
+    # Areas are compared to six digits of the tract's, so rounding breaks no tie; what is less than
+    # that counts still, down to the noise of the sums.
     covered = both.select("radio_code", "polygon_id", (area / overlap_area(_edges(F.col("_t"), F.col("base")), _edges(F.col("_t"), F.col("base")))).alias("share"))
-    covered = covered.withColumn("share", F.round("share", 6)).where(F.col("share") > 0)
-    return covered.groupBy("radio_code").agg(F.max_by("polygon_id", F.struct("share", -F.col("polygon_id"))).alias("polygon_id"))
+    covered = covered.where(F.col("share") > 1e-12).select("*", F.round("share", 6).alias("digits"), F.round("share", 12).alias("rest"))
+    order = F.struct("digits", F.when(F.col("digits") == 0, F.col("rest")).otherwise(0.0), -F.col("polygon_id"))
+    return covered.groupBy("radio_code").agg(F.max_by("polygon_id", order).alias("polygon_id"))
 
 
 def street_ranges(streets: DataFrame) -> DataFrame:
