@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _MODULES = (
-    "network", "series", "projection", "redistribution", "replay", "territory", "demand", "storage", "files",
+    "network", "series", "projection", "redistribution", "replay", "territory", "demand", "storage", "files", "streams",
 )
 
 

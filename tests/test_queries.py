@@ -22,6 +22,7 @@ SAMPLE = tuple(ORACLES) if os.environ.get("ALL_QUERIES") else (
     "i15_assigned_moves", "i16_merged_moves", "i23_capacity_verdict",
     "b07_alarms", "c05_as_of_join", "c07_distance_join", "c09_point_in_polygon", "d01_network_kpis", "d05_site_utilisation", "d10_site_buckets",
     "d21_overload_hours", "d24_container_demand", "e02_collection_cycles", "e07_accepted_readings", "i01_baseline_forecast", "i28_route_schedule",
+    "e11_thinned_counts", "e12_fill_rate_ewma", "e15_cumulative_levels", "s02_late_reading_stream", "s03_latest_state_stream", "s04_bucket_stream", "s05_alarm_stream", "s06_collection_event_stream", "s07_whatif_replay",
 )
 
 
