@@ -227,7 +227,7 @@ def level_changes(state: DataFrame, events: DataFrame, block_hours: int = 168) -
     rows = with_previous(rows, "container_id", ["at", "seq"], F.col("block"), {"at": "previous_at"})
     moved = rows.join(functions, ["container_id", "at", "seq"]).join(known, "container_id")
     start = F.coalesce("level", F.lit(0.0))
-    moved = moved.withColumn("level", LEVELS.after("before", start)).withColumn("new_level", LEVELS.after("until", start))
+    moved = moved.withColumns({"level": LEVELS.after("before", start), "new_level": LEVELS.after("until", start)})
     elapsed = F.coalesce(F.greatest(F.lit(0.0), (F.col("at") - F.coalesce("previous_at", "updated")) / 3_600_000_000), F.lit(0.0))
     full = F.when(F.col("is_set"), F.when(F.col("level") >= FULL_LEVEL, elapsed).otherwise(0.0)).otherwise(
         overflow_share(F.col("level"), F.col("level") + F.col("amount"), elapsed)
