@@ -2,8 +2,10 @@
 
 Every micro-batch resolves its containers, appends all readings to the day-partitioned
 history (late ones too), and moves the container states with the readings that are newer
-than the state. States are snapshots, one folder per batch id: a batch run again after a
-failure reads the snapshot before it and overwrites its own, so nothing counts twice.
+than the state. States are snapshots, one folder per batch number: a batch run again after a
+failure reads the snapshot before it and overwrites its own, so nothing counts twice. Numbers
+go on from one checkpoint to the next: a run from a new checkpoint continues the states and
+the history of the runs before it.
 """
 
 from __future__ import annotations
@@ -39,6 +41,44 @@ class Snapshots:
         return spark.read.parquet(f"{self.path}/batch={batch_id}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+@dataclass(frozen=True)
+class Runs:
+    """The runs that wrote under a folder and the number at which each began, one row for a run.
+
+    A run is a checkpoint: the id that a query keeps there tells runs apart, so a restart from
+    the same checkpoint is the same run.
+    """
+
+    path: str
+
+    def first_number(self, spark: SparkSession, checkpoint: str, snapshots: Snapshots) -> int:
+        """The number of the run's batch 0: after all that is there when the run begins."""
+        run = spark.read.json(f"{checkpoint}/metadata").select("id").first().id
+        if exists(spark, f"{self.path}/run={run}"):
+            return spark.read.parquet(f"{self.path}/run={run}").first().first
+        highest = spark.read.parquet(snapshots.path).agg(F.max("batch")).first()[0] if exists(spark, snapshots.path) else None
+        first = 0 if highest is None else int(highest) + 1
+        spark.range(1).select(F.lit(first).alias("first")).write.mode("overwrite").parquet(f"{self.path}/run={run}")
+        return first
+
+
+def compacted(spark: SparkSession, history_path: str, out_path: str, files_per_day: int = 1) -> None:
+    """A copy of the history with few files for each day, sorted by container and time.
+
+    The history itself stays as it is, so a failure loses nothing; readers move to the copy
+    once it is complete.
+    """
+    rows = spark.read.parquet(history_path)
+    part = F.pmod(F.xxhash64("container_id"), F.lit(files_per_day))
+    dealt = rows.repartition("reading_day", part).sortWithinPartitions("reading_day", "container_id", "reading_date")
+    dealt.write.mode("errorifexists").partitionBy("reading_day").parquet(out_path)
+
+
 def initial_states(containers: DataFrame) -> DataFrame:
     return containers.where(F.col("deleted_at").isNull()).select(
         F.col("id").alias("container_id"), "site_id", "current_level", "last_reading", "last_pickup", "available",
@@ -99,13 +139,17 @@ def start(
     raw: DataFrame, containers: DataFrame, types: DataFrame, history_path: str, states_path: str, checkpoint: str, after_batch=None, available_now: bool = False,
 ) -> StreamingQuery:
     """Start the ingest. Under `states_path` go the container states and the counts of
-    received, updated and unknown messages, per batch. `after_batch(readings, batch_id, states_before, states_after)`
-    runs once the history and the states are stored, so its failure loses no reading."""
-    snapshots, counts = Snapshots(f"{states_path}/states"), Snapshots(f"{states_path}/counts")
-    first = initial_states(containers)
+    received, updated and unknown messages, per batch. `after_batch(readings, batch, states_before, states_after)`
+    runs once the history and the states are stored, so its failure loses no reading. Batch
+    numbers go on where earlier runs ended."""
+    snapshots, counts, runs = Snapshots(f"{states_path}/states"), Snapshots(f"{states_path}/counts"), Runs(f"{states_path}/runs")
+    first, begun = initial_states(containers), []
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if not begun:
+            begun.append(runs.first_number(spark, checkpoint, snapshots))
+        batch_id += begun[0]
         before = snapshots.before(spark, batch_id, first)
         messages = cut(telemetry.numbered(batch, batch_id))
         resolved = cut(resolve_batch(messages, containers, types))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from binflow.operators import filters, history, readings
 from binflow.plans import whatif
 from binflow.sources import telemetry
-from binflow.streaming import ingest, series
+from binflow.streaming import ingest, series, state
 from binflow.streaming.whatif import WhatIfFollower, tracked
 
 CONTAINERS = "id bigint, site_id bigint, serie_id string, device_imei string, current_level int, last_reading timestamp_ntz, last_pickup timestamp_ntz, available boolean, change_version bigint, container_type_id bigint, deleted_at timestamp_ntz"
@@ -36,11 +36,11 @@ def write_files(folder, files):
         os.utime(path, (1_700_000_000 + 10 * i,) * 2)  # the file source reads oldest first
 
 
-def run_ingest(spark, tmp_path, network, files, hook=None):
+def run_ingest(spark, tmp_path, network, files, hook=None, run=""):
     containers, types, _ = network
-    write_files(tmp_path / "in", files)
-    raw = telemetry.read_stream(spark, str(tmp_path / "in"), files_per_batch=1)
-    q = ingest.start(raw, containers, types, str(tmp_path / "history"), str(tmp_path / "states"), str(tmp_path / "cp"), hook, available_now=True)
+    write_files(tmp_path / f"in{run}", files)
+    raw = telemetry.read_stream(spark, str(tmp_path / f"in{run}"), files_per_batch=1)
+    q = ingest.start(raw, containers, types, str(tmp_path / "history"), str(tmp_path / "states"), str(tmp_path / f"cp{run}"), hook, available_now=True)
     q.awaitTermination(240)
     assert q.exception() is None
     return q
@@ -61,6 +61,22 @@ def test_ingest_with_late_data(spark, tmp_path, network):
     assert rows_of(ingest.reset_states(states), "current_level", "last_reading")[0] == (0, None)
 
 
+def test_new_checkpoint_continues(spark, tmp_path, network):
+    """A run from a new checkpoint loses neither rows nor states of the runs before it."""
+    run_ingest(spark, tmp_path, network, [[message(1, 1, 20)], [message(1, 2, 30), message(2, 1, 5)]])
+    run_ingest(spark, tmp_path, network, [[message(1, 1.5, 99), message(2, 3, 50)], [message(1, 4, 60)]], run="b")
+    stored = spark.read.parquet(str(tmp_path / "history"))
+    assert rows_of(stored, "batch", "container_id", "level", "level_old", "accepted") == [
+        (0, 1, 20, 10, True), (1, 1, 30, 20, True), (1, 2, 5, 10, True), (2, 1, 99, 30, False), (2, 2, 50, 5, True), (3, 1, 60, 30, True)
+    ]
+    states = ingest.Snapshots(str(tmp_path / "states" / "states")).at(spark, 3)
+    assert rows_of(states.where("container_id in (1, 2)"), "container_id", "current_level", "last_reading") == [(1, 60, hour(4)), (2, 50, hour(3))]
+    ingest.compacted(spark, str(tmp_path / "history"), str(tmp_path / "compact"))
+    copy = spark.read.parquet(str(tmp_path / "compact"))
+    assert rows_of(copy, *sorted(stored.columns)) == rows_of(stored, *sorted(stored.columns))
+    assert len(list((tmp_path / "compact").rglob("*.parquet"))) == stored.select("reading_day").distinct().count()
+
+
 def test_whatif_follows_ingest(spark, tmp_path, network):
     containers, _, sites = network
     moves = spark.createDataFrame([(5, 0)], "container_id bigint, to_site_id bigint")
@@ -128,3 +144,44 @@ def test_batch_state_twin(spark):
     df = spark.createDataFrame(rows, "id bigint, container_id bigint, reading_date timestamp_ntz, level int, collected boolean")
     accepted = readings.accepted_readings(df).where("accepted")
     assert rows_of(readings.latest_states(accepted), "container_id", "last_reading") == rows_of(readings.latest_states(df), "container_id", "last_reading")
+
+
+def test_followed_readings(spark, tmp_path):
+    """Keyed state over batches against the batch twin, with late and equal times."""
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(4), hour(i / 3 + rng.randrange(-4, 2)), rng.randrange(100), rng.random() < 0.2) for i in range(160)]
+    rows += [(200, 1, None, 5, False), (201, None, hour(9), 5, False), (202, 2, hour(500), None, True)]
+    df = spark.createDataFrame(rows, "seq bigint, container_id bigint, reading_date timestamp_ntz, level int, collected boolean")
+    for part in range(4):
+        df.where((F.col("seq") >= 41 * part) & (F.col("seq") < 41 * part + 41)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    state.use_disk_state(spark)
+    stream = state.followed_readings(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    state.run_available(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    newest, want = {}, []
+    for seq, c, at, level, picked in rows[:160]:
+        old = newest.get(c)
+        accepted = old is None or at > old[0]
+        want.append((seq, accepted, old and old[1]))
+        if accepted:
+            newest[c] = (at, level, at if picked else old and old[2])
+    assert rows_of(got, "seq", "accepted", "level_old") == want
+    assert rows_of(state.latest_of(got), "container_id", "last_reading", "current_level", "last_pickup") == [(c, *newest[c]) for c in sorted(newest)]
+
+
+def test_event_timers(spark, tmp_path):
+    """Buckets of all batches mixed: events of what the watermark has passed, as in the batch series."""
+    rng = random.Random(9)
+    rows = [(s, hour(h), float(rng.randrange(100)), rng.random() < 0.1) for s in range(3) for h in range(60)]
+    df = spark.createDataFrame(rows, "site_id bigint, timestamp timestamp_ntz, level double, collected boolean")
+    late = F.unix_micros(F.col("timestamp").cast("timestamp")) / 3_600_000_000 + F.pmod(F.xxhash64("site_id", "timestamp"), F.lit(10))
+    low = df.agg(F.min(late)).first()[0]
+    for part in range(4):
+        df.where((late >= low + 18 * part) & (late < low + 18 * part + 18)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    state.use_disk_state(spark)
+    stream = state.collection_event_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "10 hours")
+    state.run_available(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    columns = ("site_id", "timestamp", "previous_level", "drop_points", "reason", "is_partial")
+    want = history.with_events(df).where(F.col("is_event") & (F.col("timestamp") <= F.lit(hour(49))))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() > 20 and rows_of(got, *columns) == rows_of(want, *columns)
