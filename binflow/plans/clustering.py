@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from binflow.session import cut, small
 # Metres that separate two sites of one block side, numbers that separate
 # two blocks, metres of the proximity clusters.
 BLOCK_METRES, BLOCK_NUMBERS, NEAR_METRES = 100.0, 100, 20.0
+#: Edges, in both directions, of a component that one task walks.
+COMPONENT_EDGES = 500_000
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,13 +64,30 @@ def block_clusters(containers: DataFrame, metres: float = BLOCK_METRES, numbers:
     return c.join(spot, [c[k].eqNullSafe(spot[k]) for k in keys]).select(c["id"], F.col("label").alias("cluster"))
 
 
-def proximity_clusters(containers: DataFrame, metres: float = NEAR_METRES) -> DataFrame:
+def _walked(edges: pd.DataFrame) -> pd.DataFrame:
+    """(node, cluster) of a component, from its edges (node, other) in both directions."""
+    edges = edges.sort_values(["node", "other"])
+    nodes, starts = np.unique(edges["node"].to_numpy(), return_index=True)
+    ends = np.append(starts[1:], len(edges)).tolist()
+    others = np.searchsorted(nodes, edges["other"].to_numpy())
+    cluster = np.full(len(nodes), -1, np.int64)
+    for i, (lo, hi) in enumerate(zip(starts.tolist(), ends, strict=True)):
+        if cluster[i] < 0:
+            near = others[lo:hi]
+            cluster[near[cluster[near] < 0]] = i
+            cluster[i] = i
+    return pd.DataFrame({"node": nodes, "cluster": nodes[cluster]})
+
+
+def proximity_clusters(containers: DataFrame, metres: float = NEAR_METRES, component_edges: int = COMPONENT_EDGES) -> DataFrame:
     """(id, cluster): in id order, a container not yet taken starts a cluster and takes its
     untaken neighbours within `metres`.
 
-    Seeds are the containers with no earlier seed nearby; each round settles every node
-    that is lowest among its open neighbours. `containers`: id, group_key, latitude,
-    longitude.
+    Seeds are the containers with no earlier seed nearby. A chain of containers numbered along
+    a street settles one after the other, so a component of neighbours is walked in id order by
+    one task if it has no more than `component_edges` edges; the larger ones go in rounds, each
+    of which settles every node that is lowest among its open neighbours. `containers`: id,
+    group_key, latitude, longitude.
     """
     keys = ["group_key", "latitude", "longitude"]
     nodes = _collapsed(containers, keys)
@@ -78,7 +99,25 @@ def proximity_clusters(containers: DataFrame, metres: float = NEAR_METRES) -> Da
     pairs = spatial.grid_join(a, b, metres, (F.col("x"), F.col("y")), (F.col("ox"), F.col("oy")), ("group_key",))
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
     edges = cut(pairs.where((F.col("node") != F.col("other")) & (dx * dx + dy * dy <= metres * metres)).select("node", "other"))
-    open_nodes = placed.select("node")
+    parts = connected(edges.select("node").distinct(), edges)
+    named = edges.join(parts, "node")
+    sizes = named.groupBy("label").agg(F.count("*").alias("edges"))
+    named = cut(named.join(sizes, "label"))
+    ids = dict(edges.dtypes)["node"]
+    label = named.where(F.col("edges") <= component_edges).select("label", "node", "other").groupBy("label").applyInPandas(
+        lambda rows: _walked(rows[["node", "other"]]), f"node {ids}, cluster {ids}"
+    )
+    label = label.unionByName(placed.join(edges, "node", "left_anti").select("node", F.col("node").alias("cluster")))
+    large = named.where(F.col("edges") > component_edges).select("node", "other")
+    if not large.isEmpty():
+        label = label.unionByName(_in_rounds(cut(large)))
+    spot = placed.join(label, "node").select(*keys, "cluster")
+    return containers.join(spot, keys).select("id", "cluster")
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    """(node, cluster) of components that no task walks."""
+    open_nodes = edges.select("node").distinct()
     seeds = None
     while True:
         open_edges = edges.join(open_nodes, "node", "left_semi").join(open_nodes.withColumnRenamed("node", "other"), "other", "left_semi")
@@ -90,11 +129,9 @@ def proximity_clusters(containers: DataFrame, metres: float = NEAR_METRES) -> Da
         taken = edges.join(new.withColumnRenamed("node", "other"), "other", "left_semi").select("node").unionByName(new).distinct()
         open_nodes = cut(open_nodes.join(taken, "node", "left_anti"))
     owner = edges.join(seeds.withColumnRenamed("node", "other"), "other", "left_semi").groupBy("node").agg(F.min("other").alias("owner"))
-    label = seeds.select("node", F.col("node").alias("cluster")).unionByName(
+    return seeds.select("node", F.col("node").alias("cluster")).unionByName(
         owner.join(seeds, "node", "left_anti").select("node", F.col("owner").alias("cluster"))
     )
-    spot = placed.join(label, "node").select(*keys, "cluster")
-    return containers.join(spot, keys).select("id", "cluster")
 
 
 def side_groups(containers: DataFrame, placed: DataFrame, types: DataFrame, links: DataFrame) -> DataFrame:

@@ -207,3 +207,13 @@ def test_order_statistics(spark):
     row = demand.order_statistics(df, "v", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).first()
     s = sorted(values)
     assert list(row) == [s[int(len(s) * p)] for p in (0.5, 0.9, 0.99)]
+
+
+def test_long_chain_of_containers(spark):
+    """Containers numbered along a street: every second one starts a cluster, whether a task walks them or rounds do."""
+    rows = [(i, "g", 0.0, i * 15 / 111320.0) for i in range(1500)] + [(5000, "g", 0.5, 0.5), (5001, "h", 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id bigint, group_key string, latitude double, longitude double")
+    want = {i: i - i % 2 for i in range(1500)} | {5000: 5000, 5001: 5001}
+    assert dict(rows_of(clustering.proximity_clusters(df))) == want
+    few = df.where("id < 12")
+    assert dict(rows_of(clustering.proximity_clusters(few, component_edges=4))) == {i: want[i] for i in range(12)}
