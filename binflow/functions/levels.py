@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 class Thresholds:
     """Lower bounds, inclusive, in percent."""
 
+    # The bounds unless others are given.
     normal: float = 40.0
     high: float = 70.0
     critical: float = 80.0
@@ -46,6 +47,11 @@ def score_category(score: Column) -> Column:
     return chain.otherwise("idle")
 
 
+# Limits and names of the alarms.
+FULL_LEVEL, HOT, LOW_BATTERY, WEAK_SIGNAL = 95, 70, 15, -115
+SENSOR_FAULTS = ("sensor_trabado", "sensor_ruidoso")
+
+
 def alarm(level: Column, temperature: Column, battery: Column, rssi: Column, anomaly: Column) -> Column:
     """First matching alarm as struct<alarm_type, severity>, null when none applies."""
 
@@ -54,11 +60,11 @@ def alarm(level: Column, temperature: Column, battery: Column, rssi: Column, ano
         return F.struct(name.alias("alarm_type"), F.lit(severity).alias("severity"))
 
     return (
-        F.when(level >= 95, kind("desborde", "critical"))
-        .when(temperature >= 70, kind("incendio", "critical"))
-        .when(battery <= 15, kind("bateria_baja", "warning"))
-        .when(rssi <= -115, kind("perdida_senal", "warning"))
-        .when(anomaly.isin("sensor_trabado", "sensor_ruidoso"), kind(anomaly, "warning"))
+        F.when(level >= FULL_LEVEL, kind("desborde", "critical"))
+        .when(temperature >= HOT, kind("incendio", "critical"))
+        .when(battery <= LOW_BATTERY, kind("bateria_baja", "warning"))
+        .when(rssi <= WEAK_SIGNAL, kind("perdida_senal", "warning"))
+        .when(anomaly.isin(*SENSOR_FAULTS), kind(anomaly, "warning"))
     )
 
 

@@ -8,6 +8,7 @@ side spreads over `salt` sub-keys and the right side repeats on each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binflow.functions import geo
-from binflow.session import attach, cut
+from binflow.session import cut
 
 CELLS = ("cell_x", "cell_y")
 
@@ -63,29 +64,36 @@ def haversine_pairs(
 ) -> DataFrame:
     """Pairs within `max_km` on the sphere that agree on the `on` columns (nulls agree).
 
-    Sides carry `{prefix}_latitude` and `{prefix}_longitude`. Longitudes are scaled at
-    the highest latitude present, a lower bound of the true distance, so no pair is lost.
+    Sides carry `{prefix}_latitude` and `{prefix}_longitude`. Rows lie in bands of latitude as
+    high as `max_km`, and each band cuts longitude at a scale of its own, that of the highest
+    latitude its pairs can have: a lower bound of the true distance, so no pair is lost, and a
+    row near a pole widens no cells but those of its neighbours.
     """
     names = [f"{p}_{c}" for p in (left_prefix, right_prefix) for c in ("latitude", "longitude")]
     la, lo, ra, ro = (F.col(n) for n in names)
-    top = left.select(F.abs(la).alias("v")).unionByName(right.select(F.abs(ra).alias("v"))).agg(F.max("v").alias("_top"))
-    scale = F.lit(0.999 * geo.EARTH_RADIUS_KM) * F.cos(F.radians("_top"))
     filled = [f"_on_{i}" for i in range(len(on))]
-    keep_left = left.withColumns({f: F.coalesce(F.col(c).cast("string"), F.lit("")) for f, c in zip(filled, on)})
-    keep_right = right.withColumns({f: F.coalesce(F.col(c).cast("string"), F.lit("")) for f, c in zip(filled, on)}).drop(*on)
-    a, b = attach(keep_left, top), attach(keep_right, top)
-
-    def xy(lat: Column, lon: Column) -> tuple[Column, Column]:
-        return scale * F.radians(lon), F.lit(0.999 * geo.EARTH_RADIUS_KM) * F.radians(lat)
-
-    a = a.withColumns(dict(zip(("_ax", "_ay"), xy(la, lo)))).drop("_top")
-    b = b.withColumns(dict(zip(("_bx", "_by"), xy(ra, ro)))).drop("_top")
-    pairs = grid_join(a, b, max_km, (F.col("_ax"), F.col("_ay")), (F.col("_bx"), F.col("_by")), filled, salt)
-    return (
-        pairs.drop("_ax", "_ay", "_bx", "_by", *filled)
-        .withColumn("distance_km", geo.haversine_km(la, lo, ra, ro))
-        .where(F.col("distance_km") <= max_km)
-    )
+    a = left.withColumns({f: F.coalesce(F.col(c).cast("string"), F.lit("")) for f, c in zip(filled, on)})
+    b = right.withColumns({f: F.coalesce(F.col(c).cast("string"), F.lit("")) for f, c in zip(filled, on)}).drop(*on)
+    # Slightly larger cells than max_km asks for cover the rounding of the distance.
+    high = max(max_km, 1e-9) * 1.001
+    band = lambda lat: F.floor(F.lit(geo.EARTH_RADIUS_KM) * F.radians(lat) / high)
+
+    def column(lon: Column, band_of: Column) -> Column:
+        edge = F.least(F.lit(math.pi / 2), (F.abs(band_of) + 2) * (high / geo.EARTH_RADIUS_KM))
+        return F.floor(F.lit(0.999 * geo.EARTH_RADIUS_KM) * F.cos(edge) * F.radians(lon) / high)
+
+    steps = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
+    a = a.withColumn("cell_y", band(la))
+    a = a.withColumn("cell_x", column(lo, F.col("cell_y")))
+    b = b.withColumn("_dy", F.explode(steps)).withColumn("cell_y", band(ra) + F.col("_dy"))
+    b = b.withColumn("_dx", F.explode(steps)).withColumn("cell_x", column(ro, F.col("cell_y")) + F.col("_dx")).drop("_dx", "_dy")
+    keys = [*filled, *CELLS]
+    if salt > 1:
+        a = a.withColumn("_salt", F.pmod(F.xxhash64(la, lo), F.lit(salt)))
+        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
+        keys.append("_salt")
+    pairs = a.join(b, keys).drop(*CELLS, "_salt", *filled)
+    return pairs.withColumn("distance_km", geo.haversine_km(la, lo, ra, ro)).where(F.col("distance_km") <= max_km)
 
 
 def planar_pairs(sites: DataFrame, max_km: float, group: str = "group_key", salt: int = 1) -> DataFrame:

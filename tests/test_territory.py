@@ -217,3 +217,19 @@ def test_long_chain_of_containers(spark):
     assert dict(rows_of(clustering.proximity_clusters(df))) == want
     few = df.where("id < 12")
     assert dict(rows_of(clustering.proximity_clusters(few, component_edges=4))) == {i: want[i] for i in range(12)}
+
+
+def test_distance_join_with_polar_rows(spark):
+    """Rows at the poles and elsewhere: every pair within reach, and cells of their own away from the poles."""
+    rng = random.Random(4)
+    places = [(90.0, 10.0), (89.999, -170.0), (-90.0, 0.0)]
+    places += [(60 + rng.uniform(0, 0.1), rng.uniform(0, 0.2)) for _ in range(60)] + [(rng.uniform(-0.05, 0.05), rng.uniform(0, 0.1)) for _ in range(60)]
+    left = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(places)], "donor_id bigint, donor_latitude double, donor_longitude double")
+    right = left.toDF("receiver_id", "receiver_latitude", "receiver_longitude")
+
+    def km(p, q):
+        a, b, c, d = map(math.radians, (*p, *q))
+        return 2 * 6371 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    want = sorted((i, j) for i, p in enumerate(places) for j, q in enumerate(places) if km(p, q) <= 1.5)
+    assert rows_of(spatial.haversine_pairs(left, right, 1.5), "donor_id", "receiver_id") == want
