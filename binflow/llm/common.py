@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +56,31 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Drop the shuffle files of steps whose results are stored. Spark does so when nothing on
+    the driver refers to them any longer, which it only finds out when it collects garbage; a
+    job of many shuffles would keep all of them until its end."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: What a Python worker keeps between tasks, by the operator that needs it: how to drop it.
+KEPT: dict[str, Callable[[], object]] = {}
+
+
+def working(operator: str) -> None:
+    """Called in a worker when a task of an operator begins: what others kept goes, so that a
+    worker that serves one operator after another holds the memory of one."""
+    others = [drop for name, drop in KEPT.items() if name != operator]
+    if others:
+        for drop in others:
+            drop()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # gives free pages back where the C library can
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """The fold of a document: crc32 of the id's decimal text, modulo `folds`."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -234,10 +234,11 @@ def keep_first(docs: DataFrame, key: str, text: str, known: DataFrame, class_of:
     clear = docs.where(F.col(key).isNotNull()).join(gone, key, "left_anti").select(*docs.columns)
     if not unclear.limit(1).count():
         return clear
-    mine = unclear.select(F.col(key).alias("_k"))
-    rows = docs.join(mine, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
-    by_text = marked(rows.select(F.col(text).alias("_t")).distinct()).join(class_of, "fp").select("_t", "root", "component")
-    rows = rows.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_k"), F.col(text).alias("_t")).join(by_text.withColumnRenamed("_t", "_u"), F.col("_t").eqNullSafe(F.col("_u")))
+    # The row goes along as one column, so that no column of its own can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_k"), F.col(text).alias("_t"))
+    rows = rows.join(unclear.select(F.col(key).alias("_m")), F.col("_k").eqNullSafe(F.col("_m")), "left_semi")
+    by_text = marked(rows.select("_t").distinct()).join(class_of, "fp").select(F.col("_t").alias("_u"), "root", "component")
+    rows = rows.join(by_text, F.col("_t").eqNullSafe(F.col("_u")))
     rows = rows.where(F.col("_k").eqNullSafe(F.col("component")))
     # One id may name several groups, or none.
     first = Window.partitionBy("root").orderBy("_t")

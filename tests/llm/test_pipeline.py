@@ -1,9 +1,11 @@
 """The whole pipeline against a brute-force version over the smallest tables."""
 
 import hashlib
+import math
 import re
 import sys
 from collections import Counter
+from itertools import combinations
 from pathlib import Path
 
 import pytest
@@ -12,9 +14,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline  # noqa: E402
-from test_decontaminate import best_stretch, tokens  # noqa: E402
+from test_decontaminate import any_stretch, tokens  # noqa: E402
 from test_language import code, plain_counts  # noqa: E402
-from test_simhash import plain_components, plain_fingerprint  # noqa: E402
+from test_shingles import alike, shingle_set  # noqa: E402
+from test_simhash import plain_components  # noqa: E402
 
 from binflow.llm import bpe, decontaminate, language, secrets, simhash  # noqa: E402
 
@@ -41,10 +44,9 @@ def kept_languages(docs):
 
 
 def kept_first(docs):
-    fps = {i: plain_fingerprint(t) for i, t, _ in docs}
-    ids = sorted(fps)
-    edges = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 3]
-    least = plain_components(ids, edges)
+    sets = {i: shingle_set(t) for i, t, _ in docs}
+    edges = [(a, b) for a, b in combinations(sorted(sets), 2) if alike(sets[a], sets[b])]
+    least = plain_components(sorted(sets), edges)
     return [d for d in docs if least[d[0]] == d[0]]
 
 
@@ -57,8 +59,10 @@ def leaks(text, items):
         shifts = {i - k for i in range(len(own) - 2) for k in places.get(tuple(own[i : i + 3]), ())}
         for s in shifts:
             equal = [own[k + s] == item[k] for k in range(max(0, -s), min(len(item), len(own) - s))]
-            i, j = best_stretch(equal) if sum(equal) >= 8 else (0, 0)
-            if j - i and (j - i >= decontaminate.LEAST_TOKENS or j - i >= 0.8 * len(item)):
+            least = min(decontaminate.LEAST_TOKENS, math.ceil(0.8 * len(item) - 1e-9))
+            if len(item) < decontaminate.SPAN and sum(equal) == len(item) >= decontaminate.SHORTEST_ITEM:
+                return True
+            if len(item) >= decontaminate.SPAN and sum(equal) >= 5 and any_stretch(equal, least):
                 return True
     return False
 
