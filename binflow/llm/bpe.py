@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binflow.llm.common import Known, query, table
+from binflow.llm.common import KEPT, Known, query, table, working
 
 #: Pairs of tokens that a worker remembers; all are forgotten when the limit is met.
 PAIRS = 1_000_000
@@ -167,10 +167,14 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+KEPT["bpe"] = codec.cache_clear
+
+
 def _mapped(docs: DataFrame, key: str, text: str, fields: list[pa.Field], schema: str, make) -> DataFrame:
     """Rows (`key`, *fields) by make(list of texts), a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("bpe")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

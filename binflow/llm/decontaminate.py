@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binflow import session
-from binflow.llm.common import query, stored, table
+from binflow.llm.common import KEPT, query, stored, table, working
 
 #: Positions that count, in windows of eight tokens.
 MASKS = ((0, 1, 3, 5, 7), (0, 2, 3, 6, 7), (0, 1, 2, 5, 7), (0, 3, 4, 5, 7))
@@ -51,6 +51,7 @@ def _constants():
 
 
 _powers: dict[int, np.ndarray] = {}
+KEPT["decontaminate"] = _powers.clear
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -206,6 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         held = context.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            working("decontaminate")
             for batch in batches:
                 where, rows = [], []
                 for i in range(batch.num_rows):
@@ -238,6 +240,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         held, place = context.broadcast(index), docs.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, place=place) -> Iterator[pa.RecordBatch]:
+            working("decontaminate")
             for batch in batches:
                 keep = [not held.value.overlaps(t.as_py()) for t in batch.column(place)]
                 yield batch.filter(pa.array(keep, pa.bool_()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from binflow.llm.common import fold_of, query, table
+from binflow.llm.common import fold_of, query, table, working
 
 #: N-grams in a profile, of a language and of a document.
 LENGTH = 300
@@ -77,6 +77,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", length: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        working("language")
         counts: dict[str, tuple] = {}
 
         def rows():
@@ -145,6 +146,7 @@ def predict(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: list
     count = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("language")
         p = held.get("p") or held.setdefault("p", Profiles(model.value, length))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
