@@ -102,40 +102,37 @@ def templates(pages: DataFrame) -> DataFrame:
     base = stored(
         pages.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("blocked").alias("known"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
     )
-    root = base.groupBy("host").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
-    root = root.select("host", ((F.col("b") + WEIGHT * START) / (F.col("k") + WEIGHT)).alias("purity"))
+    # What goes on below a node: its labelled pages, and its paths.
+    below = lambda level: (F.sum(F.when(F.size("parts") > level, F.col("known")).otherwise(0)).alias("labelled"), F.count_if(F.size("parts") > level).alias("paths"))
+    root = base.groupBy("host").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"), *below(0))
+    root = root.select("host", ((F.col("b") + WEIGHT * START) / (F.col("k") + WEIGHT)).alias("purity"), "labelled", "paths")
     now = stored(base.join(root, "host").withColumns({"key": F.lit(""), "template": F.lit("")}))
     node, level, ended = ["host", "key"], 0, []
     finished = lambda rows, template, purity: rows.select("host", "parts", template.alias("template"), purity.alias("purity"))
     while True:
         ended.append(finished(now.where(F.size("parts") == level), F.col("template"), F.col("purity")))
-        sums = now.where(F.size("parts") > level).groupBy(*node).agg(F.sum("known").alias("labelled"), F.count("*").alias("paths"))
-        going = stored(now.where(F.size("parts") > level).join(sums, node))
-        if not going.limit(1).count():
-            break
-        bare, alone = F.col("labelled") == 0, F.col("paths") == 1
-        ended.append(finished(going.where(bare), F.concat("template", F.lit("/**")), F.col("purity")))
+        bare, alone, deeper = F.col("labelled") == 0, F.col("paths") == 1, now.where(F.size("parts") > level)
+        ended.append(finished(deeper.where(bare), F.concat("template", F.lit("/**")), F.col("purity")))
         # The share of a single path is drawn towards itself once for each segment left.
         left = F.sequence(F.lit(level + 1), F.size("parts"))
         own = F.aggregate(left, F.col("purity"), lambda up, _: (F.col("bad") + WEIGHT * up) / (F.col("known") + WEIGHT))
         rest = F.array_join(F.slice("parts", level + 1, F.size("parts")), "/")
-        ended.append(finished(going.where(~bare & alone), F.concat_ws("/", "template", rest), own))
-        going = going.where(~bare & ~alone).drop("labelled", "paths").withColumn("seg", F.element_at("parts", level + 1))
+        ended.append(finished(deeper.where(~bare & alone), F.concat_ws("/", "template", rest), own))
+        going = deeper.where(~bare & ~alone).drop("labelled", "paths").withColumn("seg", F.element_at("parts", level + 1))
+        if not going.limit(1).count():
+            break
         level += 1
-        child = going.groupBy(*node, "seg").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"), F.first("purity").alias("up"))
+        child = going.groupBy(*node, "seg").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"), F.first("purity").alias("up"), *below(level))
         fan = child.groupBy(*node).agg(F.count("*").alias("kids"))
         child = child.join(fan, node).join(_groups(child, node), [*node, "seg"], "left")
         wide = F.col("kids") > MOST_CHILDREN
         child = child.withColumn("name", F.coalesce("group", F.when(wide, "*").otherwise(F.col("seg"))))
         child = child.withColumn("mark", F.coalesce(F.concat(F.lit("g"), "g"), F.when(wide, "w").otherwise(F.concat(F.lit("s"), "seg"))))
-        total = child.groupBy(*node, "mark").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.first("up").alias("up"))
-        total = total.select(*node, "mark", ((F.col("b") + WEIGHT * F.col("up")) / (F.col("k") + WEIGHT)).alias("own"))
+        total = child.groupBy(*node, "mark").agg(*[F.sum(c).alias(c) for c in ("k", "b", "labelled", "paths")], F.first("up").alias("up"))
+        total = total.select(*node, "mark", ((F.col("b") + WEIGHT * F.col("up")) / (F.col("k") + WEIGHT)).alias("own"), "labelled", "paths")
         named = child.select(*node, "seg", "name", "mark").join(total, [*node, "mark"])
-        now = stored(
-            going.join(named, [*node, "seg"]).select(
-                "host", "parts", "n", "known", "bad", F.col("own").alias("purity"), F.concat_ws("/", "key", "mark").alias("key"), F.concat_ws("/", "template", "name").alias("template")
-            )
-        )
+        names = F.concat_ws("/", "key", "mark").alias("key"), F.concat_ws("/", "template", "name").alias("template")
+        now = stored(going.join(named, [*node, "seg"]).select("host", "parts", "n", "known", "bad", F.col("own").alias("purity"), "labelled", "paths", *names))
     every = reduce(DataFrame.unionByName, ended)
     return every.select("host", "parts", F.concat(F.lit("/"), F.ltrim(F.col("template"), F.lit("/"))).alias("template"), "purity")
 
