@@ -1,8 +1,14 @@
-"""Near duplicates by the exact Jaccard similarity of word-shingle sets.
+"""Near duplicates: SimHash fingerprints, completed to the exact Jaccard similarity of word-shingle sets.
+
+The walk of `simhash` over the trie of the sets' fingerprints finds the near copies that lie within
+its budget; each is verified on the sets. What it leaves apart is then searched exactly, and members
+that only sets of one component share lead to nothing any more.
 
 Two sets at least `threshold` alike share one of their first members, in any order that all
 sets use: of n members, all but threshold * n - 1. Sets that share a first member are
-candidates, and each link is verified on the whole sets.
+candidates, and each link is verified on the whole sets. A member that is in one set but not in
+the other changes one bit of a parity vector, so vectors that differ in more bits than so many
+members may differ rule a pair out before its sets are made.
 
 Members that a sample of the texts shows to be common come last in the first order; the sample
 only saves work. Every set is compared with the most ordinary one of each bucket, and sets that
@@ -19,15 +25,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binflow import session
+from binflow.llm import simhash
 from binflow.llm.common import release, stored, working
 from binflow.llm.graph import components
-from binflow.llm.simhash import keep_first, shingle_hashes
+from binflow.llm.simhash import fingerprint, keep_first, shingle_hashes
 
 SIZE, THRESHOLD = 5, 0.8
+#: Bits in which linked fingerprints may differ; more find more links before the exact search.
+BUDGET = 3
 #: Texts in the sample for common members, and the most members that it names.
 SAMPLE, COMMON = 4_000, 500_000
 #: Sets of a bucket that are paired without an exact order.
@@ -75,6 +84,34 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int = SIZE) -> Data
     return _texts(docs, key, text).mapInArrow(run, f"k {kind}, fp bigint, s array<bigint>").withColumnRenamed("k", key)
 
 
+def parities(own: np.ndarray) -> bytes:
+    """Of each rest of the members modulo a power of two, at least their number, whether an odd
+    number of them has it."""
+    m = max(64, 1 << max(0, len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """At least how many members are in one of two sets only, from their parities."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x))) ^ x).sum())
+
+
+def described(docs: DataFrame, key: str, text: str, size: int = SIZE) -> DataFrame:
+    """(`key`, fp, n, sim, parity): of each text's set its hash, its size, its SimHash fingerprint
+    and its parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sets, fps in _sets(batches, size):
+            sims = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            columns = [keys, pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), pa.array(sims), pa.array([parities(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "fp", "n", "sim", "parity"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return _texts(docs, key, text).mapInArrow(run, f"k {kind}, fp bigint, n int, sim bigint, parity binary").withColumnRenamed("k", key)
+
+
 def first_of(n: int, threshold: float) -> int:
     """How many first members of n decide."""
     return n - math.ceil(n * threshold - 1e-9) + 1 if n else 0
@@ -93,26 +130,33 @@ def common_members(docs: DataFrame, key: str, text: str, size: int) -> tuple[np.
 
 
 def first_members(docs: DataFrame, key: str, text: str, size: int, threshold: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(`key`, fp, n, odd, first): of each text's set its hash, its size, its first members, and
-    of how many members the sample knows nothing."""
+    """(m, fp, w): the first members of each text's set, its hash, and in one number of how many
+    members the sample knows nothing (from bit 32) and the member's place, from 1. Texts with
+    equal sets may repeat rows."""
     held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = held.value
-        for keys, sets, fps in _sets(batches, size):
-            first, odd = [], []
-            for own in sets:
+        sent: set[int] = set()
+        for _, sets, fps in _sets(batches, size):
+            rows: list[np.ndarray] = []
+            for own, fp in zip(sets, fps.tolist(), strict=True):
+                if fp in sent or not len(own):
+                    continue
+                if len(sent) >= SLICE:
+                    sent.clear()
+                sent.add(fp)
                 count = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     count = np.where(known[at] == own, counts[at], 0)
-                first.append(own[np.lexsort((own, count))[: first_of(len(own), threshold)]].view(np.int64))
-                odd.append(int((count == 0).sum()))
-            columns = [keys, pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), pa.array(odd, pa.int32()), _lists(first)]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "fp", "n", "odd", "first"])
+                first = own[np.lexsort((own, count))[: first_of(len(own), threshold)]].view(np.int64)
+                odd = int((count == 0).sum()) << 32
+                rows.append(np.stack([first, np.full(len(first), fp), odd + np.arange(1, len(first) + 1)]))
+            m, fp, w = np.concatenate(rows, axis=1) if rows else np.empty((3, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(fp), pa.array(w)], names=["m", "fp", "w"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return _texts(docs, key, text).mapInArrow(run, f"k {kind}, fp bigint, n int, odd int, first array<bigint>").withColumnRenamed("k", key)
+    return _texts(docs, key, text).mapInArrow(run, "m bigint, fp bigint, w bigint")
 
 
 def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
@@ -144,14 +188,39 @@ def _pair(a: Column, b: Column) -> list[Column]:
 class Join:
     """Links between sets, grown round by round: components take the place of all their pairs."""
 
-    def __init__(self, sets_of: Callable[[DataFrame], DataFrame], threshold: float):
-        self.sets_of, self.threshold = sets_of, threshold
+    def __init__(self, sets_of: Callable[[DataFrame], DataFrame], threshold: float, groups: DataFrame):
+        self.sets_of, self.threshold, self.groups = sets_of, threshold, groups
         self.links: DataFrame | None = None
 
     def check(self, pairs: DataFrame) -> None:
-        found = verified(pairs.distinct(), self.sets_of, self.threshold)
+        found = verified(self.possible(pairs.distinct()), self.sets_of, self.threshold)
         self.links = found if self.links is None else self.links.unionByName(found)
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that sizes and parities do not rule out."""
+        threshold = self.threshold
+        for x in "ab":
+            pairs = pairs.join(self.groups.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")), x)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                apart = [least_apart(p.as_py(), q.as_py()) for p, q in zip(batch.column("pa"), batch.column("pb"), strict=True)]
+                both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+                near = np.array(apart, np.int64) * (1 + threshold) <= both * (1 - threshold) + 1e-6
+                yield batch.select(["a", "b"]).filter(pa.array(near))
+
+        return pairs.mapInArrow(run, "a bigint, b bigint")
+
+    def walked(self, budget: int) -> None:
+        """Compare sets whose SimHash fingerprints the walk of their trie links, or that share one."""
+        signed = self.groups.groupBy("sim").agg(F.min("fp").alias("first"))
+        signed = stored(signed)
+        same = self.groups.join(signed, "sim").where("fp != first").select(*_pair(F.col("fp"), F.col("first")))
+        near = simhash.links(signed.select(F.col("sim").alias("fp")), budget)
+        for x in "ab":
+            near = near.join(signed.select(F.col("sim").alias(x), F.col("first").alias(f"f{x}")), x)
+        self.check(same.unionByName(near.select(*_pair(F.col("fa"), F.col("fb")))))
+
     def may_be_alike(self, n: Column, at: Column, m: Column, to: Column) -> Column:
         """Whether sets of n and m members can be alike that share their members at places `at` and
         `to`, from 1, and none before: no more than what follows in both."""
@@ -191,18 +260,23 @@ class Join:
         return rows.where("x.c > 1").select(F.col("x.m").alias("m"), "fp", "n", (F.col("at") + 1).alias("at"))
 
 
-def set_components(groups: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+def set_components(groups: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, crowd: int = CROWD, budget: int = BUDGET) -> DataFrame:
     """(node, root): the least fp that links of each set reach, for sets with links.
 
-    groups: (fp, n, odd, first), one row for each set; sets_of: the whole sets (fp, s) of a table
-    of fp.
+    groups: (fp, n, sim, parity), one row for each set; found: their first members (m, fp, w), w
+    as in `first_members`; sets_of: the whole sets (fp, s) of a table of fp.
     """
-    found = groups.select("fp", "n", "odd", F.posexplode("first").alias("p", "m")).select("m", "fp", "n", "odd", (F.col("p") + 1).alias("at"))
-    # Most members are in one set only: what finds the others carries nothing but the member.
-    shared = found.groupBy("m").agg(F.count("*").alias("rows")).where("rows > 1").select("m")
-    both = stored(found.join(shared, "m"))
+    join = Join(sets_of, threshold, groups)
+    join.walked(budget)
+    # Most members are in one set only. Each row is shuffled once, with nothing but the two hashes
+    # and one number; rows of equal sets follow one another.
+    of_member = Window.partitionBy("m").orderBy("fp")
+    whole = of_member.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = found.select("m", "fp", "w", F.lag("fp").over(of_member).alias("up"), F.min("fp").over(whole).alias("lo"), F.max("fp").over(whole).alias("hi"))
+    shared = stored(shared.where("lo != hi AND (up IS NULL OR up != fp)").select("m", "fp", "w"))
     release(groups.sparkSession)
-    join = Join(sets_of, threshold)
+    placed = shared.select("m", "fp", F.shiftright("w", 32).cast("int").alias("odd"), F.col("w").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("at"))
+    both = join.open(placed.join(groups.select("fp", "n"), "fp")).drop("r", "rows")
     join.stars(both.join(both.groupBy("m").agg(F.min(F.struct("odd", "fp", "n", "at")).alias("c")), "m"))
     left = join.open(both)
     join.pairs(left.where(F.col("rows") <= crowd))
@@ -215,14 +289,15 @@ def set_components(groups: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     return components(join.links)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, crowd: int = CROWD, budget: int = BUDGET) -> DataFrame:
     """One row of `docs` for each component, that with the least id, as in `simhash.deduplicated`.
 
     Texts are linked whose shingle sets have Jaccard similarity `threshold` or more; those
     without words are alike.
     """
-    known = stored(first_members(docs, key, text, size, threshold, common_members(docs, key, text, size)))
-    groups = stored(known.groupBy("fp").agg(F.min(key).alias("least")))
+    known = stored(described(docs, key, text, size))
+    groups = stored(known.groupBy("fp").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in ("n", "sim", "parity")]))
+    found = first_members(docs, key, text, size, threshold, common_members(docs, key, text, size))
 
     def sets_of(fps: DataFrame) -> DataFrame:
         # A text of each set, found by the least id that has it; other texts may have that id, and
@@ -234,10 +309,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         made = shingle_sets(rows, "k", "t", size).join(session.small(wanted.select("fp")), "fp", "left_semi")
         return made.groupBy("fp").agg(F.first("s").alias("s"))
 
-    # One row for each set; the long columns are not stored again.
-    each = known.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "odd", "first")])
-    roots = set_components(each, sets_of, threshold, crowd)
-    named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = set_components(groups, found, sets_of, threshold, crowd, budget)
+    named = groups.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     class_of = stored(named.join(least, "root").select("fp", "root", "component"))
     return keep_first(docs, key, text, known.select(key, "fp"), class_of, lambda rows: shingle_sets(rows, "_t", "_t", size).select("_t", "fp"))

@@ -20,7 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies (five-word shingles, Jaccard 0.8)."""
+    """Keeps the document with the least id of each group of near copies (five-word shingles, Jaccard
+    0.8): SimHash fingerprints find them first, an exact search what these leave apart."""
     session.ship_package(spark)
     return shingles.deduplicated(docs)
 

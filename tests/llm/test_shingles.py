@@ -71,3 +71,35 @@ def test_phrases_that_the_sample_misses(spark, monkeypatch):
         assert sorted(r.doc_id for r in got) == kept_of(texts)
         pairs = sum(checked)
         assert crowd > 8 or pairs < 15_000, checked
+
+
+def test_stage_walks_fingerprints(spark, monkeypatch):
+    """The named method, SimHash, finds near copies; what it leaves apart is searched exactly."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+    far = list(base)
+    for at in rng.sample(range(400), 8):
+        far[at] = f"x{at}"
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(far), "nothing like these at all"]
+    budgets, found, links, check = [], [], shingles.simhash.links, shingles.Join.check
+
+    def walked(fps, budget):
+        budgets.append((fps.count(), budget))
+        return links(fps, budget)
+
+    monkeypatch.setattr(shingles.simhash, "links", walked)
+    monkeypatch.setattr(shingles.Join, "check", lambda self, pairs: (check(self, pairs), found.append(self.links.count())))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()) == kept_of(texts) == [0, 3]
+    assert budgets[0][1] == shingles.BUDGET and budgets[0][0] >= 3 and found[0] >= 1
+
+
+def test_parities_rule_out_no_link():
+    rng = random.Random(4)
+    for n in (0, 1, 63, 64, 65, 700):
+        a = [rng.getrandbits(64) for _ in range(n)]
+        b = a[: n - n // 5] + [rng.getrandbits(64) for _ in range(rng.choice([0, n // 3, 2 * n]))]
+        x, y = (shingles.parities(shingles.np.unique(shingles.np.array(s, shingles.np.uint64))) for s in (a, b))
+        assert shingles.least_apart(x, y) == shingles.least_apart(y, x) <= len(set(a) ^ set(b))
+    rest = [shingles.parities(shingles.np.array([rng.getrandbits(64) for _ in range(500)], shingles.np.uint64)) for _ in range(2)]
+    assert shingles.least_apart(*rest) > 2 * 500 / 9
