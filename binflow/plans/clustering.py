@@ -21,21 +21,27 @@ COMPONENT_EDGES = 500_000
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): lowest node of each connected component.
 
-    Labels take the lowest neighbour label and then the label of that label, so the
-    number of rounds grows with the logarithm of a component's diameter. `edges` holds
-    both directions of (node, other).
+    Two steps take turns until nothing changes: every node's larger neighbours, then its smaller
+    ones and itself, are tied to the lowest node around it. Edges never grow in number, and the
+    rounds follow the logarithm of a component's diameter. `edges` holds both directions of
+    (node, other).
     """
-    e = cut(edges.select("node", "other").distinct())
-    labels = cut(nodes.select("node", F.col("node").alias("label")))
+    now, seen = cut(edges.where("node > other").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()), None
     while True:
-        heard = e.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("heard"))
-        low = labels.join(heard, "node", "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        new = cut(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("new"), "label"))
-        changed = new.where(F.col("new") < F.col("label")).limit(1)
-        labels = new.select("node", F.col("new").alias("label"))
-        if changed.isEmpty():
-            return labels
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen or not state[0]:
+            break
+        seen = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Now each edge leads from the larger node to a smaller one.
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        now = cut(large.join(down, "u").select(tied.alias("e")).select("e.u", "e.v").where("u != v").distinct())
+    return nodes.select("node").join(now.select(F.col("u").alias("node"), F.col("v").alias("low")), "node", "left").select(
+        "node", F.coalesce("low", "node").alias("label")
+    )
 
 
 def _collapsed(containers: DataFrame, keys: list[str]) -> DataFrame:

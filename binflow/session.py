@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only when its optimizer size estimate is under this bound.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# Beyond this size estimate a cut forgets the estimate, too.
+ESTIMATE_LIMIT_BYTES = 1 << 200
 
 
 def local_session(cores: int | str = "*", app: str = "binflow", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,10 +55,17 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and drop its lineage.
 
-    Reliable checkpoint: the rows outlive the executors that wrote them.
+    Reliable checkpoint: the rows outlive the executors that wrote them. A checkpoint keeps the
+    size estimate, and that of a join is the product of its sides': rounds that build on one
+    another would multiply it to a number of millions of digits on the driver. An estimate
+    beyond all sense is dropped by writing the rows as a table, which has a size of its own.
     """
     _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if estimated_bytes(df) <= ESTIMATE_LIMIT_BYTES or "void" in df.schema.simpleString():
+        return df.checkpoint(eager=True)
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -96,7 +105,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # more digits than Python reads
+        return 1 << 10_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from conftest import hour, rows_of
 from pyspark.sql import functions as F
 
+from binflow import session
 from binflow.plans import evaluation, forecast, overload, utilisation
 from binflow.plans.overload import OverloadConfig
 
@@ -258,3 +259,11 @@ def test_planner_registry(spark):
     assert rows_of(moves, "donor_id", "receiver_id", "container_id", "position") == [(2, 1, 3, 1)]
     s = summary.first()
     assert s["total_containers_moved"] == 1 and s["overflow_hours_before"] > s["overflow_hours_after"]
+
+
+def test_rounds_forget_size_estimates(spark):
+    """The estimate of a join is the product of its sides'; over rounds it must not grow without end."""
+    rows = spark.range(4)
+    for _ in range(12):
+        rows = session.cut(rows.join(rows.select("id"), "id"))
+    assert session.estimated_bytes(rows).bit_length() < 1000 and rows.count() == 4
