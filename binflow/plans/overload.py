@@ -297,10 +297,13 @@ def merge_groups(moves: DataFrame) -> DataFrame:
 
 def cumulative_levels(moves: DataFrame, sites: DataFrame, order: list[str]) -> DataFrame:
     """Level of donor and receiver before and after each move, following earlier moves of
-    the same site. `sites` has site_id, containers, average_level."""
+    the same site. `sites` has site_id, containers, average_level. A site whose moves leave
+    it without a container is full."""
 
     def level(average: Column, start: Column, count: Column) -> Column:
-        return half_even(F.least(F.lit(100.0), average * start / count), 1)
+        held = average * start
+        spread = F.when(count != 0, held / count).when(held.isNotNull(), F.lit(100.0))
+        return half_even(F.least(F.lit(100.0), spread), 1)
 
     rows = moves
     for end, sign in (("donor", -1), ("receiver", 1)):

@@ -267,3 +267,11 @@ def test_rounds_forget_size_estimates(spark):
     for _ in range(12):
         rows = session.cut(rows.join(rows.select("id"), "id"))
     assert session.estimated_bytes(rows).bit_length() < 1000 and rows.count() == 4
+
+
+def test_more_moves_than_containers(spark):
+    """A donor that gives its last container is full; the check in SQL divides by zero to the same."""
+    moves = spark.createDataFrame([(1, 9, k) for k in range(5)], "donor_id bigint, receiver_id bigint, seq bigint")
+    sites = spark.createDataFrame([(1, 2, 30.0), (9, 4, 80.0)], "site_id bigint, containers bigint, average_level double")
+    got = overload.cumulative_levels(moves, sites, ["seq"]).orderBy("seq").select("donor_fill_before", "donor_fill_after").collect()
+    assert [tuple(r) for r in got] == [(30.0, 60.0), (60.0, 100.0), (100.0, -60.0), (-60.0, -30.0), (-30.0, -20.0)]
