@@ -25,11 +25,12 @@ LATE = 48
 
 
 def dealt(rows: DataFrame, part) -> DataFrame:
-    """`rows` as a stream of FILES batches, in the order of `part`, from 0."""
+    """`rows` as a stream of FILES batches, in the order of `part`, from 0. All tasks look for a
+    part's rows; one writes them, as a file."""
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
     placed = rows.withColumn("_part", part.cast("int"))
     for k in range(FILES):
-        placed.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+        placed.where(F.col("_part") == k).drop("_part").repartition(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from binflow.operators import filters, history, readings
 from binflow.plans import whatif
+from binflow.queries import streams
 from binflow.sources import telemetry
 from binflow.streaming import ingest, series, state
 from binflow.streaming.whatif import WhatIfFollower, tracked
@@ -185,3 +186,37 @@ def test_event_timers(spark, tmp_path):
     want = history.with_events(df).where(F.col("is_event") & (F.col("timestamp") <= F.lit(hour(49))))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() > 20 and rows_of(got, *columns) == rows_of(want, *columns)
+
+
+def test_groups_of_containers(spark, tmp_path):
+    """Containers that share a call and its state, over several batches."""
+    rng = random.Random(12)
+    rows = [(i, rng.randrange(30), hour(i / 9 + rng.randrange(-6, 2)), rng.randrange(100), rng.random() < 0.2) for i in range(600)]
+    df = spark.createDataFrame(rows, "seq bigint, container_id bigint, reading_date timestamp_ntz, level int, collected boolean")
+    state.use_disk_state(spark)
+    source = streams.dealt(df.repartition(3), F.floor(F.col("seq") / 150))
+    state.run_available(state.followed_readings(source, groups=2), str(tmp_path / "out"), str(tmp_path / "cp"))
+    newest, want = {}, []
+    for seq, c, at, level, _ in rows:
+        old = newest.get(c)
+        want.append((seq, old is None or at > old[0], old and old[1]))
+        if want[-1][1]:
+            newest[c] = (at, level)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert rows_of(got, "seq", "accepted", "level_old") == want
+    assert len(list((tmp_path / "cp" / "offsets").glob("[0-9]*"))) > 1
+
+
+def test_groups_of_sites(spark, tmp_path):
+    """Sites that share a call, a timer and a state, one of them without a number."""
+    rng = random.Random(13)
+    rows = [(s or None, hour(h), float(rng.randrange(100)), rng.random() < 0.1) for s in range(12) for h in range(60)]
+    df = spark.createDataFrame(rows, "site_id bigint, timestamp timestamp_ntz, level double, collected boolean")
+    state.use_disk_state(spark)
+    at = F.unix_micros(F.col("timestamp").cast("timestamp")) / 3_600_000_000
+    source = streams.dealt(df.repartition(3), F.floor((at - df.agg(F.min(at)).first()[0]) / 15))
+    state.run_available(state.collection_event_stream(source, "10 hours", groups=2), str(tmp_path / "out"), str(tmp_path / "cp"))
+    columns = ("site_id", "timestamp", "previous_level", "drop_points", "reason", "is_partial")
+    want = history.with_events(df).where(F.col("is_event") & (F.col("timestamp") <= F.lit(hour(49))))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() > 60 and sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
