@@ -126,7 +126,7 @@ def nearest(
     that much, so a hit no farther than the cell size is final. Points still open go on
     with doubled cells, and only cells that hold open points join anything. Points without
     coordinates meet no target; the rest are done at the latest when a cell is larger than
-    everything present.
+    everything present. Rounds carry a target's number; its columns join the points at the end.
     """
     placed = cut(points.select(point_key, xy[0].cast("double").alias("_px"), xy[1].cast("double").alias("_py")))
 
@@ -134,14 +134,14 @@ def nearest(
         known = [v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))) for v in values]
         return F.coalesce(reduce(lambda a, b: a & b, known), F.lit(False))
 
-    targets = cut(targets.where(usable(*[b.cast("double") for b in box])))
+    payload = list(targets.columns)
+    targets = cut(targets.where(usable(*[b.cast("double") for b in box])).withColumn("_target", F.monotonically_increasing_id()))
     rest = placed.where(usable(F.col("_px"), F.col("_py")))
     reach = targets.select(*[F.abs(b).alias(f"b{i}") for i, b in enumerate(box)]).agg(F.max(F.greatest("b0", "b1", "b2", "b3")).alias("t")).first().t
     farthest = rest.agg(F.max(F.greatest(F.abs("_px"), F.abs("_py"))).alias("p")).first().p
     found: list[DataFrame] = []
     size = start
-    order_struct = F.struct(F.col("_distance"), *order)
-    payload = [c for c in targets.columns]
+    first = F.struct("_distance", *order, "_target")
     while reach is not None and farthest is not None:
         here = on_cells(rest, F.col("_px"), F.col("_py"), size)
         laid = on_box_cells(targets, box, size, margin=size)
@@ -150,9 +150,9 @@ def nearest(
             .withColumn("_distance", distance)
             .where(F.col("_distance") <= size)
             .groupBy(point_key)
-            .agg(F.min_by(F.struct("_distance", *payload), order_struct).alias("hit"))
+            .agg(F.min(first).alias("hit"))
         )
-        best = cut(best.select(point_key, "hit.*").withColumnRenamed("_distance", "distance"))
+        best = cut(best.select(point_key, F.col("hit._distance").alias("distance"), "hit._target"))
         found.append(best)
         rest = cut(rest.join(best.select(point_key), point_key, "left_anti"))
         if size > 4 * (reach + farthest) or rest.isEmpty():
@@ -163,4 +163,5 @@ def nearest(
         kinds = {c: targets.schema[c].dataType for c in payload}
         none = [F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
         return placed.select(point_key, F.lit(None).cast("double").alias("distance"), *none)
+    settled = settled.join(targets, "_target").select(point_key, "distance", *payload)
     return placed.select(point_key).distinct().join(settled, point_key, "left")
