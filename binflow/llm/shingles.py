@@ -14,8 +14,9 @@ Members that a sample of the texts shows to be common come last in the first ord
 only saves work. Every set is compared with the most ordinary one of each bucket, and sets that
 are still in different components are paired. Buckets that are then too crowded to be paired
 hold members that are common without the sample knowing. The sets in them are ordered again, by
-the exact number of such sets that have each member, and only what is rare among them leads to
-pairs, limited by sizes and places.
+the number of such sets that have each member, and only what is rare among them leads to
+pairs, limited by sizes and places. The sample grows with the texts: a fixed one would know
+less and less of what is common, and leave ever more sets to be ordered again.
 """
 
 from __future__ import annotations
@@ -37,8 +38,11 @@ from binflow.llm.simhash import fingerprint, keep_first, shingle_hashes
 SIZE, THRESHOLD = 5, 0.8
 #: Bits in which linked fingerprints may differ; more find more links before the exact search.
 BUDGET = 3
-#: Texts in the sample for common members, and the most members that it names.
-SAMPLE, COMMON = 4_000, 500_000
+#: Sets in the sample for common members, out of so many, and the most members that it names.
+SAMPLE, OF, COMMON = 4_000, 50_000, 4_000_000
+#: Sets that are ordered again are counted as a whole up to this share of all members, and
+#: by a sample of that share beyond.
+COUNTED = 0.25
 #: Sets of a bucket that are paired without an exact order.
 CROWD = 32
 #: Shingle members that a batch of results holds.
@@ -117,13 +121,19 @@ def first_of(n: int, threshold: float) -> int:
     return n - math.ceil(n * threshold - 1e-9) + 1 if n else 0
 
 
-def common_members(docs: DataFrame, key: str, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of several sets of a sample of the texts, ascending, and in how many of them they are."""
-    every = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(every)) == 0).select(key, text)
-    sample = shingle_sets(sample, key, text, size).dropDuplicates(["fp"]).select(F.explode("s").alias("m"))
-    found = sample.groupBy("m").agg(F.count("*").alias("c")).where("c > 2")
-    rows = found.orderBy(F.desc("c"), "m").limit(COMMON).toArrow()
+def common_members(docs: DataFrame, key: str, text: str, size: int, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Members of at least `least` sets of the texts, ascending, and in how many of them they are.
+    Of more than COMMON those with the greatest counts; the driver holds no others."""
+    every = shingle_sets(docs, key, text, size).select(F.explode("s").alias("m"))
+    found = stored(every.groupBy("m").agg(F.count("*").cast("int").alias("c")).where(F.col("c") >= least))
+    release(docs.sparkSession)
+    held, cut = 0, 0
+    for r in found.groupBy(F.least("c", F.lit(10_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        held += r["n"]
+        if held > COMMON:
+            cut = r["c"] + 1
+            break
+    rows = found.where(F.col("c") >= cut).select("m", "c").toArrow()
     m, c = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(m)
     return m[order], c[order]
@@ -248,44 +258,42 @@ class Join:
         near = one.join(two, "m").where((F.col("r") < F.col("r2")) & self.may_be_alike(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
         self.check(near.select(*_pair(F.col("a"), F.col("b"))))
 
-    def reordered(self, crowded: DataFrame) -> DataFrame:
-        """Buckets (m, fp, n, at) of sets in the order of exact counts among all of them.
-        crowded: distinct (fp, n)."""
-        every = stored(self.sets_of(crowded.select("fp")).select("fp", F.explode("s").alias("m")))
-        counts = every.groupBy("m").agg(F.count("*").alias("c"))
-        placed = every.join(counts, "m").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("s"))
-        n = F.size("s")
-        first = F.slice("s", 1, (n - F.ceil(n * self.threshold - 1e-9) + 1).cast("int"))
-        rows = placed.select("fp", n.alias("n"), F.posexplode(first).alias("at", "x"))
-        return rows.where("x.c > 1").select(F.col("x.m").alias("m"), "fp", "n", (F.col("at") + 1).alias("at"))
 
-
-def set_components(groups: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, crowd: int = CROWD, budget: int = BUDGET) -> DataFrame:
-    """(node, root): the least fp that links of each set reach, for sets with links.
-
-    groups: (fp, n, sim, parity), one row for each set; found: their first members (m, fp, w), w
-    as in `first_members`; sets_of: the whole sets (fp, s) of a table of fp.
-    """
-    join = Join(sets_of, threshold, groups)
-    join.walked(budget)
+def shared_members(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(m, fp, n, odd, at): the rows of `found` (m, fp, w), as of `first_members`, whose member
+    several sets have, each once."""
     # Most members are in one set only. Each row is shuffled once, with nothing but the two hashes
     # and one number; rows of equal sets follow one another.
     of_member = Window.partitionBy("m").orderBy("fp")
     whole = of_member.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     shared = found.select("m", "fp", "w", F.lag("fp").over(of_member).alias("up"), F.min("fp").over(whole).alias("lo"), F.max("fp").over(whole).alias("hi"))
     shared = stored(shared.where("lo != hi AND (up IS NULL OR up != fp)").select("m", "fp", "w"))
-    release(groups.sparkSession)
+    release(found.sparkSession)
     placed = shared.select("m", "fp", F.shiftright("w", 32).cast("int").alias("odd"), F.col("w").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("at"))
-    both = join.open(placed.join(groups.select("fp", "n"), "fp")).drop("r", "rows")
-    join.stars(both.join(both.groupBy("m").agg(F.min(F.struct("odd", "fp", "n", "at")).alias("c")), "m"))
-    left = join.open(both)
+    return placed.join(groups.select("fp", "n"), "fp")
+
+
+def set_components(groups: DataFrame, firsts: Callable[[DataFrame | None], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, crowd: int = CROWD, budget: int = BUDGET) -> DataFrame:
+    """(node, root): the least fp that links of each set reach, for sets with links.
+
+    groups: (fp, n, sim, parity), one row for each set; firsts: the first members (m, fp, w) of
+    all sets, w as in `first_members`, or those of a table (fp, n) in an order of its own;
+    sets_of: the whole sets (fp, s) of a table of fp.
+    """
+    join = Join(sets_of, threshold, groups)
+    join.walked(budget)
+
+    def compared(found: DataFrame) -> DataFrame:
+        """What stays open after every set was compared with the centre of its buckets."""
+        both = join.open(shared_members(found, groups)).drop("r", "rows")
+        join.stars(both.join(both.groupBy("m").agg(F.min(F.struct("odd", "fp", "n", "at")).alias("c")), "m"))
+        return join.open(both)
+
+    left = compared(firsts(None))
     join.pairs(left.where(F.col("rows") <= crowd))
     crowded = stored(left.where(F.col("rows") > crowd).select("fp", "n").distinct())
     if crowded.limit(1).count():
-        again = stored(join.reordered(crowded))
-        centres = again.groupBy("m").agg(F.min(F.struct("fp", "n", "at")).alias("c"))
-        join.stars(again.join(centres, "m"))
-        join.pairs(join.open(again))
+        join.pairs(compared(firsts(crowded)))
     return components(join.links)
 
 
@@ -297,19 +305,34 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """
     known = stored(described(docs, key, text, size))
     groups = stored(known.groupBy("fp").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in ("n", "sim", "parity")]))
-    found = first_members(docs, key, text, size, threshold, common_members(docs, key, text, size))
 
-    def sets_of(fps: DataFrame) -> DataFrame:
-        # A text of each set, found by the least id that has it; other texts may have that id, and
-        # rows that repeat an id and a text give a set again.
-        wanted = stored(groups.join(fps, "fp", "left_semi").select("fp", "least"))
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        # A text (k, t) of each set (fp, least), found by the least id that has it; other texts may
+        # have that id, and rows that repeat an id and a text give a set again.
         ids = session.small(stored(wanted.select(F.col("least").alias("id")).distinct()))
         rows = _texts(docs, key, text)
-        rows = rows.join(ids, rows["k"].eqNullSafe(ids["id"]), "left_semi")
-        made = shingle_sets(rows, "k", "t", size).join(session.small(wanted.select("fp")), "fp", "left_semi")
+        return rows.join(ids, rows["k"].eqNullSafe(ids["id"]), "left_semi")
+
+    def sets_of(fps: DataFrame) -> DataFrame:
+        wanted = stored(groups.join(fps, "fp", "left_semi").select("fp", "least"))
+        made = shingle_sets(rows_of(wanted), "k", "t", size).join(session.small(wanted.select("fp")), "fp", "left_semi")
         return made.groupBy("fp").agg(F.first("s").alias("s"))
 
-    roots = set_components(groups, found, sets_of, threshold, crowd, budget)
+    def sampled(wanted: DataFrame, every: int) -> DataFrame:
+        return rows_of(wanted.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0))
+
+    def firsts(crowded: DataFrame | None) -> DataFrame:
+        whole = groups.agg(F.count("*").alias("sets"), F.sum("n").alias("members")).first()
+        if crowded is None:
+            every = max(1, whole["sets"] // int(SAMPLE * max(1, whole["sets"] / OF)))
+            return first_members(docs, key, text, size, threshold, common_members(sampled(groups, every), "k", "t", size))
+        wanted = stored(groups.join(crowded.select("fp"), "fp", "left_semi").select("fp", "least"))
+        members = crowded.agg(F.sum("n").alias("members")).first()["members"]
+        every = max(1, math.ceil(members / (COUNTED * whole["members"])))
+        common = common_members(sampled(wanted, every), "k", "t", size, 2 if every == 1 else 3)
+        return first_members(rows_of(wanted), "k", "t", size, threshold, common)
+
+    roots = set_components(groups, firsts, sets_of, threshold, crowd, budget)
     named = groups.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     class_of = stored(named.join(least, "root").select("fp", "root", "component"))

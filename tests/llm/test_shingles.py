@@ -103,3 +103,39 @@ def test_parities_rule_out_no_link():
         assert shingles.least_apart(x, y) == shingles.least_apart(y, x) <= len(set(a) ^ set(b))
     rest = [shingles.parities(shingles.np.array([rng.getrandbits(64) for _ in range(500)], shingles.np.uint64)) for _ in range(2)]
     assert shingles.least_apart(*rest) > 2 * 500 / 9
+
+
+def phrased(n, every, seed=6):
+    """`n` texts, a phrase in every `every`th, and a near copy of each tenth."""
+    rng = random.Random(seed)
+    phrase, texts = [f"p{i}" for i in range(40)], []
+    for i in range(n):
+        own = [f"w{rng.randint(0, 50_000)}" for _ in range(50)]
+        texts.append(" ".join(own[:25] + phrase * (i % every == 0) + own[25:]))
+        if i % 10 == 0:
+            texts.append(texts[-1] + " end")
+    return texts, " ".join(phrase)
+
+
+def test_sample_grows_with_the_texts(spark, monkeypatch):
+    """What is common in few of many texts is known: the sample is a share of them, not a number."""
+    texts, phrase = phrased(300, 8)
+    monkeypatch.setattr(shingles, "SAMPLE", 10)
+    monkeypatch.setattr(shingles, "OF", 20, raising=False)
+    known, make = [], shingles.common_members
+    monkeypatch.setattr(shingles, "common_members", lambda *args: (known.append(make(*args)), known[-1])[1])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.deduplicated(frame).collect()) == kept_of(texts)
+    members, counts = known[0]
+    assert set(shingles.shingle_hashes(phrase, 5).tolist()) <= set(members.tolist())
+    assert len(members) == len(counts) and (counts >= 3).all() and (members[1:] > members[:-1]).all()
+
+
+def test_orders_from_counts_that_are_cut(spark, monkeypatch):
+    """Counts of a sample of the crowded sets, and of the most common members only, lose no link."""
+    texts, _ = phrased(160, 2)
+    monkeypatch.setattr(shingles, "SAMPLE", 1)
+    monkeypatch.setattr(shingles, "COMMON", 40)
+    monkeypatch.setattr(shingles, "COUNTED", 0.2, raising=False)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.deduplicated(frame, crowd=4).collect()) == kept_of(texts)
