@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from binflow.session import cut
 
-#: Rows of a piece; a power of two.
-PIECE = 64
+#: Rows of a piece; a power of two. All rows pass through log2(PIECE) windows, one in PIECE through the rest.
+PIECE = 16
 
 
 @dataclass(frozen=True)
@@ -59,16 +59,24 @@ def _longest(rows: DataFrame, parts: list[str]) -> int:
 
 
 def prefixes(rows: DataFrame, key: str, order: Sequence[str], block: str, family: Family, function: Column) -> DataFrame:
-    """(key, order columns, until, before): for every row the composition of its key's functions
-    up to it, and up to the row before, null for a key's first row.
+    """(key, order columns, until, before) of each row, as in `scanned`."""
+    small = rows.select(key, block, *order, function.alias("_function"))
+    return scanned(small, key, order, block, family, F.col("_function")).select(key, *order, "until", "before")
+
+
+def scanned(rows: DataFrame, key: str, order: Sequence[str], block: str, family: Family, function: Column) -> DataFrame:
+    """`rows` with the composition of their key's functions up to each row, `until`, and up to the
+    row before, `before`, null for a key's first row. What else a row holds goes along, so that
+    nothing has to be joined to it again. Rows without a key or a block are left out.
 
     `block` rises with the order columns, which tell a key's rows apart.
     """
     inside = Window.partitionBy(key, block).orderBy(*order)
-    piece = F.floor((F.row_number().over(inside) - 1) / PIECE).alias("_piece")
-    small = rows.select(key, block, *order, function.alias("f"), piece)
+    numbered = rows.select("*", function.alias("f"), F.row_number().over(inside).alias("_row"), F.lead(F.lit(1)).over(inside).alias("_more"))
+    ends = (F.col("_row") % PIECE == 0) | F.col("_more").isNull()
+    small = numbered.select(*rows.columns, "f", F.floor((F.col("_row") - 1) / PIECE).alias("_piece"), ends.alias("_ends"))
     first = cut(_composed(small, [key, block, "_piece"], order, PIECE, family))
-    sums = cut(first.groupBy(key, block, "_piece").agg(F.max_by("f", F.struct(*order)).alias("f")))
+    sums = first.where("_ends").select(key, block, "_piece", "f")
     second = cut(_composed(sums, [key, block], ["_piece"], _longest(sums, [key, block]), family))
     totals = cut(second.groupBy(key, block).agg(F.max_by("f", "_piece").alias("f")))
     third = _composed(totals, [key], [block], _longest(totals, [key]), family)
@@ -78,7 +86,7 @@ def prefixes(rows: DataFrame, key: str, order: Sequence[str], block: str, family
     pieces = pieces.select(key, block, "_piece", start.alias("g"))
     within = Window.partitionBy(key, block, "_piece").orderBy(*order)
     out = first.join(pieces, [key, block, "_piece"]).withColumn("h", F.lag("f").over(within))
-    return out.select(key, *order, family.then("g", "f").alias("until"), F.when(F.col("h").isNull(), F.col("g")).otherwise(family.then("g", "h")).alias("before"))
+    return out.select(*rows.columns, family.then("g", "f").alias("until"), F.when(F.col("h").isNull(), F.col("g")).otherwise(family.then("g", "h")).alias("before"))
 
 
 def time_block(micros: str, hours: int) -> Column:

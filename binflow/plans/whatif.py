@@ -15,7 +15,7 @@ from binflow.functions import times
 from binflow.functions.numbers import half_even
 from binflow.operators import network
 from binflow.operators.readings import with_previous
-from binflow.plans.scan import Family, prefixes, time_block
+from binflow.plans.scan import Family, scanned, time_block
 from binflow.session import attach, cut, small
 
 # Weight of the newest rate, saturation and full levels, minutes between
@@ -149,7 +149,7 @@ def sensor_series(state: DataFrame, readings: DataFrame, block_hours: int = 168)
     """Per reading what really arrived: the rise, or the recent rate once the sensor
     saturates; plus real overflow hours and the smoothed rate."""
     known = state.select("container_id", "last_reading", "rate_ewma")
-    rows = readings.join(known.select("container_id", "last_reading"), "container_id").withColumn("at", times.epoch_micros(F.col("reading_date")))
+    rows = readings.join(known, "container_id").withColumn("at", times.epoch_micros(F.col("reading_date")))
     rows = with_previous(rows.withColumn("block", time_block("at", block_hours)), "container_id", ["reading_date", "seq"], F.col("block"), {"reading_date": "previous_date"})
     previous = F.coalesce("previous_date", "last_reading")
     elapsed = F.coalesce(F.greatest(F.lit(0.0), times.hours_between(previous, F.col("reading_date"))), F.lit(0.0))
@@ -157,12 +157,8 @@ def sensor_series(state: DataFrame, readings: DataFrame, block_hours: int = 168)
     rows = rows.withColumn("elapsed", elapsed)
     valid = ~F.col("collected") & before.isNotNull() & (after < SATURATION_LEVEL) & (F.col("elapsed") > 0)
     rows = rows.withColumn("rate", F.when(valid, F.greatest(after - before, F.lit(0.0)) / F.col("elapsed")))
-    rates = prefixes(rows, "container_id", ("at", "seq"), "block", RATES, rate_function(F.col("rate"))).join(
-        known.select("container_id", "rate_ewma"), "container_id"
-    )
-    rates = rates.select(
-        "container_id", "at", "seq", RATES.after("before", F.col("rate_ewma")).alias("rate_before"), RATES.after("until", F.col("rate_ewma")).alias("rate_after")
-    )
+    rows = scanned(rows, "container_id", ("at", "seq"), "block", RATES, rate_function(F.col("rate"))).where(F.col("seq").isNotNull())
+    rows = rows.withColumns({"rate_before": RATES.after("before", F.col("rate_ewma")), "rate_after": RATES.after("until", F.col("rate_ewma"))})
     observed = after - before
     censored = (after >= SATURATION_LEVEL) & F.col("rate_before").isNotNull()
     generated = (
@@ -176,8 +172,7 @@ def sensor_series(state: DataFrame, readings: DataFrame, block_hours: int = 168)
         .otherwise(F.lit(0.0))
     )
     return (
-        rows.join(rates, ["container_id", "at", "seq"])
-        .withColumn("generated", generated)
+        rows.withColumn("generated", generated)
         .withColumn("real_full_hours", real)
         .select("container_id", "seq", "reading_date", "at", "level_after", "collected", "generated", "real_full_hours", "rate_after")
     )
@@ -223,9 +218,8 @@ def level_changes(state: DataFrame, events: DataFrame, block_hours: int = 168) -
     100 % since the event before."""
     rows = cut(events.withColumn("block", time_block("at", block_hours)))
     known = state.select("container_id", "level", times.epoch_micros(F.col("virtual_updated_at")).alias("updated"))
-    functions = prefixes(rows, "container_id", ("at", "seq"), "block", LEVELS, level_function(F.col("is_set"), F.col("amount")))
     rows = with_previous(rows, "container_id", ["at", "seq"], F.col("block"), {"at": "previous_at"})
-    moved = rows.join(functions, ["container_id", "at", "seq"]).join(known, "container_id")
+    moved = scanned(rows, "container_id", ("at", "seq"), "block", LEVELS, level_function(F.col("is_set"), F.col("amount"))).join(known, "container_id")
     start = F.coalesce("level", F.lit(0.0))
     moved = moved.withColumns({"level": LEVELS.after("before", start), "new_level": LEVELS.after("until", start)})
     elapsed = F.coalesce(F.greatest(F.lit(0.0), (F.col("at") - F.coalesce("previous_at", "updated")) / 3_600_000_000), F.lit(0.0))

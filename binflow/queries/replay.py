@@ -13,6 +13,7 @@ from binflow.plans import whatif
 from binflow.plans.scan import prefixes, time_block
 from binflow.queries.duck import add_cte, half_even, half_up, with_ctes
 from binflow.queries.registry import query
+from binflow.session import cut
 
 
 def _moves(spark, sf):
@@ -188,7 +189,8 @@ add_cte(
 )
 def _s07(spark, sf):
     state = whatif.reset(_state(spark, sf))
-    after = whatif.replay(state, accepted(spark, sf), a.containers(spark, sf))
+    # Read for the newcomers, the blocks and the series; accepted once.
+    after = whatif.replay(state, cut(accepted(spark, sf)), a.containers(spark, sf))
     return after.withColumns({c: up(F.col(c), 6) for c in ("level", "rate_ewma", "overflow_hours", "real_overflow_hours")})
 
 

@@ -2,8 +2,9 @@ import random
 
 import pytest
 from conftest import hour, rows_of
+from pyspark.sql import functions as F
 
-from binflow.plans import whatif
+from binflow.plans import scan, whatif
 
 STATE = (
     "container_id bigint, original_site_id bigint, optimized_site_id bigint, level double, last_reading timestamp_ntz,"
@@ -126,3 +127,20 @@ def test_tracking(spark):
 def test_reset_keeps_distribution(spark):
     got = rows_of(whatif.reset(state(spark, [(1, 1, 2, 55)])), "original_site_id", "optimized_site_id", "level", "last_reading")
     assert got == [(1, 2, 0.0, None)]
+
+
+def test_scan_takes_its_rows_along(spark):
+    """What a row holds goes with it through the scan, pieces and blocks included; nothing is joined by the order columns."""
+    rows = [(c, 3 * i + c, i, (i * 7 + c) % 5 - 2.0, f"{c}/{i}") for c in (1, 2) for i in range(75 * c)]
+    frame = spark.createDataFrame(rows, "k long, at long, seq long, amount double, said string").withColumn("block", F.expr("at div 100"))
+    out = scan.scanned(frame, "k", ("at", "seq"), "block", whatif.LEVELS, whatif.level_function(F.lit(False), F.col("amount")))
+    start = F.lit(3.0)
+    out = out.select("k", "seq", "said", whatif.LEVELS.after("before", start).alias("b"), whatif.LEVELS.after("until", start).alias("u"))
+    want = []
+    for c in (1, 2):
+        level = 3.0
+        for k, _, i, amount, said in rows:
+            if k == c:
+                want.append((c, i, said, level, min(100.0, max(0.0, level + amount))))
+                level = want[-1][4]
+    assert sorted(map(tuple, out.collect())) == want
