@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from binflow.llm.common import KEPT, Known, query, table, working
 
 #: Pairs of tokens that a worker remembers; all are forgotten when the limit is met.
-PAIRS = 1_000_000
-#: Runs of text and pieces in each generation of a worker's memory.
-RUNS, PIECES = 500_000, 200_000
+PAIRS = 300_000
+#: Runs of text, and pieces that the library cut, in each generation of a worker's memory.
+RUNS, PIECES = 200_000, 50_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -66,13 +67,16 @@ class Codec:
             l, r = self.left[t], self.right[t]  # noqa: E741
             made[t] = self.rank[t] < 0 and self.size[t] == 1 or self.rank[t] >= 0 and made[l] and made[r] and self.compatible(l, r, self.rank[t])
         self.automaton = ahocorasick.Automaton()
+        self.single = [-1] * 256
         for t, b in self.token_bytes.items():
-            if made[t]:
+            if made[t] and len(b) == 1:
+                self.single[b[0]] = t
+            if made[t] and (len(b) > 1 or not merges):
                 self.automaton.add_word(b.decode("latin-1"), t)
         self.automaton.make_automaton()
         self.known: dict[int, bool] = {}
-        self.pieces = Known(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes(), PIECES)
-        self.runs = Known(lambda run: b"".join(map(self.pieces.__getitem__, self.pattern.findall(run))), RUNS)
+        self.pieces = Known(self._piece, PIECES)
+        self.runs = Known(self._run, RUNS)
         # Texts of these characters are cut by the pattern; for all others the library cuts, as
         # its Unicode tables may be of another version.
         self.settled = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ]*+")
@@ -106,44 +110,52 @@ class Codec:
                 return True
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        n = len(piece)
-        last: list[int] = [-1] * (n + 1)
+        n, done = len(piece), 0
+        # One token fits each prefix: its last byte alone, where no longer one does.
+        last = [-1, *map(self.single.__getitem__, piece)]
         size, known = self.size, self.known
         for end, t in self.automaton.iter(piece.decode("latin-1")):
-            if last[end + 1] >= 0:
+            if end < done:
                 continue
             start = end + 1 - size[t]
             if start:
-                s = last[start]
-                if s < 0:
-                    continue
-                pair = s << 32 | t
+                pair = last[start] << 32 | t
                 fits = known.get(pair)
                 if fits is None:
                     if len(known) >= PAIRS:
                         known.clear()
-                    fits = known[pair] = self.compatible(s, t)
+                    fits = known[pair] = self.compatible(last[start], t)
                 if not fits:
                     continue
-            last[end + 1] = t
+            done = end + 1
+            last[done] = t
         ids = []
         while n:
             ids.append(last[n])
             n -= size[last[n]]
         return ids[::-1]
 
+    def _piece(self, piece: str) -> bytes:
+        return array("I", self.encode_piece(piece.encode())).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        """The ids of a run that the pattern may cut. It leaves its own pieces whole, so they are
+        runs as well and nothing is remembered twice."""
+        cut = self.pattern.findall(run)
+        return self._piece(run) if len(cut) == 1 else b"".join(map(self.runs.__getitem__, cut))
+
     def _plain(self, text: str) -> list[bytes]:
         if not self.settled.fullmatch(text):
             letters = self.letters
             cut = [bytes(letters[c] for c in piece).decode() for piece, _ in self.cutter.pre_tokenize_str(text)]
-        elif self.uneven.search(text):
+            return list(map(self.pieces.__getitem__, cut))
+        if self.uneven.search(text):
             cut = self.pattern.findall(text)
         else:
             # White space is single blanks and line ends only: the pattern always cuts before a
             # blank and around a line end, so what lies between can be cut by itself.
             cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            return list(map(self.runs.__getitem__, cut))
-        return list(map(self.pieces.__getitem__, cut))
+        return list(map(self.runs.__getitem__, cut))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; strings of special tokens in it become their ids."""

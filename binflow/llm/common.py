@@ -147,19 +147,24 @@ def with_next(df: DataFrame, key: str, columns: list[str], tasks: int | None = N
 
 class Known(dict):
     """A memory of make(key) in two generations of `size` entries: a full one becomes the older,
-    and what is found there moves up, so frequent keys stay and the size is bounded."""
+    and what is found there moves up, so frequent keys stay and the size is bounded. Where
+    entries are long, keys and values of MEAN an entry fill a generation."""
+
+    MEAN = 64
 
     def __init__(self, make, size: int, longest: int = 64):
         super().__init__()
-        self.make, self.size, self.longest, self.older = make, size, longest, {}
+        self.make, self.size, self.longest, self.older, self.held = make, size, longest, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= self.size:
+            if len(self) >= self.size or self.held >= self.MEAN * self.size:
                 self.older = dict(self)
                 self.clear()
+                self.held = 0
             self[key] = value
+            self.held += len(key) + len(value)
         return value

@@ -1,6 +1,7 @@
 """The prefix encoder against the tokenizers library."""
 
 import hashlib
+import sys
 
 import numpy as np
 import pytest
@@ -59,6 +60,36 @@ def test_forgets(library, monkeypatch):
     assert max(len(c.pieces), len(c.pieces.older), len(c.known)) <= 5
 
 
+def test_memory_of_a_worker(library):
+    """What a worker remembers of texts stays under 100 MB, of short words and of long ones."""
+    c = bpe.Codec(PATH)
+    text = "a word, a second word (and more)"
+    assert c.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not any(p in c.runs for p in c.pieces)
+    for make, width in ((lambda key: bytes(16), 9), (lambda key: bytes(256), 60)):
+        for memory in (c.runs, c.pieces):
+            memory.clear()
+            memory.make = make
+            for i in range(2 * memory.size + 2):
+                memory[f"{i:0{width}d}"]
+        parts = [part for memory in (c.runs, c.pieces) for part in (memory, memory.older)]
+        assert sum(sys.getsizeof(part) + sum(sys.getsizeof(x) for pair in part.items() for x in pair) for part in parts) < 100e6
+
+
+def test_bytes_without_longer_tokens(tmp_path):
+    """A vocabulary of bytes alone, and one of bytes and a single merge."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = bpe.byte_letters()
+    for merges in ([], [("a", "b")]):
+        vocab = letters | {x + y: 256 for x, y in merges}
+        t = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        t.save(path := str(tmp_path / f"{len(merges)}.json"))
+        for text in ("", "abba é, ab", "日本"):
+            assert bpe.Codec(path).encode(text).tolist() == t.encode(text).ids
+
+
 def test_frames(spark, library):
     rows = [(i, t, "c") for i, t in enumerate(TEXTS[:-4] + TEXTS[-3:])] + [(90, None, None), (90, None, None), (None, "tie", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
