@@ -63,6 +63,12 @@ def cut(df: DataFrame) -> DataFrame:
     _ensure_checkpoint_dir(df.sparkSession)
     if estimated_bytes(df) <= ESTIMATE_LIMIT_BYTES or "void" in df.schema.simpleString():
         return df.checkpoint(eager=True)
+    return stored(df)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a table in the shared folder and read again: narrow columns are packed, and
+    Spark knows the table's size."""
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

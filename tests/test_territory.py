@@ -233,3 +233,77 @@ def test_distance_join_with_polar_rows(spark):
 
     want = sorted((i, j) for i, p in enumerate(places) for j, q in enumerate(places) if km(p, q) <= 1.5)
     assert rows_of(spatial.haversine_pairs(left, right, 1.5), "donor_id", "receiver_id") == want
+
+
+PLACED = "id bigint, group_key string, latitude double, longitude double, address string"
+
+
+def chained(rows):
+    """(id, cluster) of each row by its definition: spots of one group tied in pairs, those of one name tied, too."""
+    means = {g: sum(r[2] for r in rows if r[1] == g and r[2] is not None) / max(1, sum(r[1] == g and r[2] is not None for r in rows)) for g in {r[1] for r in rows}}
+    number = lambda r: int(r[4].split()[-1]) if r[4] else None
+    spots = {}
+    for r in rows:
+        key = (r[1], r[2], r[3], number(r))
+        spots[key] = min((i for i in (spots.get(key), r[0]) if i is not None), default=None)
+    label = {n: n for n in spots.values() if n is not None}
+
+    def linked(a, b):
+        (g, y, x, n), (h, v, u, m) = a, b
+        if g is None or g != h or None in (y, x, v, u):
+            return False
+        per_lon = 111320 * math.cos(math.radians(means[g]))
+        return ((y - v) * 111320) ** 2 + ((x - u) * per_lon) ** 2 <= 1e4 and (n is None or m is None or abs(n - m) < 100)
+
+    ties = [(p, q) for a, p in spots.items() for b, q in spots.items() if p is not None and q is not None and p < q and linked(a, b)]
+    changed = True
+    while changed:
+        changed = False
+        for p, q in ties:
+            low = min(label[p], label[q])
+            changed |= label[p] != low or label[q] != low
+            label[p] = label[q] = low
+    names = list(spots.values())
+    out = []
+    for r in rows:
+        n = spots[r[1], r[2], r[3], number(r)]
+        out += [(r[0], label[n])] * names.count(n) if n is not None else []
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("at_once", [4096, 1])
+def test_block_clusters_of_crowds(spark, monkeypatch, at_once):
+    """Crowds 60 to 130 m apart, in place and in house numbers, with and without a spot between them."""
+    monkeypatch.setattr(clustering, "PAIR_TESTS", at_once)
+    rng = random.Random(7)
+    rows = []
+    for x, numbers in ((0, (0, 40)), (60, (130, 170)), (170, (100, 160)), (290, (190, 240)), (420, (100, 340)), (600, (0, 5))):
+        for _ in range(15):
+            lon, lat = degrees(x + rng.uniform(0, 30), rng.uniform(0, 60))
+            rows.append((len(rows), rng.choice("gh"), lat, lon, f"LINEA NORTE {rng.randrange(*numbers)}"))
+    lon, lat = degrees(520, 30)
+    rows += [(len(rows), "g", lat, lon, None), (len(rows) + 1, None, lat, lon, None), (len(rows) + 2, "g", None, lon, None), (len(rows) + 3, "g", None, lon, None)]
+    assert sorted(rows_of(clustering.block_clusters(spark.createDataFrame(rows, PLACED))), key=str) == chained(rows)
+
+
+def test_block_clusters_of_repeated_and_unknown_ids(spark):
+    places = [degrees(x, 0) for x in (0, 80, 400, 480, 900)]
+    ids = [(1, 0), (2, 1), (3, 2), (4, 3), (2, 4), (None, 0), (None, 3), (7, 3), (5, 0), (5, 0)]
+    rows = [(i, "g", places[k][1], places[k][0], None) for i, k in ids]
+    rows += [(None, "g", *degrees(240, 0)[::-1], None), (None, "g", *degrees(320, 0)[::-1], None)]
+    assert sorted(rows_of(clustering.block_clusters(spark.createDataFrame(rows, PLACED))), key=str) == chained(rows)
+
+
+def test_block_clusters_list_no_pairs(spark, monkeypatch):
+    """400 containers in one crowd and 400 in another are joined by few edges, not by those of all pairs."""
+    seen = []
+
+    def counted(nodes, edges, real=clustering.connected):
+        seen.append(edges.count())
+        return real(nodes, edges)
+
+    monkeypatch.setattr(clustering, "connected", counted)
+    spots = [degrees(x + i % 20, i // 20) for x in (0, 160) for i in range(400)]
+    rows = [(i, "g", lat, lon, "LINEA NORTE 100") for i, (lon, lat) in enumerate(spots)]
+    assert set(rows_of(clustering.block_clusters(spark.createDataFrame(rows, PLACED)))) == {(i, i // 400 * 400) for i in range(800)}
+    assert sum(seen) <= 800
