@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from binflow.functions import geo, text
 from binflow.functions.numbers import half_even
 from binflow.operators import spatial
-from binflow.session import attach
+from binflow.session import attach, cut
 
 # Metres within which a segment is considered, and within which the most
 # favourable one counts; segment lengths reported.
@@ -19,6 +22,8 @@ MIN_LENGTH_M, MAX_LENGTH_M = 5.0, 400.0
 # Opposing sites differ at most this much in number and in metres.
 OPPOSING_NUMBERS, OPPOSING_METRES = 60, 60.0
 ROUTE_SLACK = 50
+#: House numbers have one to five digits.
+NUMBER_BITS = 17
 
 
 def _polygon_box(rings: Column) -> tuple[Column, Column, Column, Column]:
@@ -303,14 +308,41 @@ def geocode(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
 FEW_CENTRES = 2000
 
 
-def _nearest_of_few(sites: DataFrame, centres: DataFrame, away) -> DataFrame:
-    listed = centres.agg(F.collect_list(F.struct("clat", "clon", "route_id")).alias("_centres"))
-    best = F.array_min(F.transform("_centres", lambda q: F.struct(away(F.col("latitude"), F.col("longitude"), q["clat"], q["clon"]).alias("d"), q["route_id"].alias("route_id"))))
+def _away(lat: Column, lon: Column, clat: Column, clon: Column) -> Column:
+    return F.hypot(lat - clat, (lon - clon) * F.cos(F.radians((lat + clat) / 2)))
+
+
+def _nearest_of_few(sites: DataFrame, centres: DataFrame) -> DataFrame:
+    """Workers pick the centres that may be nearest, with room for rounding; `_away` decides among them."""
+    listed = centres.select("clat", "clon", "route_id")
+    few = listed.collect()
+    clat, clon = (np.array([np.nan if r[c] is None else r[c] for r in few], float) for c in ("clat", "clon"))
+
+    @F.pandas_udf("array<int>")
+    def candidates(lat: pd.Series, lon: pd.Series) -> pd.Series:
+        found = []
+        for i in range(0, len(lat) if len(clat) else 0, 1000):
+            y, x = (v.iloc[i : i + 1000].to_numpy(float)[:, None] for v in (lat, lon))
+            d = np.hypot(y - clat, (x - clon) * np.cos(np.radians((y + clat) / 2)))
+            least = np.fmin.reduce(d, axis=1)[:, None]
+            # Unknown distances are left to `_away`, too.
+            row, centre = np.nonzero(~(d > least * (1 + 1e-9)))
+            found += np.split(centre.astype(np.int32), np.searchsorted(row, np.arange(1, len(d))))
+        return pd.Series(found if len(clat) else [[]] * len(lat), dtype=object)
+
+    spark = sites.sparkSession
+    row = spark.createDataFrame([(few,)], StructType([StructField("_centres", ArrayType(listed.schema))]))
     placed = sites.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    return attach(placed.select("site_id", "latitude", "longitude"), listed).select("site_id", best["route_id"].alias("route_id"))
+    placed = placed.select("site_id", "latitude", "longitude", candidates(F.col("latitude").cast("double"), F.col("longitude").cast("double")).alias("_near"))
 
+    def measured(i: Column) -> Column:
+        q = F.get("_centres", i)
+        return F.struct(_away(F.col("latitude"), F.col("longitude"), q["clat"], q["clon"]).alias("d"), q["route_id"].alias("route_id"))
 
-def _nearest_centre(sites: DataFrame, centres: DataFrame, away, start_km: float) -> DataFrame:
+    return attach(placed, row).select("site_id", F.array_min(F.transform("_near", measured))["route_id"].alias("route_id"))
+
+
+def _nearest_centre(sites: DataFrame, centres: DataFrame, start_km: float) -> DataFrame:
     """Cells use longitudes shrunk by the cosine of the highest latitude present: a lower bound
     of the true east-west distance anywhere, so the ring search misses nothing."""
     tops = [df.agg(F.max(F.abs(F.col(c))).alias("top")).first().top for df, c in ((sites, "latitude"), (centres, "clat"))]
@@ -318,10 +350,40 @@ def _nearest_centre(sites: DataFrame, centres: DataFrame, away, start_km: float)
     narrow = F.col("clon") * shrink
     return spatial.nearest(
         sites, centres, "site_id", (F.col("longitude") * shrink, F.col("latitude")), (narrow, F.col("clat"), narrow, F.col("clat")),
-        away(F.col("_py"), F.col("_px") / shrink, F.col("clat"), F.col("clon")), start_km / 111.0, ("route_id",),
+        _away(F.col("_py"), F.col("_px") / shrink, F.col("clat"), F.col("clon")), start_km / 111.0, ("route_id",),
     )
 
 
+def _blocks(low: Column, end: Column) -> Column:
+    """The fewest aligned blocks, two of each level at most, that make up the numbers from `low` to before `end`."""
+    found = []
+    for level in range(NUMBER_BITS + 1):
+        a, b = F.shiftright(low + (2**level - 1), level), F.shiftright(end, level)
+        found += [
+            F.when((a < b) & (a % 2 == 1), F.struct(F.lit(level).alias("level"), a.alias("block"))),
+            F.when((a < b) & (b % 2 == 1), F.struct(F.lit(level).alias("level"), (b - 1).alias("block"))),
+        ]
+    return F.array_compact(F.array(*found))
+
+
+def _first_holding(segments: DataFrame, asked: DataFrame) -> DataFrame:
+    """(street, number, h): the first segment of the street, by (route_rank, segment, route_id),
+    that holds the number with the slack.
+
+    Ranges are cut into aligned blocks, each of which keeps its first segment; a number asks the
+    blocks around it. So no segment meets every number of a long street.
+    """
+    ranges = segments.groupBy("street", "low", "high").agg(F.min(F.struct("route_rank", "segment", "route_id")).alias("h"))
+    low = F.ceil(F.greatest(F.col("low") - ROUTE_SLACK, F.lit(0))).cast("bigint")
+    end = F.floor(F.least(F.col("high") + ROUTE_SLACK, F.lit(2**NUMBER_BITS - 1))).cast("bigint") + 1
+    known = ranges.where(F.col("low").isNotNull()).select("street", "h", low.alias("from"), end.alias("end"))
+    laid = known.select("street", "h", F.explode(_blocks(F.col("from"), F.col("end"))).alias("b"))
+    firsts = laid.groupBy("street", "b.level", "b.block").agg(F.min("h").alias("h"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(NUMBER_BITS)))
+    asking = asked.where("number IS NOT NULL").withColumn("level", levels).withColumn("block", F.expr("shiftright(cast(number AS bigint), level)"))
+    return asking.join(firsts, ["street", "level", "block"]).groupBy("street", "number").agg(F.min("h").alias("h"))
+
+
 def assign_routes(sites: DataFrame, segments: DataFrame, fallback_centres: DataFrame, start_km: float = 1.0) -> DataFrame:
     """Route and stop order of each site: the first segment of its street holding its
     number (with 50 of slack), else the street's first segment, else the route whose
@@ -332,22 +394,20 @@ def assign_routes(sites: DataFrame, segments: DataFrame, fallback_centres: DataF
     longitude for routes that got no site by street.
     """
     address = text.parse_address(F.coalesce("address", "name"))
-    parsed = sites.select("site_id", "latitude", "longitude", address.alias("a"))
+    # Parsing is most of the work: done once, by all tasks, however few files the rows come from.
+    tasks = sites.sparkSession.sparkContext.defaultParallelism
+    parsed = cut(sites.select("site_id", "latitude", "longitude", "address", "name").repartition(tasks).select("site_id", "latitude", "longitude", address.alias("a")))
     key = F.coalesce(text.street_name(F.col("street_name")), F.upper(F.trim("street_name")))
-    s = segments.select(
+    s = segments.select("street_name", "route_id", "route_rank", "segment", "alt_start", "alt_end").repartition(tasks).select(
         key.alias("street"), "route_id", "route_rank", "segment",
         F.least("alt_start", "alt_end").alias("low"), F.greatest("alt_start", "alt_end").alias("high"),
     )
+    s = cut(s)
     order = F.struct("route_rank", "segment")
     first = s.groupBy("street").agg(F.min_by(F.struct("route_id", "segment"), order).alias("f"))
     named = parsed.where(F.col("a").isNotNull()).select("site_id", F.col("a.street").alias("street"), F.col("a.number").alias("number"))
-    held = (
-        named.join(s, "street")
-        .where(F.col("number").between(F.col("low") - ROUTE_SLACK, F.col("high") + ROUTE_SLACK))
-        .groupBy("site_id")
-        .agg(F.min_by(F.struct("route_id", "segment"), order).alias("h"))
-    )
-    matched = (
+    held = named.join(_first_holding(s, named.select("street", "number").distinct()), ["street", "number"]).groupBy("site_id").agg(F.min("h").alias("h"))
+    matched = cut(
         named.join(first, "street")
         .join(held, "site_id", "left")
         .select("site_id", F.coalesce("h.route_id", "f.route_id").alias("route_id"), F.coalesce("h.segment", "f.segment").cast("bigint").alias("stop_order"))
@@ -356,12 +416,11 @@ def assign_routes(sites: DataFrame, segments: DataFrame, fallback_centres: DataF
     centres = located.groupBy("route_id").agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
     centres = centres.unionByName(fallback_centres.join(centres.select("route_id"), "route_id", "left_anti").select("route_id", "latitude", "longitude"))
     rest = parsed.join(matched.select("site_id"), "site_id", "left_anti").where((F.col("latitude") != 0) | (F.col("longitude") != 0))
-    c = centres.select("route_id", F.col("latitude").alias("clat"), F.col("longitude").alias("clon"))
-
-    def away(lat: Column, lon: Column, clat: Column, clon: Column) -> Column:
-        return F.hypot(lat - clat, (lon - clon) * F.cos(F.radians((lat + clat) / 2)))
+    # Routes with one centre, as all that got no site may have, are equally far: the lowest stands for them.
+    c = centres.groupBy(F.col("latitude").alias("clat"), F.col("longitude").alias("clon")).agg(F.min(F.struct("route_id")).alias("r"))
+    c = cut(c.select("r.route_id", "clat", "clon"))
 
-    near = _nearest_of_few(rest, c, away) if c.limit(FEW_CENTRES + 1).count() <= FEW_CENTRES else _nearest_centre(rest, c, away, start_km)
+    near = _nearest_of_few(rest, c) if c.limit(FEW_CENTRES + 1).count() <= FEW_CENTRES else _nearest_centre(rest, c, start_km)
     last = near.where(F.col("route_id").isNotNull()).select("site_id", "route_id", F.lit(10**9).cast("bigint").alias("stop_order"))
     return matched.unionByName(last)
 

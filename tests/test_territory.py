@@ -307,3 +307,50 @@ def test_block_clusters_list_no_pairs(spark, monkeypatch):
     rows = [(i, "g", lat, lon, "LINEA NORTE 100") for i, (lon, lat) in enumerate(spots)]
     assert set(rows_of(clustering.block_clusters(spark.createDataFrame(rows, PLACED)))) == {(i, i // 400 * 400) for i in range(800)}
     assert sum(seen) <= 800
+
+
+SEGMENTS = "route_id string, route_rank bigint, segment bigint, street_name string, alt_start bigint, alt_end bigint"
+SITES = "site_id bigint, name string, address string, latitude double, longitude double"
+
+
+def test_routes_by_ranges_of_numbers(spark):
+    """The first segment in file order whose range holds the number, for ranges of any length and order of ends."""
+    rng = random.Random(3)
+    segments = [(f"R{i % 9}", i % 9, i, f"LINEA {rng.choice(['NORTE', 'SUR'])}", rng.randrange(0, 99999), 0) for i in range(150)]
+    segments = [(*s[:5], max(0, s[4] + rng.choice([-1, 1]) * rng.choice([0, 2, 100, 3000, 60000]))) for s in segments]
+    segments += [("R3", 3, 900, "LINEA NORTE", None, None), ("R0", 0, 901, "LINEA SUR", None, 70), ("R10", 10, 902, "LINEA SUR", 99990, 10**12)]
+    numbers = [0, 1, 49, 50, 51, 120, 121, 99998, 99999] + [rng.randrange(100000) for _ in range(120)] + [s[4] + d for s in segments[:20] for d in (-51, -50, 50, 51) if s[4] + d >= 0]
+    sites = [(i, "", f"LINEA {('NORTE', 'SUR')[i % 2]} {n}", -34.6, -58.4) for i, n in enumerate(numbers) if n < 100000]
+    want = []
+    for i, _, address, _, _ in sites:
+        street, n = address.rsplit(" ", 1)
+        ends = lambda s: [e for e in s[4:] if e is not None]
+        mine = sorted((s for s in segments if s[3] == street), key=lambda s: s[1:3])
+        held = [s for s in mine if ends(s) and min(ends(s)) - 50 <= int(n) <= max(ends(s)) + 50]
+        want.append((i, (held or mine)[0][0], (held or mine)[0][2]))
+    fallback = spark.createDataFrame([], "route_id string, latitude double, longitude double")
+    got = territory.assign_routes(spark.createDataFrame(sites, SITES), spark.createDataFrame(segments, SEGMENTS), fallback)
+    assert rows_of(got) == sorted(want)
+
+
+def test_routes_with_one_centre_count_once(spark, monkeypatch):
+    """2,500 routes without sites share a centre: one of them, the lowest, is compared with each site."""
+    searched = []
+    monkeypatch.setattr(territory, "_nearest_centre", lambda sites, centres, *_: searched.append(1) or sites.select("site_id", F.lit(None).cast("string").alias("route_id")))
+    fallback = spark.createDataFrame([(f"R{i}", -34.6402, -58.4101) for i in range(2500)] + [("Q", -34.5, -58.4), ("S", 0.0, 0.0)], "route_id string, latitude double, longitude double")
+    sites = [(1, "", "OTRA 5", -34.65, -58.41), (2, "", None, -34.49, -58.4), (2, "", None, -34.49, -58.4), (3, "", "OTRA 7", 0.0, 0.0), (4, "", "OTRA 7", None, 1.0), (5, "", "OTRA 7", 1.0, 1.0)]
+    none = spark.createDataFrame([], SEGMENTS)
+    got = rows_of(territory.assign_routes(spark.createDataFrame(sites, SITES), none, fallback))
+    assert got == [(1, "R0", 10**9), (2, "Q", 10**9), (2, "Q", 10**9), (5, "S", 10**9)] and not searched
+
+
+def test_nearest_of_few_agrees_with_each_distance(spark):
+    rng = random.Random(9)
+    places = [(rng.randrange(40) / 10, rng.randrange(40) / 10) for _ in range(300)]
+    centres = [(f"R{i}", rng.randrange(40) / 10, rng.randrange(40) / 10) for i in range(60)]
+    sites = spark.createDataFrame([(i, *p) for i, p in enumerate(places)] + [(900, None, 1.0)], "site_id bigint, latitude double, longitude double")
+    cs = spark.createDataFrame(centres, "route_id string, clat double, clon double")
+    every = sites.crossJoin(cs).select("site_id", F.struct(territory._away(F.col("latitude"), F.col("longitude"), F.col("clat"), F.col("clon")), "route_id").alias("d"))
+    want = rows_of(every.where("site_id < 900").groupBy("site_id").agg(F.min("d")["route_id"].alias("r")))
+    assert rows_of(territory._nearest_of_few(sites, cs)) == want
+    assert {r for _, r in rows_of(territory._nearest_of_few(sites, cs.limit(0)))} == {None}
